@@ -1,0 +1,21 @@
+"""Joining many rows to a side with few rows, when one of the few may match a large share of the many.
+
+The small side is copied once per shuffle partition under a salt and the large side gets a salt from
+a well-spread column, so a hot key meets its partner in every partition. Where the copied side is
+small enough by measured size, adaptive execution broadcasts it and the large side is not moved.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALT = "_salt"
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """`many` joined to `few`; `by` is a column of `many` that differs from row to row."""
+    copies = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copied = few.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    salted = many.withColumn(SALT, F.pmod(F.xxhash64(by), F.lit(copies)).cast("int"))
+    return salted.join(copied, [*on, SALT], how).drop(SALT)
