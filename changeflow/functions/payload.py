@@ -84,3 +84,17 @@ def event_json() -> Column:
         F.lit(',"metadata":'), T.json_map(F.col("metadata")),
         F.lit("}"),
     )
+
+
+def payload_type() -> Column:
+    return F.coalesce(F.col("type"), F.lit("event"))
+
+
+def operation_or_type() -> Column:
+    """What a dead letter shows as its operation."""
+    return F.coalesce(F.col("operation"), F.col("type"))
+
+
+def delivery_key() -> Column:
+    """Key of a received delivery; NULL marks a row to set aside, never a random key."""
+    return F.coalesce(F.col("event_id"), F.col("transaction_id"))

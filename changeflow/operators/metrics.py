@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changeflow.config import Destination
 from changeflow.functions.lsn import lsn_to_number
 from changeflow.operators.deadletters import STATUSES
+from changeflow.operators.preflight import invalidated
 from changeflow.operators.sliced import running_max
 
 # Metric names without their prefix.
@@ -161,7 +162,6 @@ def readiness_report(state: DataFrame, health: DataFrame) -> DataFrame:
 def slot_gauges(health: DataFrame) -> DataFrame:
     """(slot_name, name, wal_status, value): two gauges for a missing slot, up to eleven for a present one."""
     present = F.coalesce("present", F.lit(False))
-    invalidated = F.coalesce("conflicting", F.lit(False)) | (F.coalesce("invalidation_reason", F.lit("")) != "")
 
     def flag(value: Column) -> Column:
         return F.when(present, F.coalesce(value, F.lit(False)).cast("bigint"))
@@ -172,7 +172,7 @@ def slot_gauges(health: DataFrame) -> DataFrame:
         "slot_ready": flag(F.col("ready")),
         "slot_active": flag(F.col("active")),
         "slot_wal_status": F.when(present, F.lit(1).cast("bigint")),
-        "slot_invalidated": flag(invalidated),
+        "slot_invalidated": flag(invalidated()),
         "slot_retained_wal_bytes": F.when(present, F.col("retained_wal_bytes")),
         "slot_safe_wal_size_bytes": F.when(present, F.col("safe_wal_size")),
         "slot_inactive_since_timestamp_seconds": F.when(present, F.unix_timestamp("inactive_since")),

@@ -39,6 +39,11 @@ def slot_health(slots: DataFrame) -> DataFrame:
     return slots.withColumn("reason", slot_reason()).withColumn("ready", F.col("reason").isNull())
 
 
+def invalidated() -> Column:
+    """Conflicting, or a reason that is not blank."""
+    return F.coalesce("conflicting", F.lit(False)) | ~_blank("invalidation_reason")
+
+
 def position_reachable(resume: Column) -> Column:
     """False when a boundary that is set lies past the resume position."""
     reachable = F.lit(True)
@@ -69,7 +74,7 @@ def slot_preflight(database: Column, expected_slot: Column) -> Column:
         .when(~F.col("database").eqNullSafe(database), "different database")
         .when(F.coalesce("active", F.lit(False)), "already active")
         .when(F.col("wal_status").isin(*LOST_STATES), F.concat(F.lit("cannot retain WAL: "), F.col("wal_status")))
-        .when(F.coalesce("conflicting", F.lit(False)) | ~_blank("invalidation_reason"), "invalidated")
+        .when(invalidated(), "invalidated")
         .when(_blank("restart_lsn"), "no reachable restart LSN")
         .when(resuming & bounds_unreadable, "unreadable position")
         .when(resuming & ~position_reachable(F.col("resume_lsn")), "resume position is no longer retained")

@@ -46,7 +46,11 @@ PROTECTED = ("customer_email", "total_cents")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. Its times carry no zone and are taken as UTC, the zone of every time in this package."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    zoneless = [field for field, kind in rows.dtypes if kind == "timestamp_ntz"]
+    return rows.withColumns({field: F.col(field).cast("timestamp") for field in zoneless}) if zoneless else rows
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
