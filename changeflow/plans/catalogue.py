@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changeflow.operators import redact as RD
 from changeflow.operators import route as R
-from changeflow.plans import checks_ingest  # noqa: F401
+from changeflow.plans import checks_delivery, checks_ingest, checks_payload, checks_reports  # noqa: F401
 from changeflow.plans import feed as FD
 from changeflow.plans.registry import ANSWERS, QUERIES
 

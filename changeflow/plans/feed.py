@@ -65,6 +65,10 @@ def position_number(transaction: Column) -> Column:
     return F.lit(BASE_POSITION) + transaction * 64
 
 
+def position_text(transaction: Column) -> Column:
+    return number_to_lsn(position_number(transaction))
+
+
 def change_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Four changes per transaction, three slots; some positions, times, labels and old rows are left out."""
     return feed_columns(table(spark, sf, "events"))
