@@ -57,7 +57,7 @@ def column_changes() -> Column:
         ),
     )
     changed = F.filter(pairs, lambda c: ~c["old_value"].eqNullSafe(c["new_value"]))
-    same_columns = F.array_sort(F.map_keys(old)) == F.array_sort(F.map_keys(new))
+    same_columns = F.sort_array(F.map_keys(old)) == F.sort_array(F.map_keys(new))
     known = (F.col("operation") != "update") | F.coalesce(same_columns, F.lit(False))
     return F.coalesce(
         F.col("explicit_changes"),

@@ -14,9 +14,14 @@ def empty_map() -> Column:
     return F.create_map().cast(EMPTY_MAP)
 
 
+# Text that JSON quotes without any escape.
+PLAIN = r'^[^"\\\x00-\x1f]*$'
+
+
 def json_string(value: Column) -> Column:
-    """Quoted and escaped JSON string; NULL gives null."""
-    return F.coalesce(F.btrim(F.to_json(F.array(value)), F.lit("[]")), F.lit("null"))
+    """Quoted and escaped JSON string; NULL gives null. Only text with something to escape meets the JSON writer."""
+    escaped = F.btrim(F.to_json(F.array(value)), F.lit("[]"))
+    return F.when(value.isNull(), "null").when(value.rlike(PLAIN), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(escaped)
 
 
 def json_fields(*columns: Column) -> Column:
@@ -47,7 +52,7 @@ def json_changes(changes: Column) -> Column:
 
 def canonical_map(values: Column) -> Column:
     """Key-sorted text of a row map, for hashing and comparison only."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))), KEEP_NULLS)
+    return F.to_json(F.sort_array(F.map_entries(values)), KEEP_NULLS)
 
 
 def identity_text(*parts: Column) -> Column:
@@ -57,7 +62,9 @@ def identity_text(*parts: Column) -> Column:
 
 def unquoted(literal: Column) -> Column:
     """Text of a JSON literal: strings lose their quotes, other literals stay."""
-    return F.when(literal.startswith('"'), F.get_json_object(F.concat(F.lit("["), literal, F.lit("]")), "$[0]")).otherwise(literal)
+    parsed = F.get_json_object(F.concat(F.lit("["), literal, F.lit("]")), "$[0]")
+    inner = F.substring(literal, F.lit(2), F.length(literal) - 2)
+    return F.when(~literal.startswith('"'), literal).when(~literal.contains("\\"), inner).otherwise(parsed)
 
 
 def iso8601(moment: Column) -> Column:

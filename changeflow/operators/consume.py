@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeflow.functions.text import canonical_map
 from changeflow.operators.sliced import WIDTH, previous_value, running_count, running_max
 
 # The ordering scopes a configuration may name.
@@ -55,7 +56,7 @@ def scope_key(scope: str) -> Column | None:
         "global": F.lit("all"),
         "transaction": F.concat_ws(":", "source_name", "slot_name", "transaction_id"),
         "relation": F.concat_ws(".", "namespace", "entity"),
-        "primary_key": F.concat_ws(":", "namespace", "entity", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("identity"))))),
+        "primary_key": F.concat_ws(":", "namespace", "entity", canonical_map(F.col("identity"))),
     }
     return keys[scope]
 
@@ -120,7 +121,7 @@ def check_payload_shape(data: Column, field: str, old_status: str, new_status: s
 
 def key_sets(payloads: DataFrame) -> DataFrame:
     """Column sets seen per entity, with first and last position: how the shape moved over time."""
-    names = F.array_join(F.array_sort(F.map_keys("data")), ",").alias("columns")
+    names = F.array_join(F.sort_array(F.map_keys("data")), ",").alias("columns")
     return payloads.groupBy("namespace", "entity", names).agg(
         F.count(F.lit(1)).alias("payloads"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
@@ -128,8 +129,6 @@ def key_sets(payloads: DataFrame) -> DataFrame:
 
 def check_identity(events: DataFrame, keys: list[str]) -> DataFrame:
     """Per transaction: one identity throughout, with the expected number of columns."""
-    from changeflow.functions.text import canonical_map
-
     text = canonical_map(F.col("identity"))
     return events.groupBy(*keys).agg(
         F.min(text).eqNullSafe(F.max(text)).alias("same_identity"),

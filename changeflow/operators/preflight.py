@@ -138,7 +138,7 @@ def usable_index() -> Column:
 
 def _ordered_names(order: str) -> Column:
     # Gathers the columns of one index or table: at most 1600 by the source's own limit.
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("column_name").alias("name"))))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("column_name").alias("name"))))
     return F.transform(listed, lambda c: c["name"])
 
 

@@ -111,7 +111,7 @@ def project_transactions(projected: DataFrame, headers: DataFrame) -> DataFrame:
 def event_parts(projected: DataFrame) -> DataFrame:
     """JSON of the child events in sequence order, at most PART_EVENTS of them per row."""
     child = F.struct("sequence_number", P.event_json().alias("body"))
-    ordered = F.transform(F.array_sort(F.collect_list(child)), lambda c: c["body"])
+    ordered = F.transform(F.sort_array(F.collect_list(child)), lambda c: c["body"])
     return projected.withColumn(PART, part_number()).groupBy(*TXN_KEYS, PART).agg(
         F.array_join(ordered, ",").alias("children")
     )

@@ -353,7 +353,7 @@ def persisted_transactions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").cast("string"), F.lit("}}"),
     )
     rows = table(spark, sf, "events").withColumn("transaction", F.expr("event_id div 4")).groupBy("transaction").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(eid.alias("at"), child.alias("body")))), lambda c: c["body"]), ",").alias("children")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(eid.alias("at"), child.alias("body")))), lambda c: c["body"]), ",").alias("children")
     )
     return rows.select(
         F.col("transaction").alias("stored"),

@@ -39,16 +39,17 @@ WITH raw AS (
   FROM raw
 ), texts AS (
   SELECT *,
-    CASE WHEN has_new THEN '{"customer_email":' || coalesce('"\"' || new_mail || '\""', 'null') || ',"id":"' || user_id
-      || '","status":"\"' || new_status || '\"","total_cents":"' || new_cents || '"}' END AS new_text,
-    CASE WHEN full_old THEN '{"customer_email":"\"' || old_mail || '\"","id":"' || user_id
-      || '","status":"\"' || old_status || '\"","total_cents":"' || old_cents || '"}'
-      WHEN has_old THEN '{"id":"' || user_id || '"}' END AS old_text
+    CASE WHEN has_new THEN '[{"key":"customer_email","value":' || coalesce('"\"' || new_mail || '\""', 'null')
+      || '},{"key":"id","value":"' || user_id || '"},{"key":"status","value":"\"' || new_status
+      || '\""},{"key":"total_cents","value":"' || new_cents || '"}]' END AS new_text,
+    CASE WHEN full_old THEN '[{"key":"customer_email","value":"\"' || old_mail || '\""},{"key":"id","value":"' || user_id
+      || '"},{"key":"status","value":"\"' || old_status || '\""},{"key":"total_cents","value":"' || old_cents || '"}]'
+      WHEN has_old THEN '[{"key":"id","value":"' || user_id || '"}]' END AS old_text
   FROM feed
 ), projected AS (
   SELECT *, 'evt_' || sha256(source || '|' || transaction_id || '|' || coalesce(position, '\N') || '|' || sn || '|'
       || coalesce(CAST(epoch_us(occurred) AS VARCHAR), '\N') || '|' || namespace || '|' || entity || '|' || operation
-      || '|{"id":"' || user_id || '"}|' || coalesce(old_text, '\N') || '|' || coalesce(new_text, '\N')) AS hashed_id,
+      || '|[{"key":"id","value":"' || user_id || '"}]|' || coalesce(old_text, '\N') || '|' || coalesce(new_text, '\N')) AS hashed_id,
     coalesce(explicit_id, hashed_id) AS event_id
   FROM texts
 ), targets(dno, destination, enabled, max_attempts) AS (

@@ -19,6 +19,8 @@ def build_session(app: str = "changeflow", master: str | None = None, shuffle_pa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans here hold many expressions; recording a call site for each costs more than the query's start.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -12,28 +12,21 @@ from changeflow.schemas import CHANGES
 COPIED_TO_METADATA = ("event_id", "source", "source_position", "changes", "type")
 
 _OBJECT = "map<string,variant>"
+# Plain text fields lose their quotes in parsing; fields that are copied as they are stay variants.
 _EVENT = f"""
-    operation variant, namespace variant, schema variant, entity variant, `table` variant,
+    operation string, namespace string, schema string, entity string, `table` string,
     identity {_OBJECT}, primary_key {_OBJECT}, data {_OBJECT}, old_values {_OBJECT}, new_values {_OBJECT},
-    transaction_id variant, commit_lsn variant, source_position variant, sequence_number variant,
-    occurred_at variant, changes variant, metadata {_OBJECT}
+    transaction_id string, commit_lsn string, sequence_number string, occurred_at string, metadata {_OBJECT},
+    event_id variant, source variant, source_position variant, changes variant, type variant
 """
 _ROW_FIELDS = ("data", "identity", "primary_key", "old_values", "new_values", "metadata")
-_TRANSACTION = "transaction_id variant, commit_lsn variant, source_position variant, committed_at variant, events array<string>"
+_TRANSACTION = "transaction_id string, commit_lsn string, source_position string, committed_at string, events array<string>"
 
 
 def _literal(value: Column) -> Column:
     return F.nullif(F.to_json(value), F.lit("null"))
 
 
-def _text(value: Column) -> Column:
-    return T.unquoted(_literal(value))
-
-
-def _not_object(literal: Column) -> Column:
-    return F.coalesce(~literal.startswith("{"), F.lit(False))
-
-
 def _changes(value: Column) -> Column:
     parsed = F.from_json(F.to_json(value), "array<struct<name:string,old_value:variant,new_value:variant>>")
     return F.transform(parsed, lambda c: F.struct(
@@ -45,63 +38,62 @@ def _has(keys: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
 
 
-def enrich_metadata(metadata: Column, payload: Column) -> Column:
+def enrich_metadata(metadata: Column, keys: Column, fields: dict[str, Column]) -> Column:
     """Metadata plus the copied fields, when the payload has the key, even with a null value.
 
-    `payload` is the payload as a row map. The copied keys are dropped from the metadata first,
-    because a repeated key raises.
+    `keys` are the payload's own keys and `fields` the copied fields as literal text. The copied keys
+    are dropped from the metadata first, because a repeated key raises.
     """
-    copied = F.map_filter(payload, lambda k, _v: k.isin(*COPIED_TO_METADATA))
+    every = F.create_map(*[item for name in COPIED_TO_METADATA for item in (F.lit(name), fields[name])])
+    copied = F.map_filter(every, lambda k, _v: F.array_contains(keys, k))
     base = F.coalesce(metadata, T.empty_map())
-    kept = F.map_filter(base, lambda k, _v: ~F.map_contains_key(copied, k))
+    kept = F.map_filter(base, lambda k, _v: ~(k.isin(*COPIED_TO_METADATA) & F.array_contains(keys, k)))
     return F.map_concat(kept, copied)
 
 
 def read_event_payloads(payloads: DataFrame, text: str = "payload_json") -> DataFrame:
     """Change-event columns from one JSON payload per row; `error_reason` is NULL for good rows."""
-    p = "_p"
-    parsed = payloads.withColumns({
-        p: F.from_json(text, _EVENT, {"mode": "PERMISSIVE"}),
-        "_all": F.from_json(text, _OBJECT),
-    })
-    parsed = parsed.withColumn("_keys", F.map_keys("_all"))
-    field = {name: F.col(f"{p}.{name}") for name in (
-        "operation", "namespace", "schema", "entity", "table", "identity", "primary_key", "data", "old_values",
-        "new_values", "transaction_id", "commit_lsn", "source_position", "sequence_number", "occurred_at", "changes",
-        "metadata",
-    )}
-    operation = _text(field["operation"])
-    data = T.literal_map(field["data"])
-    deleted = F.coalesce(operation == "delete", F.lit(False))
-    time_text = _text(field["occurred_at"])
-    has_namespace = _literal(field["namespace"]).isNotNull() | _has(F.col("_keys"), "schema")
-    has_entity = _literal(field["entity"]).isNotNull() | _has(F.col("_keys"), "table")
+    # Exploding a one-element array keeps filters on the result above the parse. Pushed below it, a
+    # filter would parse the text again for every field it looks at.
+    once = F.struct(F.from_json(text, _EVENT, {"mode": "PERMISSIVE"}).alias("p"), F.json_object_keys(text).alias("keys"))
+    parsed = payloads.select("*", F.inline(F.array(once)).alias("_p", "_keys"))
+    keys = F.col("_keys")
+
+    def field(name: str) -> Column:
+        return F.col(f"_p.{name}")
+
+    data = T.literal_map(field("data"))
+    deleted = F.coalesce(field("operation") == "delete", F.lit(False))
+    time_text = field("occurred_at")
     wrong_shape = F.lit(False)
     for name in _ROW_FIELDS:
-        wrong_shape = wrong_shape | _not_object(_literal(F.try_element_at("_all", F.lit(name))))
+        # Present, not parsed as an object, and not null either.
+        unread = _has(keys, name) & field(name).isNull()
+        wrong_shape = wrong_shape | F.when(unread, F.get_json_object(text, f"$.{name}").isNotNull()).otherwise(False)
     reason = (
-        F.when(F.col("_all").isNull(), "not a JSON object")
-        .when(~_has(F.col("_keys"), "operation"), "missing operation")
-        .when(~has_namespace, "missing namespace")
-        .when(~has_entity, "missing entity")
+        F.when(keys.isNull() | F.col("_p").isNull(), "not a JSON object")
+        .when(~_has(keys, "operation"), "missing operation")
+        .when(field("namespace").isNull() & ~_has(keys, "schema"), "missing namespace")
+        .when(field("entity").isNull() & ~_has(keys, "table"), "missing entity")
         .when(time_text.isNotNull() & T.parse_time(time_text).isNull(), "unreadable occurred_at")
         .when(wrong_shape, "wrong shape")
     )
+    copied = {name: _literal(field(name)) for name in COPIED_TO_METADATA}
     keep = [c for c in payloads.columns if c != text]
     return parsed.select(
         *keep,
-        operation.alias("operation"),
-        F.coalesce(_text(field["namespace"]), _text(field["schema"])).alias("namespace"),
-        F.coalesce(_text(field["entity"]), _text(field["table"])).alias("entity"),
-        F.coalesce(T.literal_map(field["identity"]), T.literal_map(field["primary_key"])).alias("identity"),
-        F.coalesce(T.literal_map(field["old_values"]), F.when(deleted, data)).alias("old_values"),
-        F.coalesce(T.literal_map(field["new_values"]), F.when(~deleted, data)).alias("new_values"),
-        _text(field["transaction_id"]).alias("transaction_id"),
-        F.coalesce(_text(field["commit_lsn"]), _text(field["source_position"])).alias("commit_lsn"),
-        _text(field["sequence_number"]).try_cast("int").alias("sequence_number"),
+        field("operation").alias("operation"),
+        F.coalesce(field("namespace"), field("schema")).alias("namespace"),
+        F.coalesce(field("entity"), field("table")).alias("entity"),
+        T.literal_map(F.coalesce(field("identity"), field("primary_key"))).alias("identity"),
+        F.coalesce(T.literal_map(field("old_values")), F.when(deleted, data)).alias("old_values"),
+        F.coalesce(T.literal_map(field("new_values")), F.when(~deleted, data)).alias("new_values"),
+        field("transaction_id").alias("transaction_id"),
+        F.coalesce(field("commit_lsn"), T.unquoted(copied["source_position"])).alias("commit_lsn"),
+        field("sequence_number").try_cast("int").alias("sequence_number"),
         T.parse_time(time_text).alias("occurred_at"),
-        enrich_metadata(T.literal_map(field["metadata"]), T.literal_map(F.col("_all"))).alias("metadata"),
-        F.when(_has(F.col("_keys"), "changes"), F.coalesce(_changes(field["changes"]), F.array().cast(CHANGES)))
+        F.when(keys.isNotNull(), enrich_metadata(T.literal_map(field("metadata")), keys, copied)).alias("metadata"),
+        F.when(_has(keys, "changes"), F.coalesce(_changes(field("changes")), F.array().cast(CHANGES)))
         .alias("explicit_changes"),
         reason.alias("error_reason"),
         F.col(text),
@@ -114,11 +106,11 @@ def read_transaction_payloads(payloads: DataFrame, text: str = "payload_json") -
     The payload's place in its array is the sequence number where the child has none of its own.
     """
     parsed = payloads.withColumn("_t", F.from_json(text, _TRANSACTION)).withColumn("_keys", F.json_object_keys(text))
-    time_text = _text(F.col("_t.committed_at"))
+    time_text = F.col("_t.committed_at")
     envelope = parsed.select(
         *[c for c in payloads.columns if c != text],
-        _text(F.col("_t.transaction_id")).alias("envelope_transaction_id"),
-        F.coalesce(_text(F.col("_t.commit_lsn")), _text(F.col("_t.source_position"))).alias("envelope_commit_lsn"),
+        F.col("_t.transaction_id").alias("envelope_transaction_id"),
+        F.coalesce("_t.commit_lsn", "_t.source_position").alias("envelope_commit_lsn"),
         T.parse_time(time_text).alias("committed_at"),
         (
             F.when(F.col("_keys").isNull(), "not a JSON object")
