@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions.lsn import lsn_to_number
-from changeflow.operators.salted import spread_join
+from changeflow.operators.few import spread_join
 
 
 class PreflightError(RuntimeError):

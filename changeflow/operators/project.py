@@ -17,20 +17,15 @@ from changeflow.schemas import TXN_KEYS
 
 PART_EVENTS = 4096
 PART = "part"
-DIGEST_LIMBS = 8
-
-EVENT_COLUMNS = [
-    "event_id", "source", "operation", "namespace", "entity", "identity", "source_position",
-    "transaction_id", "occurred_at", "data", "changes", "metadata",
-]
+DIGEST_LIMBS = 4
 
 
 def part_number() -> Column:
     return F.coalesce(F.expr(f"sequence_number div {PART_EVENTS}"), F.lit(0))
 
 
-def project_events(events: DataFrame) -> DataFrame:
-    """The twelve canonical columns, beside the feed columns that place the event."""
+def project_events(events: DataFrame, *more: str | Column) -> DataFrame:
+    """The twelve canonical columns, beside the feed columns that place the event and any others asked for."""
     return events.select(
         "source_name", "slot_name", "seq", "transport_lsn", "sequence_number",
         P.event_id().alias("event_id"),
@@ -41,7 +36,7 @@ def project_events(events: DataFrame) -> DataFrame:
         P.occurred_at().alias("occurred_at"),
         P.event_data().alias("data"),
         P.column_changes().alias("changes"),
-        "metadata",
+        "metadata", *more,
     )
 
 
@@ -50,24 +45,23 @@ def event_bodies(projected: DataFrame) -> DataFrame:
     return projected.withColumn("body", P.event_json())
 
 
-def _limb(number: int) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.col("sequence_number").cast("string"), F.col("event_id")), 256)
-    return F.conv(F.substring(digest, 1 + 8 * number, 8), 16, 10).cast("bigint")
-
-
 def transaction_facts(projected: DataFrame) -> DataFrame:
     """One row per transaction: count, first source, last position, and a digest of the ordered child ids.
 
-    The digest adds up eight 32-bit limbs of sha256(sequence|child id). Sums do not depend on how
+    The digest adds up the leading 32-bit limbs of sha256(sequence|child id). Sums do not depend on how
     rows are split, so a hot transaction is pre-aggregated on every task that reads some of it.
     """
     has_position = F.col("source_position").isNotNull()
-    return projected.groupBy(*TXN_KEYS).agg(
+    child = F.sha2(F.concat_ws("|", F.col("sequence_number").cast("string"), F.col("event_id")), 256)
+    limbs = [
+        F.sum(F.conv(F.substring("_child", 1 + 8 * n, 8), 16, 10).cast("bigint")).cast("string") for n in range(DIGEST_LIMBS)
+    ]
+    return projected.withColumn("_child", child).groupBy(*TXN_KEYS).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min_by("source", "sequence_number").alias("first_source"),
         F.max_by("source_position", F.when(has_position, F.col("sequence_number"))).alias("last_position"),
         F.max(part_number()).alias("last_part"),
-        F.concat_ws(".", *[F.sum(_limb(n)).cast("string") for n in range(DIGEST_LIMBS)]).alias("children_digest"),
+        F.concat_ws(".", *limbs).alias("children_digest"),
     )
 
 
@@ -108,11 +102,11 @@ def project_transactions(projected: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def event_parts(projected: DataFrame) -> DataFrame:
+def event_parts(projected: DataFrame, keys: list[str] = TXN_KEYS) -> DataFrame:
     """JSON of the child events in sequence order, at most PART_EVENTS of them per row."""
     child = F.struct("sequence_number", P.event_json().alias("body"))
     ordered = F.transform(F.sort_array(F.collect_list(child)), lambda c: c["body"])
-    return projected.withColumn(PART, part_number()).groupBy(*TXN_KEYS, PART).agg(
+    return projected.withColumn(PART, part_number().cast("bigint")).groupBy(*keys, PART).agg(
         F.array_join(ordered, ",").alias("children")
     )
 
@@ -141,18 +135,18 @@ def unwrap_to_events(events: DataFrame) -> DataFrame:
     """Event unit: an envelope becomes its events, `group_end` on the last only; a bare event ends its own group.
 
     The last sequence number comes from a pre-aggregated maximum, matched back per part so that the
-    rows of a hot transaction stay spread over its parts.
+    rows of a hot transaction stay spread over its parts. Bare events have no key and skip the join.
     """
-    numbered = events.withColumn(PART, part_number())
+    bare = F.col("transaction_id").isNull()
+    numbered = events.where(~bare).withColumn(PART, part_number())
     ends = (
-        numbered.where(F.col("transaction_id").isNotNull())
-        .groupBy(*TXN_KEYS).agg(F.max("sequence_number").alias("sequence_number"))
+        numbered.groupBy(*TXN_KEYS).agg(F.max("sequence_number").alias("sequence_number"))
         .withColumn(PART, part_number())
         .withColumn("_last", F.lit(True))
     )
     joined = numbered.join(ends, [*TXN_KEYS, PART, "sequence_number"], "left")
-    bare = F.col("transaction_id").isNull()
-    return joined.withColumn("group_end", bare | F.coalesce("_last", F.lit(False))).drop("_last", PART)
+    whole = joined.withColumn("group_end", F.coalesce("_last", F.lit(False))).drop("_last", PART)
+    return whole.unionByName(events.where(bare).withColumn("group_end", F.lit(True)))
 
 
 def wrap_as_transactions(events: DataFrame) -> DataFrame:

@@ -394,7 +394,7 @@ def k6_finalize(spark: SparkSession, sf: str) -> DataFrame:
     """The last group of each slot is open: it holds the mark back in a running feed and not at a clean end."""
     items = FD.registered_items(spark, sf).withColumn("completed", F.lit(True))
     newest = items.groupBy("source_name", "slot_name").agg(F.max("group_seq").alias("newest"))
-    from changeflow.operators.salted import spread_join
+    from changeflow.operators.few import spread_join
 
     marked = spread_join(items, newest, ["source_name", "slot_name"], by="seq").withColumn("group_closed", F.col("group_seq") < F.col("newest"))
     running = PG.contiguous_watermark(PG.group_states(marked)).select("slot_name", F.col("last_group").alias("running"))

@@ -99,7 +99,7 @@ TRANSACTIONS = """, limbs AS (
   SELECT n, sn, event_id, sha256(sn || '|' || event_id) AS d FROM projected
 ), digests AS (
   SELECT n, concat_ws('.', """ + ", ".join(
-    f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8)
+    f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR)" for k in range(4)
 ) + """) AS digest, count(*) AS cnt FROM limbs GROUP BY n
 ), txn AS (
   SELECT p.n, CAST(p.n AS VARCHAR) AS transaction_id, cnt AS event_count, digest,

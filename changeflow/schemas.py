@@ -18,6 +18,20 @@ TXN_HEADER = f"""
     transport_lsn string, commit_lsn string, committed_at timestamp, metadata {ROW_MAP}
 """
 
+# Canonical event columns beside the feed columns that place the event.
+PROJECTED_EVENT = f"""
+    source_name string, slot_name string, seq bigint, transport_lsn string, sequence_number int,
+    event_id string, source string, operation string, namespace string, entity string, identity {ROW_MAP},
+    source_position string, transaction_id string, occurred_at string, data {ROW_MAP}, changes {CHANGES},
+    metadata {ROW_MAP}
+"""
+
+# Canonical transaction columns without its keys and events.
+ENVELOPE = f"""
+    event_id string, type string, source string, source_position string, commit_lsn string,
+    committed_at string, event_count bigint, last_part bigint, metadata {ROW_MAP}
+"""
+
 TXN_KEYS = ["source_name", "slot_name", "transaction_id"]
 
 CHECKPOINTS = "source_name string, slot_name string, publication_name string, last_lsn string, updated_at timestamp"
