@@ -15,7 +15,7 @@ from changeflow.operators import progress as PG
 from changeflow.operators import project as P
 from changeflow.operators import route as R
 from changeflow.plans import feed as FD
-from changeflow.plans.checks_ingest import field, publication_facts
+from changeflow.plans.checks_ingest import answering, field, publication_facts
 from changeflow.plans.checks_payload import current_letters
 from changeflow.plans.registry import query
 from changeflow.plans.relay import Relay
@@ -297,14 +297,9 @@ def _raw_rows(events: DataFrame) -> DataFrame:
     return changes.withColumn("sequence_number", F.lit(None).cast("int")).unionByName(commits, allowMissingColumns=True)
 
 
-def _answer(destination: str, key: str, chunks) -> int:
-    """In-process receiver for the streams: every fifth transaction is refused."""
-    size = sum(len(chunk) for chunk in chunks)
-    return 500 if size == 0 or int(key.split(":")[4]) % 5 == 2 else 200
-
-
 def _relay(spark: SparkSession, sf: str) -> Relay:
-    return Relay(spark, run_folder(spark, "relay"), FD.DESTINATIONS, _answer)
+    """A new relay whose receiver refuses every fifth transaction."""
+    return Relay(spark, run_folder(spark, "relay"), FD.DESTINATIONS, answering((200, 200, 500, 200, 200)))
 
 
 def _split_stream(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ from changeflow.session import run_folder
 from changeflow.sources import payload_files as PL
 from changeflow.sources.catalog import read_publication_tables, read_slot_status
 from changeflow.sources.feeds import stream_change_feed
-from changeflow.sources.sinks import deliver_batch, write_payload_json
+from changeflow.sources.sinks import Transport, deliver_batch, write_payload_json
 from changeflow.sources.state import StateTables
 from changeflow.streaming.stream import run_finite
 
@@ -173,12 +173,15 @@ def a7_write_payload_json(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "body")
 
 
-def _answer_by_transaction(destination: str, key: str, chunks) -> int:
-    """In-process receiver: reads the whole body and answers by transaction number."""
-    received = sum(len(chunk) for chunk in chunks)
-    if received == 0:
-        raise ConnectionError("empty body")
-    return (200, 204, 500, 503, 429)[int(key.split(":")[4]) % 5]
+def answering(codes: tuple[int, ...]) -> Transport:
+    """In-process receiver that reads the whole body and answers by transaction number."""
+
+    def receive(destination: str, key: str, chunks) -> int:
+        if sum(len(chunk) for chunk in chunks) == 0:
+            raise ConnectionError("empty body")
+        return codes[int(key.split(":")[4]) % len(codes)]
+
+    return receive
 
 
 @query("a8_deliver_batch", """
@@ -190,7 +193,7 @@ def a8_deliver_batch(spark: SparkSession, sf: str) -> DataFrame:
     bodies = P.transaction_bodies(P.project_transactions(events, FD.headers(spark, sf)), P.event_parts(events))
     routed = bodies.join(FD.transaction_pairs(spark, sf).select(*TXN_KEYS, "destination", L.KEY), TXN_KEYS)
     path = run_folder(spark, "sent")
-    deliver_batch(routed, _answer_by_transaction, connections=8).write.parquet(path)
+    deliver_batch(routed, answering((200, 204, 500, 503, 429)), connections=8).write.parquet(path)
     return spark.read.parquet(path).drop("error_message")
 
 
