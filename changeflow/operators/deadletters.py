@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from changeflow.config import Destination
 from changeflow.functions import text as T
+from changeflow.functions.payload import operation_or_type
 from changeflow.operators.ledger import KEY
 from changeflow.operators.route import by_destination, enabled
+from changeflow.schemas import WORK
 
 # The three states of a dead letter, the listing limit and the default replay filter.
 STATUSES = ("pending", "resolved", "ignored")
@@ -32,7 +34,8 @@ def build_dead_letters(failed: DataFrame) -> DataFrame:
 
     Expects the payload columns, `body`, and the resolved `error`, `attempts` and `finished_at`.
     """
-    operation = F.coalesce("operation", "type") if "type" in failed.columns else F.col("operation")
+    operation = operation_or_type() if "type" in failed.columns else F.col("operation")
+    work = F.col("work") if "work" in failed.columns else F.lit(None).cast(WORK)
     rows = failed.select(
         KEY, "event_id", F.col("source").alias("source_name"), "destination",
         operation.alias("operation"), "namespace", "entity", "source_position",
@@ -40,7 +43,7 @@ def build_dead_letters(failed: DataFrame) -> DataFrame:
         F.col("attempts").cast("int").alias("retry_count"),
         F.lit(DEFAULT_STATUS).alias("status"),
         F.col("finished_at").alias("failed_at"), F.col("finished_at").alias("updated_at"),
-        F.col("body").alias("payload_json"),
+        work.alias("work"), F.col("body").alias("payload_json"),
     )
     return rows.select(dead_letter_id().alias("dead_letter_id"), "*")
 

@@ -201,3 +201,10 @@ def attach_identity(changes: DataFrame, tables: DataFrame) -> DataFrame:
         "identity": F.when(names.isNotNull(), picked).otherwise(F.col("identity")),
         "identity_complete": names.isNull() | F.coalesce(complete, F.lit(False)),
     })
+
+
+def require_complete_identity(changes: DataFrame) -> None:
+    """A change that lacks part of its table's key cannot be identified downstream."""
+    bad = changes.where(~F.col("identity_complete")).select("namespace", "entity", "seq").take(1)
+    if bad:
+        raise PreflightError(f"{bad[0]['namespace']}.{bad[0]['entity']}: change {bad[0]['seq']} lacks identity columns")

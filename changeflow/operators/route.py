@@ -51,6 +51,14 @@ def route_events(events: DataFrame, destinations: list[Destination]) -> DataFram
     return _explode_matches(events, [(d, route_matches(d.route)) for d in destinations])
 
 
+def event_matches(events: DataFrame, destinations: list[Destination]) -> DataFrame:
+    """One row per event and destination, `matched` when the event fits the destination's route."""
+    pairs = F.array(*[
+        F.struct(F.lit(d.name).alias("destination"), route_matches(d.route).alias("matched")) for d in destinations
+    ])
+    return events.select("*", F.inline(pairs))
+
+
 def transaction_matches(events: DataFrame, destinations: list[Destination]) -> DataFrame:
     """One row per transaction and destination, `matched` when any child matches the destination's route.
 

@@ -193,7 +193,7 @@ def a8_deliver_batch(spark: SparkSession, sf: str) -> DataFrame:
     bodies = P.transaction_bodies(P.project_transactions(events, FD.headers(spark, sf)), P.event_parts(events))
     routed = bodies.join(FD.transaction_pairs(spark, sf).select(*TXN_KEYS, "destination", L.KEY), TXN_KEYS)
     path = run_folder(spark, "sent")
-    deliver_batch(routed, answering((200, 204, 500, 503, 429)), connections=8).write.parquet(path)
+    deliver_batch(routed, answering((200, 204, 500, 503, 429)), connections=spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.parquet(path).drop("error_message")
 
 

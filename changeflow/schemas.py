@@ -46,10 +46,13 @@ ATTEMPTS = """
     error_class string, error_message string, attempted_at timestamp
 """
 
-DEAD_LETTERS = """
+# What a delivery's ledger row says beside its key, kept with the dead letter for a later replay.
+WORK = "struct<source_name:string,slot_name:string,delivery_unit:string,transaction_id:string>"
+
+DEAD_LETTERS = f"""
     dead_letter_id string, idempotency_key string, event_id string, source_name string, destination string, operation string,
     namespace string, entity string, source_position string, error_class string, error_message string,
-    retry_count int, status string, failed_at timestamp, updated_at timestamp, payload_json string
+    retry_count int, status string, failed_at timestamp, updated_at timestamp, work {WORK}, payload_json string
 """
 
 # Bodies of letters whose payload has more than one part; their payload_json is NULL.

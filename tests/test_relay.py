@@ -63,8 +63,8 @@ def feed(events, transactions=6, size=3):
     return events(*rows)
 
 
-def relay(spark, tmp_path, name, refuse=()):
-    return Relay(spark, run_folder(spark, name), TARGETS, Receiver(str(tmp_path / name), refuse))
+def relay(spark, tmp_path, name, refuse=(), unit="transaction"):
+    return Relay(spark, run_folder(spark, name), TARGETS, Receiver(str(tmp_path / name), refuse), unit=unit)
 
 
 def summary(relay):
@@ -160,6 +160,22 @@ def test_bare_events_are_delivered_one_by_one(spark, events, tmp_path):
     assert r.state.read("ledger").groupBy("destination").count().orderBy("destination").collect() == [("all", 3), ("orders", 3)]
 
 
+def test_event_unit_routes_and_redacts_each_event(spark, events, tmp_path):
+    r = relay(spark, tmp_path, "events", refuse=("2",), unit="event")
+    r.process(feed(events), 0)
+    ledger = r.state.read("ledger")
+    assert ledger.groupBy("destination").count().orderBy("destination").collect() == [("all", 15), ("orders", 2)]
+    assert {row["delivery_unit"] for row in ledger.collect()} == {"event"}
+    bodies = [json.loads(body) for head, body in r.transport.bodies() if head.startswith("orders")]
+    assert {b["data"]["email"] for b in bodies} == {"[REDACTED]"} and all("payload_policy" in b["metadata"] for b in bodies)
+    letters = r.letters().collect()
+    assert len(letters) == 4 and {row["operation"] for row in letters} == {"insert"} and {row["namespace"] for row in letters} == {"public"}
+    assert PG.latest_checkpoints(r.state.read("checkpoints"), "batch_id").first()["last_lsn"] == "1/6"
+    r.transport.refuse = ()
+    assert {row["status"] for row in r.replay(r.letters(), 1).collect()} == {"delivered"}
+    assert r.state.read("ledger").select("idempotency_key").distinct().count() == 21
+
+
 def test_hot_transaction_arrives_whole(spark, events, tmp_path):
     size = 2 * P.PART_EVENTS + 10
     one = events({"transport_lsn": "1/1", "commit_lsn": "0/1", "new_values": {"id": "1", "email": '"x"'}, "sequence_number": None})

@@ -110,7 +110,11 @@ def test_identity_is_picked_from_the_row_with_and_without_broadcast(spark, event
     tables = spark.createDataFrame([("public", "orders", ["tenant", "member"]), ("public", "free", [])], "schema_name string, table_name string, replica_identity_columns array<string>")
     row = {"tenant": "9", "member": '"m"', "x": "1"}
     df = events({"new_values": row}, {"operation": "delete", "old_values": row}, {"new_values": {"tenant": "9"}}, {"entity": "free", "new_values": row, "identity": {"id": "1"}}, {"entity": "unknown", "new_values": row})
-    got = [(r["identity"], r["identity_complete"]) for r in PR.attach_identity(df, tables).orderBy("seq").collect()]
+    attached = PR.attach_identity(df, tables)
+    PR.require_complete_identity(attached.where("seq <> 2"))
+    with pytest.raises(PR.PreflightError, match="change 2 lacks"):
+        PR.require_complete_identity(attached)
+    got = [(r["identity"], r["identity_complete"]) for r in attached.orderBy("seq").collect()]
     key = {"tenant": "9", "member": '"m"'}
     assert got == [(key, True), (key, True), ({"tenant": "9"}, False), ({"id": "1"}, True), (None, True)]
 
