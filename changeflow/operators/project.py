@@ -104,11 +104,10 @@ def project_transactions(projected: DataFrame, headers: DataFrame) -> DataFrame:
 
 def event_parts(projected: DataFrame, keys: list[str] = TXN_KEYS) -> DataFrame:
     """JSON of the child events in sequence order, at most PART_EVENTS of them per row."""
-    child = F.struct("sequence_number", P.event_json().alias("body"))
-    ordered = F.transform(F.sort_array(F.collect_list(child)), lambda c: c["body"])
-    return projected.withColumn(PART, part_number().cast("bigint")).groupBy(*keys, PART).agg(
-        F.array_join(ordered, ",").alias("children")
-    )
+    # The text is made first, so that only it and the number are sorted and shuffled, not the row it came from.
+    bodies = projected.select(*keys, part_number().cast("bigint").alias(PART), "sequence_number", P.event_json().alias("body"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sequence_number", "body"))), lambda c: c["body"])
+    return bodies.groupBy(*keys, PART).agg(F.array_join(ordered, ",").alias("children"))
 
 
 def transaction_bodies(transactions: DataFrame, parts: DataFrame, keys: list[str] = TXN_KEYS) -> DataFrame:

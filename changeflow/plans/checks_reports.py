@@ -20,7 +20,7 @@ from changeflow.operators import project as P
 from changeflow.operators import route as R
 from changeflow.plans import feed as FD
 from changeflow.plans.checks_delivery import _checkpoints, resolved
-from changeflow.plans.checks_ingest import SECRET, field, publication_facts
+from changeflow.plans.checks_ingest import SECRET, field
 from changeflow.plans.checks_payload import current_letters
 from changeflow.plans.registry import query
 
