@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.config import Destination, check_unit
+from changeflow.operators.few import BROADCAST_BYTES, text_bytes
 from changeflow.operators.route import by_destination, enabled
 
 KEY = "idempotency_key"
@@ -32,10 +33,16 @@ def first_per_key(pairs: DataFrame, order: str) -> DataFrame:
     return pairs.groupBy(KEY).agg(F.min(order).alias(order))
 
 
-def already_delivered(keys: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger keys that occur among `keys`. The ledger is the side that is filtered, so a small batch is
-    broadcast by size at run time and the long ledger is scanned without a shuffle."""
-    return ledger.select(KEY).join(keys.select(KEY), KEY, "left_semi").distinct()
+def known_keys(stored: DataFrame, ledger: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Ledger keys that a written batch can meet.
+
+    A batch whose keys measure up to `limit` is broadcast to the ledger, which is then scanned without a
+    shuffle and leaves only the keys in question. For a larger batch the ledger is joined as it is.
+    """
+    keys = stored.select(KEY).distinct()
+    if text_bytes(keys) <= limit:
+        return ledger.select(KEY).join(F.broadcast(keys), KEY, "left_semi")
+    return ledger.select(KEY)
 
 
 def undelivered(pairs: DataFrame, ledger: DataFrame, order: str) -> DataFrame:

@@ -158,6 +158,13 @@ def test_copies_of_one_key_leave_one_attempt(spark):
     assert L.undelivered(many, spark.createDataFrame([("k",)], "idempotency_key string"), "arrival").count() == 0
 
 
+def test_known_keys_with_and_without_broadcast(spark):
+    ledger = spark.createDataFrame([("a",), ("b",)], "idempotency_key string")
+    batch = pairs(spark, ("a", "d", True, 1), ("c", "d", True, 2))
+    assert [r[0] for r in L.known_keys(batch, ledger).collect()] == ["a"]
+    assert sorted(r[0] for r in L.known_keys(batch, ledger, limit=0).collect()) == ["a", "b"]
+
+
 def test_first_ledger_write_wins(spark):
     ledger = spark.createDataFrame([("a", "old", 0)], "idempotency_key string, destination string, at int")
     new = spark.createDataFrame([("a", "new", 1), ("b", "late", 3), ("b", "early", 2)], "idempotency_key string, destination string, at int")
