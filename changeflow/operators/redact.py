@@ -16,10 +16,6 @@ from changeflow.schemas import CHANGES
 STAMP = "payload_policy"
 
 
-def _casefold_match(rule: Rule) -> Column:
-    return route_matches(rule.selector)
-
-
 def _listed(name: Column, columns: tuple[str, ...]) -> Column:
     """Column names are compared exactly."""
     return name.isin(*columns)
@@ -66,7 +62,9 @@ def _apply_rule(rule: Rule, data: Column, identity: Column, changes: Column) ->
 def apply_policy(events: DataFrame, policy: Policy, when: Column | None = None) -> DataFrame:
     """Rules in order, each seeing the result of the one before. No rules: the rows come back untouched."""
     for rule in policy.rules:
-        match = _casefold_match(rule) if when is None else when & _casefold_match(rule)
+        match = route_matches(rule.selector)
+        if when is not None:
+            match = when & match
         before = [F.col("data"), F.col("identity"), F.col("changes")]
         after = _apply_rule(rule, *before)
         events = events.withColumns({
