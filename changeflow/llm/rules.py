@@ -68,7 +68,8 @@ def labelled_statistics(documents: DataFrame, labels: DataFrame, sample: int = S
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
     chosen = stored(known.where(place < int(share * 1_000_000)).select(F.col("doc_id").alias("_id"), "quality"), "sample")
     rows = documents.select("doc_id", "text").join(few(chosen), F.col("doc_id") == F.col("_id"))
-    counted = stats.counted(rows.select("doc_id", "text")).where(~base_failed())
+    # Written before they are filtered: a filter on a statistic would otherwise work it out a second time.
+    counted = stored(stats.counted(rows.select("doc_id", "text")), "counted").where(~base_failed())
     shares = counted.select("doc_id", *(c.alias(name) for name, c in _shares().items()))
     marked = shares.join(few(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
     return stored(marked.select(
