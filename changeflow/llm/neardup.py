@@ -6,8 +6,9 @@ in a row are a band. Documents that agree in a band are candidates, an estimate
 that chance gives) drops the hopeless ones, and the rest are compared on their full sets.
 
 Work per hot group is linear. Equal sets are one class before anything is compared. In a band every member is compared
-with one pivot, then with a second one where the band still holds several components, and only then members of different
-components that no pivot joined. Components come from written edge tables, contracted until nothing changes.
+with one pivot, then with a second one where the band still holds several components. Members of different components that
+no pivot joined are compared by their registers in cells of some hundred members, and only hopeful pairs leave a cell.
+Components come from written edge tables, contracted until nothing changes.
 
 Results in odd cases: NULL or blank text has an empty set, links to nothing and is kept under its own id. Texts with
 fewer than five words are one shingle. Repeated rows are copies of each other; all rows with the smallest id are kept.
@@ -36,6 +37,8 @@ MANTISSA_BITS = 10
 BAND = 4
 #: A candidate is compared in full unless its estimate is this many standard errors below the threshold.
 MARGIN = 5.0
+#: Members of a band in one part; two parts are compared at a time.
+CELL = 256
 #: Chance that two large sets without common elements agree in a register, times 2 to the mantissa bits (published).
 COLLISION = 0.169919487159739093975315012348
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -113,15 +116,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [batch.column("cid").slice(row, 1), pa.array([elements.tobytes()], pa.binary())], ["cid", "elements"])
 
 
+def _may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    guess, used = estimate(a, b, n_a, n_b)
+    share = PERCENT / 100
+    return guess >= share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(1, used))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in ("registers_a", "registers_b"))
-        guess, used = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-        share = PERCENT / 100
-        keep = guess >= share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(1, used))
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
+        if batch.num_rows:
+            numbers = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
+            keep = _may_link(_rows(batch.column("registers_a")), _rows(batch.column("registers_b")), *numbers)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+
+def _hopeful_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hopeful pairs of each cell, for rows sorted by cell. A cell holds two parts of a band's members, or one part twice."""
+
+    def pairs(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(cell).combine_chunks()
+        cid, root, part, n = (rows[x].to_numpy() for x in ("cid", "root", "part", "n_shingles"))
+        mine = _rows(rows["registers"])
+        one = rows["low"][0].as_py() == rows["high"][0].as_py()
+        left, right = [], []
+        for i in range(len(cid)):
+            other = (cid > cid[i]) & (root != root[i]) & (one | (part != part[i]))
+            at = np.flatnonzero(other)
+            if len(at):
+                at = at[_may_link(mine[i : i + 1], mine[at], n[i : i + 1], n[at])]
+                left.append(np.full(len(at), cid[i])), right.append(cid[at])
+        both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["a", "b"])
+
+    last, cell = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(x).to_pylist() for x in ("band", "low", "high")), strict=True))
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[start]:
+                if keys[start] != last and cell:
+                    yield pairs(cell)
+                    cell = []
+                last = keys[start]
+                cell.append(batch.slice(start, i - start))
+                start = i
+    if cell:
+        yield pairs(cell)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +217,8 @@ class _Pairs:
     def __init__(self, documents: DataFrame, classes: DataFrame):
         self.documents, self.classes, self.done = documents, classes, None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b), those not compared before that link on their full sets."""
+    def links(self, pairs: DataFrame, hopeful: bool = False) -> DataFrame:
+        """Of candidate pairs (a, b), those not compared before that link on their full sets. hopeful: already estimated."""
         pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["a", "b"], "left_anti")
@@ -183,8 +227,9 @@ class _Pairs:
             return pairs
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
         side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("registers").alias(f"registers_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
-        pairs = stored(both.mapInArrow(_hopeful, "a long, b long"), "hopeful")
+        if not hopeful:
+            both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
+            pairs = stored(both.mapInArrow(_hopeful, "a long, b long"), "hopeful")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         wanted = stored(self.classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("rep").alias("doc_id")), "wanted")
         texts = self.documents.join(few(wanted), self.documents["doc_id"].eqNullSafe(wanted["doc_id"])).select("cid", "digest", "text")
@@ -212,6 +257,21 @@ def _open(shared: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.join(several, "band")
 
 
+def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Hopeful pairs of members of one band and different components.
+
+    A band's members are dealt into parts, and every two parts meet in a cell of their own, so that no task has more than a cell at once.
+    """
+    sizes = stored(members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y"), "sizes")
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    rows = members.join(sizes.select("band", parts.alias("parts")), "band")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    rows = rows.join(classes.select("cid", "registers", "n_shingles"), "cid")
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cid", "root", "registers", "n_shingles")
+    return cells.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_hopeful_in_cells, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept."""
     documents = documents.select("doc_id", "text")
@@ -231,10 +291,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = _open(shared, stars)
     more = compare.links(members.where("cid <> second and cid <> pivot").select(F.col("cid").alias("a"), F.col("second").alias("b")))
     links, stars = _joined(links, stars, more)
-    members = stored(_open(shared, stars).where("cid <> pivot and cid <> second"), "strays")
-    left = members.select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"))
-    right = members.select("band", F.col("cid").alias("b"), F.col("root").alias("root_b"))
-    more = compare.links(left.join(right, "band").where("a < b and root_a <> root_b").select("a", "b"))
+    members = stored(_open(shared, stars).where("cid <> pivot and cid <> second").select("band", "cid", "root"), "strays")
+    more = compare.links(_across(members, classes), hopeful=True)
     links, stars = _joined(links, stars, more)
     # Only classes with copies or links need a name other than the document's own id.
     rooted = _labelled(classes.select("cid", "digest", "rep", "copies"), stars)
