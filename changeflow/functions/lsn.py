@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PAIR = r"^[0-9A-Fa-f]{1,8}/[0-9A-Fa-f]{1,8}$"
-WHOLE = r"^[0-9]{1,18}$"
+PAIR = r"^[0-9A-Fa-f]+/[0-9A-Fa-f]+$"
+WHOLE = r"^[0-9]+$"
 HALF = 4294967296
 
 # The metadata keys that may hold a position, in order of preference.
@@ -20,12 +20,16 @@ def lsn_valid(value: Column) -> Column:
     return F.coalesce(text.rlike(PAIR) | text.rlike(WHOLE), F.lit(False))
 
 
+def _half(text: Column, place: int) -> Column:
+    """One hex half as a number; leading zeros do not matter, and NULL stands for what no BIGINT holds."""
+    digits = F.regexp_replace(F.split_part(text, F.lit("/"), F.lit(place)), r"^0+(?=.)", "")
+    return F.when(F.length(digits) <= 16, F.conv(digits, 16, 10).try_cast("bigint"))
+
+
 def lsn_to_number(value: Column) -> Column:
     """HEX/HEX or decimal text to a byte position; NULL when malformed or above the BIGINT range."""
     text = value.cast("string")
-    high = F.conv(F.split_part(text, F.lit("/"), F.lit(1)), 16, 10).cast("bigint")
-    low = F.conv(F.split_part(text, F.lit("/"), F.lit(2)), 16, 10).cast("bigint")
-    pair = F.try_add(F.try_multiply(high, F.lit(HALF)), low)
+    pair = F.try_add(F.try_multiply(_half(text, 1), F.lit(HALF)), _half(text, 2))
     return F.when(text.rlike(PAIR), pair).when(text.rlike(WHOLE), text.try_cast("bigint"))
 
 
@@ -41,7 +45,7 @@ def number_to_lsn(value: Column) -> Column:
 def normalise_lsn(value: Column) -> Column:
     """Pairs stay as they are, decimal text becomes a pair, blank becomes NULL."""
     text = F.nullif(value.cast("string"), F.lit(""))
-    return F.when(text.rlike(WHOLE), number_to_lsn(text.try_cast("bigint"))).otherwise(text)
+    return F.coalesce(F.when(text.rlike(WHOLE), number_to_lsn(text.try_cast("bigint"))), text)
 
 
 def lsn_diff(later: Column, earlier: Column) -> Column:

@@ -67,7 +67,7 @@ def column_changes() -> Column:
 
 def transaction_id_json(value: Column) -> Column:
     """Whole numbers are written bare, as the source's transaction counter is a number."""
-    return F.when(value.rlike(r"^(0|[1-9][0-9]{0,17})$"), value).otherwise(T.json_string(value))
+    return F.when(value.rlike(r"^(0|[1-9][0-9]*)$"), value).otherwise(T.json_string(value))
 
 
 def event_json() -> Column:

@@ -75,9 +75,10 @@ def fanout_summary(outcomes: DataFrame, work: list[str]) -> DataFrame:
 
 
 def processor_result(status: Column) -> Column:
-    """skipped stays skipped; a dead letter or a partial fan-out is a failure that is not retried; else success."""
+    """skipped stays skipped; a dead letter or a partial fan-out is a failure that is not retried; unfinished work is open."""
     return (
         F.when(status == "skipped", "skipped")
+        .when(status.isNull() | (status == "in_progress"), "open")
         .when(status.isin("dead_lettered", "fanout_partial"), "failure")
         .otherwise("success")
     )

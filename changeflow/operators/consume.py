@@ -128,11 +128,11 @@ def key_sets(payloads: DataFrame) -> DataFrame:
 
 
 def check_identity(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Per transaction: one identity throughout, with the expected number of columns."""
+    """Per transaction: one identity throughout, which every event has, with the expected number of columns."""
     text = canonical_map(F.col("identity"))
     return events.groupBy(*keys).agg(
-        F.min(text).eqNullSafe(F.max(text)).alias("same_identity"),
-        F.min(F.size("identity")).alias("fewest_columns"),
+        (F.coalesce(F.min(text) == F.max(text), F.lit(False)) & (F.count("identity") == F.count(F.lit(1)))).alias("same_identity"),
+        F.min(F.coalesce(F.size("identity"), F.lit(0))).alias("fewest_columns"),
         F.count(F.lit(1)).alias("events"),
     )
 

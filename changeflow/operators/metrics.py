@@ -61,15 +61,15 @@ def delivery_gauges(dead_letters: DataFrame, ledger: DataFrame, destinations: li
 
 
 def dispatch_counters(results: DataFrame, tags: list[str]) -> DataFrame:
-    """Started plus one of succeeded, failed, skipped per result, by metric and sorted tags."""
+    """Started, and for finished work one of succeeded, failed, skipped, by metric and sorted tags."""
     counted = results.groupBy("result", *sorted(tags)).agg(F.count(F.lit(1)).alias("n"))
     metrics = F.array(
         F.lit(DISPATCH_TOTALS["started"]),
         F.when(F.col("result") == "success", DISPATCH_TOTALS["success"])
         .when(F.col("result") == "failure", DISPATCH_TOTALS["failure"])
-        .otherwise(DISPATCH_TOTALS["skipped"]),
+        .when(F.col("result") == "skipped", DISPATCH_TOTALS["skipped"]),
     )
-    return counted.withColumn("name", F.explode(metrics)).groupBy("name", *sorted(tags)).agg(F.sum("n").alias("value"))
+    return counted.withColumn("name", F.explode(F.array_compact(metrics))).groupBy("name", *sorted(tags)).agg(F.sum("n").alias("value"))
 
 
 def sorted_metrics(counters: DataFrame, tags: list[str]) -> DataFrame:
@@ -124,8 +124,9 @@ def delivery_rate(ledger: DataFrame, keys: list[str], minutes: int = 5) -> DataF
 
 
 def wal_budget_ratio() -> Column:
+    """Share of the log budget in use; NULL, and so no sample, where either size is unknown."""
     retained, safe = F.col("retained_wal_bytes"), F.col("safe_wal_size")
-    return retained / F.greatest(retained + safe, F.lit(1))
+    return F.when(retained.isNotNull() & safe.isNotNull(), retained / F.greatest(retained + safe, F.lit(1)))
 
 
 def sustained_alerts(

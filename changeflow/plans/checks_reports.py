@@ -117,7 +117,7 @@ def f7_fanout_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f8_processor_result", _FANOUT + """
 SELECT 'fanout' AS kind, CASE status WHEN 'fanout_partial' THEN 'failure' ELSE 'success' END AS result, count(*) AS n FROM fanouts GROUP BY ALL
-UNION ALL SELECT 'single', CASE status WHEN 'skipped' THEN 'skipped' WHEN 'dead_lettered' THEN 'failure' ELSE 'success' END, count(*) FROM verdicts GROUP BY ALL""")
+UNION ALL SELECT 'single', CASE status WHEN 'skipped' THEN 'skipped' WHEN 'dead_lettered' THEN 'failure' WHEN 'in_progress' THEN 'open' ELSE 'success' END, count(*) FROM verdicts GROUP BY ALL""")
 def f8_processor_result(spark: SparkSession, sf: str) -> DataFrame:
     outcomes = _all_outcomes(spark, sf)
     single = outcomes.select(F.lit("single").alias("kind"), A.processor_result(F.col("status")).alias("result"))
@@ -127,9 +127,9 @@ def f8_processor_result(spark: SparkSession, sf: str) -> DataFrame:
 
 _DISPATCH = _FANOUT + """, results AS (
   SELECT destination, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS lane,
-    CASE status WHEN 'skipped' THEN 'skipped' WHEN 'dead_lettered' THEN 'failed' ELSE 'succeeded' END AS result FROM verdicts
+    CASE status WHEN 'skipped' THEN 'skipped' WHEN 'dead_lettered' THEN 'failed' WHEN 'in_progress' THEN 'open' ELSE 'succeeded' END AS result FROM verdicts
 ), counters AS (
-  SELECT 'dispatch_' || result || '_total' AS name, destination, lane, count(*) AS value FROM results GROUP BY ALL
+  SELECT 'dispatch_' || result || '_total' AS name, destination, lane, count(*) AS value FROM results WHERE result <> 'open' GROUP BY ALL
   UNION ALL SELECT 'dispatch_started_total', destination, lane, count(*) FROM results GROUP BY ALL
 )"""
 
@@ -174,12 +174,9 @@ def f13_delivery_rate_5m(spark: SparkSession, sf: str) -> DataFrame:
     return M.delivery_rate(_ledger(spark, sf), ["destination"])
 
 
-@query("f14_wal_budget_ratio", "SELECT sample, CAST(floor(retained * 10000 / greatest(retained + safe, 1)) AS BIGINT) AS ten_thousandths FROM slots")
+@query("f14_wal_budget_ratio", "SELECT sample, CASE WHEN retained IS NOT NULL AND safe IS NOT NULL THEN CAST(retained AS DOUBLE) / (CASE WHEN retained + safe < 1 THEN 1 ELSE retained + safe END) END AS ratio FROM slots")
 def f14_wal_budget_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    exact = F.floor(F.col("retained_wal_bytes") * 10000 / F.greatest(F.col("retained_wal_bytes") + F.col("safe_wal_size"), F.lit(1)))
-    checked = FD.slot_samples(spark, sf).withColumns({"ratio": M.wal_budget_ratio(), "exact": exact})
-    same = F.abs(F.col("ratio") * 10000 - F.col("exact")) < 1.001
-    return checked.select("sample", F.when(F.col("ratio").isNull() | same, F.col("exact")).otherwise(-1).cast("bigint").alias("ten_thousandths"))
+    return FD.slot_samples(spark, sf).select("sample", M.wal_budget_ratio().alias("ratio"))
 
 
 @query("f15_sustained_alerts", """, marked AS (
