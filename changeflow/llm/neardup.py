@@ -5,10 +5,12 @@ A document is the set of its distinct five-word shingles. Each shingle has a 64-
 in a row are a band. Documents that agree in a band are candidates, an estimate from all registers (less the agreements
 that chance gives) drops the hopeless ones, and the rest are compared on their full sets.
 
-Work per hot group is linear. Equal sets are one class before anything is compared. In a band every member is compared
-with one pivot, then with a second one where the band still holds several components. Members of different components that
-no pivot joined are compared by their registers in cells of some hundred members, and only hopeful pairs leave a cell.
-Components come from written edge tables, contracted until nothing changes.
+Equal sets are one class before anything is compared. In a band every member is compared with one pivot, the member that
+shares bands with most others, then with the most central member outside the pivot's component where the band still holds
+several. Members that no pivot joined are strays. A shingle that only one stray has cannot be common to two of them, so a
+stray with more than a quarter of such shingles links to no other and goes. The rest meet in cells of some hundred members,
+where the same bound, the registers and 1024 finer ones rule pairs out; only hopeful pairs leave a cell, from the first band
+that the two share. Components come from written edge tables, contracted until nothing changes.
 
 Results in odd cases: NULL or blank text has an empty set, links to nothing and is kept under its own id. Texts with
 fewer than five words are one shingle. Repeated rows are copies of each other; all rows with the smallest id are kept.
@@ -32,13 +34,14 @@ WORDS = 5
 PERCENT = 75
 REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
-VALUE_BITS = 64 - REGISTER_BITS
 MANTISSA_BITS = 10
+#: For strays, 1024 registers more.
+FINE_BITS = 10
 BAND = 4
 #: A candidate is compared in full unless its estimate is this many standard errors below the threshold.
 MARGIN = 5.0
 #: Members of a band in one part; two parts are compared at a time.
-CELL = 256
+CELL = 512
 #: Chance that two large sets without common elements agree in a register, times 2 to the mantissa bits (published).
 COLLISION = 0.169919487159739093975315012348
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -69,16 +72,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def registers(elements: np.ndarray) -> np.ndarray:
+def registers(elements: np.ndarray, bits: int = REGISTER_BITS) -> np.ndarray:
     """Leading-zero count and mantissa of each register's smallest hash; 0 where a register has none."""
-    out = np.zeros(REGISTERS, np.uint16)
+    out = np.zeros(1 << bits, np.uint16)
     if len(elements):
-        place = (elements >> np.uint64(VALUE_BITS)).astype(np.int64)
+        value_bits = 64 - bits
+        place = (elements >> np.uint64(value_bits)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        smallest = elements[first] & np.uint64((1 << VALUE_BITS) - 1)
+        smallest = elements[first] & np.uint64((1 << value_bits) - 1)
         fraction, power = np.frexp(smallest.astype(np.float64))
         mantissa = np.clip((fraction * 2 - 1) * (1 << MANTISSA_BITS), 0, (1 << MANTISSA_BITS) - 1).astype(np.int64)
-        out[place[first]] = ((VALUE_BITS + 1 - power) << MANTISSA_BITS) + mantissa
+        out[place[first]] = ((value_bits + 1 - power) << MANTISSA_BITS) + mantissa
     return out
 
 
@@ -87,9 +91,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     used = ((a > 0) | (b > 0)).sum(axis=1)
     agree = ((a == b) & (a > 0)).sum(axis=1)
     ratio = np.maximum(n_a, n_b) / np.maximum(1, np.minimum(n_a, n_b))
-    chance = COLLISION * 2.0 ** (REGISTER_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
+    chance = COLLISION * a.shape[1] * 2.0**-MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
     # Small sets leave registers empty, and an empty register cannot agree by chance.
-    chance = chance * (used / REGISTERS)
+    chance = chance * (used / a.shape[1])
     return np.maximum(0, agree - chance) / np.maximum(1, used), used
 
 
@@ -118,12 +122,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     guess, used = estimate(a, b, n_a, n_b)
+    used = np.maximum(1, used)
     share = PERCENT / 100
-    return guess >= share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(1, used))
+    # Registers sample the union without putting back, so the estimate is the surer the more of the union they hold (published).
+    others = np.maximum(1.0, (n_a + n_b) / (1 + share) - 1)
+    spread = np.maximum(0.0, (1 + 1 / others) / used - 1 / others)
+    # Agreement by chance has a spread of its own, and two registers more allow for sets of a few shingles.
+    chance = COLLISION * a.shape[1] * 2.0**-MANTISSA_BITS
+    return guess >= share - MARGIN * np.sqrt(share * (1 - share) * spread + chance / used**2) - 2 / used
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _rows(column: pa.Array, bits: int = REGISTER_BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 1 << bits)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of a set."""
+    for batch in batches:
+        for cid, elements in zip(batch.column("cid"), batch.column("elements"), strict=True):
+            found = np.frombuffer(elements.as_buffer(), np.int64)
+            for start in range(0, len(found), 1 << 16):
+                part = found[start : start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), cid.as_py())), pa.array(part)], ["cid", "shingle"])
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = [registers(np.frombuffer(x.as_buffer(), np.uint64), FINE_BITS).tobytes() for x in batch.column("elements")]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(fine, pa.binary())], ["cid", "fine"])
 
 
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +165,21 @@ def _hopeful_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     def pairs(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(cell).combine_chunks()
-        cid, root, part, n = (rows[x].to_numpy() for x in ("cid", "root", "part", "n_shingles"))
-        mine = _rows(rows["registers"])
+        cid, root, part, n, common = (rows[x].to_numpy() for x in ("cid", "root", "part", "n_shingles", "common"))
+        mine, fine, place = _rows(rows["registers"]), _rows(rows["fine"], FINE_BITS), rows["place"][0].as_py()
         one = rows["low"][0].as_py() == rows["high"][0].as_py()
         left, right = [], []
         for i in range(len(cid)):
-            other = (cid > cid[i]) & (root != root[i]) & (one | (part != part[i]))
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[_may_link(mine[i : i + 1], mine[at], n[i : i + 1], n[at])]
-                left.append(np.full(len(at), cid[i])), right.append(cid[at])
+            most = np.minimum(common[i], common)
+            at = np.flatnonzero((cid > cid[i]) & (root != root[i]) & (one | (part != part[i])) & (100 * most >= PERCENT * (n[i] + n - most)))
+            if place and len(at):
+                # Pairs that share an earlier band have met there.
+                before = slice(0, place * BAND)
+                met = (mine[at, before] == mine[i, before]).reshape(-1, place, BAND).all(axis=2) & mine[i, before].reshape(place, BAND).any(axis=1)
+                at = at[~met.any(axis=1)]
+            for sketch in (mine, fine):
+                at = at[_may_link(sketch[i : i + 1], sketch[at], n[i : i + 1], n[at])] if len(at) else at
+            left.append(np.full(len(at), cid[i])), right.append(cid[at])
         both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], ["a", "b"])
 
@@ -181,11 +212,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands() -> Column:
-    """A hash for each band that has a register in use."""
+    """Place and hash of each band that has a register in use."""
     width = 2 * BAND
     cut = [F.substring("registers", i * width + 1, width) for i in range(REGISTERS // BAND)]
     return F.filter(
-        F.array(*(F.when(x != F.lit(bytes(width)), F.xxhash64(F.lit(i), x)) for i, x in enumerate(cut))), lambda x: x.isNotNull())
+        F.array(*(F.when(x != F.lit(bytes(width)), F.struct(F.lit(i).alias("place"), F.xxhash64(F.lit(i), x).alias("band"))) for i, x in enumerate(cut))),
+        lambda x: x.isNotNull())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,6 +249,12 @@ class _Pairs:
     def __init__(self, documents: DataFrame, classes: DataFrame):
         self.documents, self.classes, self.done = documents, classes, None
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """cid and elements, the sorted shingles as bytes, of the classes with these cids; made from the texts again."""
+        wanted = stored(self.classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("rep").alias("doc_id")), "wanted")
+        texts = self.documents.join(few(wanted), self.documents["doc_id"].eqNullSafe(wanted["doc_id"])).select("cid", "digest", "text")
+        return stored(texts.mapInArrow(_sets, "cid long, elements binary").dropDuplicates(["cid"]), "sets")
+
     def links(self, pairs: DataFrame, hopeful: bool = False) -> DataFrame:
         """Of candidate pairs (a, b), those not compared before that link on their full sets. hopeful: already estimated."""
         pairs = pairs.distinct()
@@ -230,10 +268,7 @@ class _Pairs:
         if not hopeful:
             both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
             pairs = stored(both.mapInArrow(_hopeful, "a long, b long"), "hopeful")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        wanted = stored(self.classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("rep").alias("doc_id")), "wanted")
-        texts = self.documents.join(few(wanted), self.documents["doc_id"].eqNullSafe(wanted["doc_id"])).select("cid", "digest", "text")
-        sets = stored(texts.mapInArrow(_sets, "cid long, elements binary").dropDuplicates(["cid"]), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("elements_b")), "b").join(
             sets.select(F.col("cid").alias("a"), F.col("elements").alias("elements_a")), "a")
         return stored(both.select("a", "b", "elements_a", "elements_b").mapInArrow(_linked, "a long, b long"), "links")
@@ -250,25 +285,40 @@ def _joined(links: DataFrame, stars: DataFrame, more: DataFrame) -> tuple[DataFr
 
 
 def _open(shared: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members of bands that still hold more than one component, with that component."""
+    """Members of bands that still hold more than one component, with that component and the band's second pivot."""
     rows = stored(_labelled(shared, stars), "members")
-    several = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("cid").alias("second"), F.max("size").alias("n"))
-    several = stored(several.where("low <> high and n > 2").select("band", "second"), "several")
+    tops = stored(rows.groupBy("band", "root").agg(F.max("central").alias("top"), F.max("size").alias("size")), "tops")
+    first = tops.groupBy("band").agg(F.max_by("root", "top").alias("first"))
+    rest = tops.where("size > 2").join(first, "band").where("root <> first")
+    several = stored(rest.groupBy("band").agg((-F.max("top")["minus"]).alias("second")), "several")
     return rows.join(several, "band")
 
 
-def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Hopeful pairs of members of one band and different components.
+def _strays(members: DataFrame, compare: _Pairs) -> DataFrame:
+    """Members that may link to another member: those with enough shingles that some other member has as well."""
+    sets = compare.sets(members.select("cid").distinct())
+    seen = sets.mapInArrow(_shingles, "cid long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
+    alone = seen.where("n = 1").groupBy("cid").agg(F.count("*").alias("alone"))
+    known = compare.classes.join(sets.select("cid"), "cid").select("cid", "registers", "n_shingles").join(alone, "cid", "left")
+    known = known.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    known = stored(known.where(F.col("common") * 100 >= F.col("n_shingles") * PERCENT), "known")
+    fine = sets.join(known.select("cid"), "cid").mapInArrow(_refined, "cid long, fine binary")
+    return members.join(stored(known.join(fine, "cid"), "strays"), "cid")
+
+
+def _across(strays: DataFrame) -> DataFrame:
+    """Hopeful pairs of strays of one band and different components.
 
-    A band's members are dealt into parts, and every two parts meet in a cell of their own, so that no task has more than a cell at once.
+    A band's strays are dealt into parts, and every two parts meet in a cell of their own, so that no task has more than a cell at once.
     """
-    sizes = stored(members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y"), "sizes")
+    names = strays.select("band", "root")
+    sizes = stored(names.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y"), "sizes")
     parts = F.ceil(F.col("n") / CELL).cast("int")
-    rows = members.join(sizes.select("band", parts.alias("parts")), "band")
+    rows = strays.join(sizes.select("band", parts.alias("parts")), "band")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    rows = rows.join(classes.select("cid", "registers", "n_shingles"), "cid")
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cid", "root", "registers", "n_shingles")
+        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "place", "part", "cid", "root",
+        "registers", "fine", "n_shingles", "common")
     return cells.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_hopeful_in_cells, "a long, b long")
 
 
@@ -281,18 +331,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = signed.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    bands = classes.select("cid", F.explode(_bands()).alias("band"))
-    pivots = stored(bands.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1"), "pivots")
-    shared = stored(bands.join(pivots, "band"), "shared")
+    bands = classes.select("cid", F.explode(_bands()).alias("at")).select("cid", "at.*")
+    sizes = stored(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = stored(bands.join(sizes, "band"), "shared")
+    # The most central member: most company in all its bands, then the smallest cid.
+    company = shared.groupBy("cid").agg(F.sum("size").alias("company"))
+    central = F.struct("company", (-F.col("cid")).alias("minus")).alias("central")
+    shared = stored(shared.join(company, "cid").select("cid", "place", "band", "size", central), "central")
+    pivots = shared.groupBy("band").agg((-F.max("central")["minus"]).alias("pivot"))
+    shared = stored(shared.join(pivots, "band"), "pivots")
     compare = _Pairs(documents, classes)
-    links = compare.links(shared.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
+    pair = lambda x: [F.least("cid", x).alias("a"), F.greatest("cid", x).alias("b")]
+    links = compare.links(shared.where("cid <> pivot").select(*pair("pivot")))
     stars = components(links)
     # A second pivot where a band still holds several components, then all that no pivot has joined.
     members = _open(shared, stars)
-    more = compare.links(members.where("cid <> second and cid <> pivot").select(F.col("cid").alias("a"), F.col("second").alias("b")))
+    more = compare.links(members.where("cid <> second and cid <> pivot").select(*pair("second")))
     links, stars = _joined(links, stars, more)
-    members = stored(_open(shared, stars).where("cid <> pivot and cid <> second").select("band", "cid", "root"), "strays")
-    more = compare.links(_across(members, classes), hopeful=True)
+    members = stored(_open(shared, stars).where("cid <> pivot").select("band", "place", "cid", "root"), "rest")
+    more = compare.links(_across(_strays(members, compare)), hopeful=True)
     links, stars = _joined(links, stars, more)
     # Only classes with copies or links need a name other than the document's own id.
     rooted = _labelled(classes.select("cid", "digest", "rep", "copies"), stars)
