@@ -60,6 +60,26 @@ def test_groups_that_no_pivot_joins(spark):
     assert all(got[i] == 0 for i in range(16)) and all(got[100 + i] == 100 + i for i in range(40))
 
 
+def test_edited_copies_in_cells(spark, monkeypatch):
+    """Copies of one text, edited at random: pairs on both sides of the threshold, in several cells, against brute force."""
+    import random
+
+    monkeypatch.setattr(neardup, "CELL", 16)
+    chance, base = random.Random(5), [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(chance.randint(2, 9)):
+            copy[chance.randrange(150)] = f"e{chance.randrange(12)}"
+        rows.append((i, " ".join(copy)))
+    sets, name = [shingles(x) for _, x in rows], list(range(90))
+    for i, j in itertools.combinations(range(90), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            name = [min(name[i], name[j]) if x in (name[i], name[j]) else x for x in name]
+    got = {row["doc_id"]: row["component_id"] for row in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(name)) and 1 < len(set(name)) < 90
+
+
 def test_registers_estimate_jaccard():
     a, b = (neardup.shingle_set(" ".join(f"s{i}" for i in range(n, n + 4000))) for n in (0, 500))
     import numpy as np
