@@ -18,26 +18,30 @@ def succeeded(status_code: Column | None = None) -> Column:
 
 
 def resolve_attempts(attempts: DataFrame, destinations: list[Destination]) -> DataFrame:
-    """Attempts stop at the first success or at the destination's limit. Entries after that point are ignored."""
+    """Attempts stop at the first success or at the destination's limit. Entries after that point are ignored.
+
+    `finished_at` is the time of the first success, else of the latest attempt; a delivery has no `error`.
+    """
     limit, _ = retry_settings(destinations)
     used = attempts.withColumn("max_attempts", limit).where(F.col("attempt") <= F.col("max_attempts"))
-    failed = ~succeeded()
+    first = F.when(succeeded(), F.struct("attempt", "attempted_at"))
     folded = used.groupBy(KEY, "destination").agg(
-        F.min(F.when(succeeded(), F.col("attempt"))).alias("first_success"),
+        F.min(first).alias("first"),
         F.max("attempt").alias("last_attempt"),
         F.max("max_attempts").alias("max_attempts"),
-        F.max_by(F.struct("error_class", "error_message", "status_code"), F.when(failed, F.col("attempt"))).alias("error"),
-        F.max("attempted_at").alias("finished_at"),
+        F.max_by(F.struct("error_class", "error_message", "status_code"), F.when(~succeeded(), F.col("attempt"))).alias("error"),
+        F.max("attempted_at").alias("last_at"),
     )
     status = (
-        F.when(F.col("first_success").isNotNull(), "delivered")
+        F.when(F.col("first").isNotNull(), "delivered")
         .when(F.col("last_attempt") >= F.col("max_attempts"), "dead_lettered")
         .otherwise("in_progress")
     )
     return folded.select(
         KEY, "destination", status.alias("status"),
-        F.coalesce("first_success", "last_attempt").alias("attempts"),
-        "error", "finished_at",
+        F.coalesce("first.attempt", "last_attempt").alias("attempts"),
+        F.when(F.col("first").isNull(), F.col("error")).alias("error"),
+        F.when(F.col("first").isNotNull(), F.col("first.attempted_at")).otherwise(F.col("last_at")).alias("finished_at"),
     )
 
 

@@ -60,10 +60,12 @@ def status_change(dead_letters: DataFrame, status: str, at: Column) -> DataFrame
 
 
 def current(dead_letters: DataFrame, log: DataFrame) -> DataFrame:
-    """Dead letters with their latest status. Changes fold per letter before the join."""
-    latest = log.groupBy("dead_letter_id").agg(
-        F.max(F.struct("updated_at", "status")).alias("_latest")
-    )
+    """Dead letters with their latest status. Changes fold per letter before the join.
+
+    Of changes at one time, that of the later batch counts, where the log tells its batches.
+    """
+    order = [c for c in ("updated_at", "batch_id") if c in log.columns]
+    latest = log.groupBy("dead_letter_id").agg(F.max(F.struct(*order, "status")).alias("_latest"))
     joined = dead_letters.join(latest, "dead_letter_id", "left")
     return joined.withColumns({
         "status": F.coalesce("_latest.status", "status"),

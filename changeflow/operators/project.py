@@ -60,6 +60,7 @@ def transaction_facts(projected: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("event_count"),
         F.min_by("source", "sequence_number").alias("first_source"),
         F.max_by("source_position", F.when(has_position, F.col("sequence_number"))).alias("last_position"),
+        F.min(part_number()).alias("first_part"),
         F.max(part_number()).alias("last_part"),
         F.concat_ws(".", *limbs).alias("children_digest"),
     )
@@ -97,6 +98,7 @@ def project_transactions(projected: DataFrame, headers: DataFrame) -> DataFrame:
         position.alias("source_position"), position.alias("commit_lsn"),
         T.iso8601(F.col("committed_at")).alias("committed_at"),
         count.alias("event_count"),
+        F.coalesce("first_part", F.lit(0)).alias("first_part"),
         F.coalesce("last_part", F.lit(0)).alias("last_part"),
         "metadata",
     )
@@ -111,9 +113,14 @@ def event_parts(projected: DataFrame, keys: list[str] = TXN_KEYS) -> DataFrame:
 
 
 def transaction_bodies(transactions: DataFrame, parts: DataFrame, keys: list[str] = TXN_KEYS) -> DataFrame:
-    """Body text per (transaction, part); the parts of one transaction, joined in order, are its body."""
-    spread = transactions.withColumn(PART, F.explode(F.sequence(F.lit(0), F.col("last_part").cast("bigint"))))
-    rows = spread.join(parts, [*keys, PART], "left")
+    """Body text per (transaction, part); the parts of one transaction, joined in order, are its body.
+
+    Parts without events have no row. Transactions without a `first_part` column number their events from zero.
+    """
+    if "first_part" not in transactions.columns:
+        transactions = transactions.withColumn("first_part", F.lit(0))
+    empty = transactions.where("event_count = 0").withColumns({PART: F.lit(0).cast("bigint"), "children": F.lit("")})
+    rows = transactions.join(parts, keys).unionByName(empty)
     head = F.concat(
         F.lit("{"),
         T.json_fields(F.col("event_id"), F.col("type"), F.col("source")),
@@ -123,11 +130,11 @@ def transaction_bodies(transactions: DataFrame, parts: DataFrame, keys: list[str
     )
     tail = F.concat(F.lit('],"metadata":'), T.json_map(F.col("metadata")), F.lit("}"))
     body = F.concat(
-        F.when(F.col(PART) == 0, head).otherwise(F.lit(",")),
-        F.coalesce("children", F.lit("")),
+        F.when(F.col(PART) == F.col("first_part"), head).otherwise(F.lit(",")),
+        F.col("children"),
         F.when(F.col(PART) == F.col("last_part"), tail).otherwise(F.lit("")),
     )
-    return rows.withColumn("body", body).drop("children")
+    return rows.withColumn("body", body).drop("children", "first_part")
 
 
 def unwrap_to_events(events: DataFrame) -> DataFrame:
@@ -149,12 +156,16 @@ def unwrap_to_events(events: DataFrame) -> DataFrame:
 
 
 def wrap_as_transactions(events: DataFrame) -> DataFrame:
-    """Transaction unit: a bare event becomes the only event of its own transaction."""
+    """Transaction unit: a bare event becomes the only event of its own transaction.
+
+    Its event id is the key, as other bare events may stand at the same position; `shown_transaction_id` is what a reader is shown.
+    """
     bare = F.col("transaction_id").isNull()
-    key = F.coalesce("transaction_id", P.metadata_text("event_id"), "commit_lsn")
-    return events.withColumn("sequence_number", F.when(bare, F.lit(0)).otherwise(F.col("sequence_number"))).withColumn(
-        "transaction_id", key
-    )
+    return events.withColumns({
+        "sequence_number": F.when(bare, F.lit(0)).otherwise(F.col("sequence_number")),
+        "transaction_id": F.coalesce("transaction_id", P.event_id()),
+        "shown_transaction_id": F.coalesce("transaction_id", P.metadata_text("event_id"), "commit_lsn"),
+    })
 
 
 def restore_prepared(stored: DataFrame, stamp: str) -> DataFrame:

@@ -203,9 +203,15 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
     return A.resolve_attempts(FD.attempt_log(FD.transaction_pairs(spark, sf)), FD.DESTINATIONS)
 
 
-@query("l1_resolve_attempts", "SELECT idempotency_key, destination, status, CAST(attempts AS INTEGER) AS attempts FROM outcomes")
+@query("l1_resolve_attempts", """
+SELECT idempotency_key, destination, status, CAST(attempts AS INTEGER) AS attempts, 1704067200 + n * 10 + attempts AS finished_epoch,
+  CASE WHEN status <> 'delivered' THEN 'destination answered '
+    || list_extract([200, 204, 500, 503, 429], CAST((n * 7 + dno * 3 + last_attempt) % 5 + 1 AS INTEGER)) END AS error_message
+FROM outcomes""")
 def l1_resolve_attempts(spark: SparkSession, sf: str) -> DataFrame:
-    return resolved(spark, sf).select(L.KEY, "destination", "status", "attempts")
+    return resolved(spark, sf).select(
+        L.KEY, "destination", "status", "attempts", F.unix_timestamp("finished_at").alias("finished_epoch"), "error.error_message",
+    )
 
 
 @query("l2_write_checkpoint", """

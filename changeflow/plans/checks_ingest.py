@@ -59,13 +59,14 @@ def a1_read_event_payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("a2_read_transaction_payloads", """, t AS (SELECT n AS stored, sn, event_type, user_id, n % 20 = 7 AS empty, n % 50 = 49 AS nameless FROM feed)
+@query("a2_read_transaction_payloads", """, t AS (SELECT n AS stored, sn, event_type, user_id, n % 20 = 7 AS empty, n % 50 = 49 AS nameless,
+  n % 30 = 13 AND max(sn) OVER (PARTITION BY n) >= 2 AS broken FROM feed)
 SELECT stored, CAST(CASE WHEN NOT empty THEN sn END AS INTEGER) AS sequence_number,
-  CASE WHEN NOT empty THEN event_type END AS operation,
+  CASE WHEN NOT empty AND NOT (broken AND sn = 2) THEN event_type END AS operation,
   CASE WHEN NOT nameless THEN CAST(stored AS VARCHAR) END AS envelope_transaction_id,
   'p' || stored AS envelope_commit_lsn,
   CASE WHEN NOT empty AND event_type <> 'delete' THEN CAST(user_id AS VARCHAR) END AS new_id,
-  CASE WHEN nameless THEN 'missing transaction_id' END AS error_reason
+  CASE WHEN nameless THEN 'missing transaction_id' WHEN broken THEN 'broken event: missing operation' END AS error_reason
 FROM t WHERE NOT empty OR sn = 0""")
 def a2_read_transaction_payloads(spark: SparkSession, sf: str) -> DataFrame:
     events = PL.read_transaction_payloads(FD.persisted_transactions(spark, sf))
@@ -221,7 +222,7 @@ def a9_state_tables(spark: SparkSession, sf: str) -> DataFrame:
 @query("i1_union_feeds", _STORED + """
 SELECT 'event' AS feed, seq AS item, CAST(NULL AS INTEGER) AS sequence_number, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS operation
 FROM stored WHERE m NOT IN (5, 11, 17, 29)
-UNION ALL SELECT 'transaction', n, CAST(sn AS INTEGER), event_type FROM feed WHERE n % 20 <> 7 AND n % 50 <> 49""")
+UNION ALL SELECT 'transaction', n, CAST(sn AS INTEGER), event_type FROM feed WHERE n % 20 <> 7 AND n % 50 <> 49 AND n % 30 <> 13""")
 def i1_union_feeds(spark: SparkSession, sf: str) -> DataFrame:
     events, _ = PL.quarantine_malformed(PL.read_event_payloads(FD.persisted_payloads(spark, sf)))
     children, _ = PL.quarantine_malformed(PL.read_transaction_payloads(FD.persisted_transactions(spark, sf)))

@@ -164,11 +164,14 @@ def b12_unwrap_to_events(spark: SparkSession, sf: str) -> DataFrame:
     return P.unwrap_to_events(_some_bare(spark, sf)).select("seq", "group_end")
 
 
-@query("b13_wrap_as_transactions", """
-SELECT seq, CASE WHEN n % 9 <> 0 THEN transaction_id ELSE coalesce(explicit_id, position) END AS transaction_id,
-  CAST(CASE WHEN n % 9 = 0 THEN 0 ELSE sn END AS INTEGER) AS sequence_number FROM feed""")
+@query("b13_wrap_as_transactions", r"""
+SELECT seq, CASE WHEN n % 9 <> 0 THEN transaction_id ELSE coalesce(explicit_id, 'evt_' || sha256(source || '|\N|' || coalesce(position, '\N')
+    || '|' || sn || '|' || coalesce(CAST(epoch_us(occurred) AS VARCHAR), '\N') || '|' || namespace || '|' || entity || '|' || operation
+    || '|[{"key":"id","value":"' || user_id || '"}]|' || coalesce(old_text, '\N') || '|' || coalesce(new_text, '\N'))) END AS transaction_id,
+  CASE WHEN n % 9 <> 0 THEN transaction_id ELSE coalesce(explicit_id, position) END AS shown_transaction_id,
+  CAST(CASE WHEN n % 9 = 0 THEN 0 ELSE sn END AS INTEGER) AS sequence_number FROM texts""")
 def b13_wrap_as_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    return P.wrap_as_transactions(_some_bare(spark, sf)).select("seq", "transaction_id", "sequence_number")
+    return P.wrap_as_transactions(_some_bare(spark, sf)).select("seq", "transaction_id", "shown_transaction_id", "sequence_number")
 
 
 @query("b14_restore_prepared", "SELECT payload_json, 'sha256:' || seq AS policy_fingerprint FROM letters")

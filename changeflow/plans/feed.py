@@ -344,10 +344,11 @@ def persisted_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def persisted_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored transaction payloads: the events of each transaction as children, and some without any."""
+    """Stored transaction payloads: the events of each transaction as children, some without any, some with a broken one."""
     eid = F.col("event_id")
     child = F.concat(
-        F.lit('{"operation":"'), F.col("event_type"), F.lit('","namespace":"public","entity":"orders","data":{"id":'),
+        F.lit("{"), F.when((eid % 120 == 54), "").otherwise(F.concat(F.lit('"operation":"'), F.col("event_type"), F.lit('",'))),
+        F.lit('"namespace":"public","entity":"orders","data":{"id":'),
         F.col("user_id").cast("string"), F.lit("}}"),
     )
     rows = table(spark, sf, "events").withColumn("transaction", F.expr("event_id div 4")).groupBy("transaction").agg(

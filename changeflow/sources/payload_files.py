@@ -51,6 +51,24 @@ def enrich_metadata(metadata: Column, keys: Column, fields: dict[str, Column]) -
     return F.map_concat(kept, copied)
 
 
+def _event_reason(text: Column, parsed: Column, keys: Column) -> Column:
+    """Why an event payload is malformed; NULL for a good one."""
+    time_text = parsed["occurred_at"]
+    wrong_shape = F.lit(False)
+    for name in _ROW_FIELDS:
+        # Present, not parsed as an object, and not null either.
+        unread = _has(keys, name) & parsed[name].isNull()
+        wrong_shape = wrong_shape | F.when(unread, F.get_json_object(text, f"$.{name}").isNotNull()).otherwise(False)
+    return (
+        F.when(keys.isNull() | parsed.isNull(), "not a JSON object")
+        .when(~_has(keys, "operation"), "missing operation")
+        .when(parsed["namespace"].isNull() & ~_has(keys, "schema"), "missing namespace")
+        .when(parsed["entity"].isNull() & ~_has(keys, "table"), "missing entity")
+        .when(time_text.isNotNull() & T.parse_time(time_text).isNull(), "unreadable occurred_at")
+        .when(wrong_shape, "wrong shape")
+    )
+
+
 def read_event_payloads(payloads: DataFrame, text: str = "payload_json") -> DataFrame:
     """Change-event columns from one JSON payload per row; `error_reason` is NULL for good rows."""
     # Exploding a one-element array keeps filters on the result above the parse. Pushed below it, a
@@ -64,20 +82,7 @@ def read_event_payloads(payloads: DataFrame, text: str = "payload_json") -> Data
 
     data = T.literal_map(field("data"))
     deleted = F.coalesce(field("operation") == "delete", F.lit(False))
-    time_text = field("occurred_at")
-    wrong_shape = F.lit(False)
-    for name in _ROW_FIELDS:
-        # Present, not parsed as an object, and not null either.
-        unread = _has(keys, name) & field(name).isNull()
-        wrong_shape = wrong_shape | F.when(unread, F.get_json_object(text, f"$.{name}").isNotNull()).otherwise(False)
-    reason = (
-        F.when(keys.isNull() | F.col("_p").isNull(), "not a JSON object")
-        .when(~_has(keys, "operation"), "missing operation")
-        .when(field("namespace").isNull() & ~_has(keys, "schema"), "missing namespace")
-        .when(field("entity").isNull() & ~_has(keys, "table"), "missing entity")
-        .when(time_text.isNotNull() & T.parse_time(time_text).isNull(), "unreadable occurred_at")
-        .when(wrong_shape, "wrong shape")
-    )
+    reason = _event_reason(F.col(text), F.col("_p"), keys)
     copied = {name: _literal(field(name)) for name in COPIED_TO_METADATA}
     keep = [c for c in payloads.columns if c != text]
     return parsed.select(
@@ -91,7 +96,7 @@ def read_event_payloads(payloads: DataFrame, text: str = "payload_json") -> Data
         field("transaction_id").alias("transaction_id"),
         F.coalesce(field("commit_lsn"), T.unquoted(copied["source_position"])).alias("commit_lsn"),
         field("sequence_number").try_cast("int").alias("sequence_number"),
-        T.parse_time(time_text).alias("occurred_at"),
+        T.parse_time(field("occurred_at")).alias("occurred_at"),
         F.when(keys.isNotNull(), enrich_metadata(T.literal_map(field("metadata")), keys, copied)).alias("metadata"),
         F.when(_has(keys, "changes"), F.coalesce(_changes(field("changes")), F.array().cast(CHANGES)))
         .alias("explicit_changes"),
@@ -103,10 +108,15 @@ def read_event_payloads(payloads: DataFrame, text: str = "payload_json") -> Data
 def read_transaction_payloads(payloads: DataFrame, text: str = "payload_json") -> DataFrame:
     """One row per child event with its envelope's fields; an envelope without events gives one row with no child.
 
-    The payload's place in its array is the sequence number where the child has none of its own.
+    The payload's place in its array is the sequence number where the child has none of its own. A broken child
+    rejects its whole envelope: every row of it carries the first reason.
     """
     parsed = payloads.withColumn("_t", F.from_json(text, _TRANSACTION)).withColumn("_keys", F.json_object_keys(text))
     time_text = F.col("_t.committed_at")
+    # Each child is parsed into a struct first, so that the fields looked at share one parse.
+    children = F.transform("_t.events", lambda t: F.named_struct(
+        F.lit("text"), t, F.lit("p"), F.from_json(t, _EVENT, {"mode": "PERMISSIVE"}), F.lit("keys"), F.json_object_keys(t)))
+    broken = F.get(F.array_compact(F.transform(children, lambda c: _event_reason(c["text"], c["p"], c["keys"]))), F.lit(0))
     envelope = parsed.select(
         *[c for c in payloads.columns if c != text],
         F.col("_t.transaction_id").alias("envelope_transaction_id"),
@@ -117,13 +127,13 @@ def read_transaction_payloads(payloads: DataFrame, text: str = "payload_json") -
             .when(~_has(F.col("_keys"), "transaction_id"), "missing transaction_id")
             .when(F.col("_t.events").isNull(), "missing events")
             .when(time_text.isNotNull() & T.parse_time(time_text).isNull(), "unreadable committed_at")
+            .otherwise(F.concat(F.lit("broken event: "), broken))
         ).alias("envelope_error"),
         F.posexplode_outer(F.col("_t.events")).alias("position", text),
     )
     children = read_event_payloads(envelope, text)
-    no_child = F.col(text).isNull()
     return children.withColumn("sequence_number", F.coalesce("sequence_number", "position")).withColumn(
-        "error_reason", F.coalesce("envelope_error", F.when(~no_child, F.col("error_reason")))
+        "error_reason", F.col("envelope_error")
     ).drop("position", "envelope_error")
 
 

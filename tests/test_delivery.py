@@ -187,6 +187,14 @@ def test_attempts_stop_at_success_or_limit(spark):
     assert got == {"a": ("delivered", 2), "b": ("dead_lettered", 3), "c": ("in_progress", 1), "d": ("dead_lettered", 2), "e": ("delivered", 1)}
 
 
+def test_what_follows_the_first_success_does_not_count(spark):
+    log = attempts(spark, ("a", "d", 1, 500), ("a", "d", 2, 200), ("a", "d", 3, 500), ("b", "d", 1, 500), ("b", "d", 2, 503))
+    log = log.withColumns({"error_message": F.concat(F.lit("e"), F.col("attempt").cast("string")), "attempted_at": F.timestamp_seconds("attempt")})
+    got = {r["idempotency_key"]: (r["error"] and r["error"]["error_message"], r["at"]) for r in
+           A.resolve_attempts(log, destinations({"name": "d"})).withColumn("at", F.unix_timestamp("finished_at")).collect()}
+    assert got == {"a": (None, 2), "b": ("e2", 2)}
+
+
 def test_last_delay_is_reused(spark):
     schedule = F.array(F.lit(2))
     got = spark.range(1, 5).select(A.retry_delay(schedule, F.col("id").cast("int")), A.total_wait(F.array(F.lit(1), F.lit(4)), F.col("id").cast("int"))).collect()

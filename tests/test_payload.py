@@ -129,10 +129,19 @@ def test_unwrap_marks_the_last_event_and_every_bare_event(events):
     assert [r["group_end"] for r in P.unwrap_to_events(df).orderBy("seq").collect()] == [False, True, True, True]
 
 
-def test_wrap_prefers_transaction_then_event_id_then_position(events):
+def test_parts_without_events_leave_no_gap(events, headers):
+    df = P.project_events(events({"sequence_number": P.PART_EVENTS + 1, "new_values": {"id": "1"}}, {"sequence_number": 9 * P.PART_EVENTS, "new_values": {"id": "2"}}))
+    bodies = P.transaction_bodies(P.project_transactions(df, headers({})), P.event_parts(df)).orderBy("part").collect()
+    whole = json.loads("".join(r["body"] for r in bodies))
+    assert [r["part"] for r in bodies] == [1, 9] and [e["data"] for e in whole["events"]] == [{"id": 1}, {"id": 2}]
+
+
+def test_wrap_keeps_bare_events_apart_and_shows_event_id_or_position(events):
     df = events({"transaction_id": "9"}, {"transaction_id": None, "metadata": {"event_id": '"e"'}, "commit_lsn": "0/1"},
-                {"transaction_id": None, "commit_lsn": "0/1"})
-    assert [r["transaction_id"] for r in P.wrap_as_transactions(df).orderBy("seq").collect()] == ["9", "e", "0/1"]
+                {"transaction_id": None, "commit_lsn": "0/1", "entity": "a"}, {"transaction_id": None, "commit_lsn": "0/1", "entity": "b"})
+    got = P.wrap_as_transactions(df).orderBy("seq").collect()
+    assert [r["shown_transaction_id"] for r in got] == ["9", "e", "0/1", "0/1"]
+    assert [r["transaction_id"] for r in got][:2] == ["9", "e"] and len({r["transaction_id"] for r in got}) == 4
 
 
 def test_transaction_id_is_bare_only_when_it_is_a_number(spark):

@@ -81,6 +81,12 @@ def test_transaction_children_are_numbered_and_empty_envelopes_kept(spark):
         (1, "42", 0, None), (1, "42", 9, None), (2, "t", None, None), (3, None, None, "missing transaction_id")]
 
 
+def test_a_broken_child_rejects_its_envelope(spark):
+    rows = [(1, json.dumps({"transaction_id": 1, "events": [BASE, {"namespace": "p", "entity": "e"}]})), (2, json.dumps({"transaction_id": 2, "events": [BASE]}))]
+    got = PL.read_transaction_payloads(spark.createDataFrame(rows, "n int, payload_json string")).orderBy("n").collect()
+    assert [(r["n"], r["error_reason"]) for r in got] == [(1, "broken event: missing operation")] * 2 + [(2, None)]
+
+
 def test_payload_round_trip(spark, events):
     bodies = P.event_bodies(P.project_events(events(
         {"operation": "update", "old_values": {"id": "1", "s": '"a"'}, "new_values": {"id": "1", "s": '"b"'}, "commit_lsn": "0/1"})))
