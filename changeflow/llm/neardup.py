@@ -8,9 +8,11 @@ that chance gives) drops the hopeless ones, and the rest are compared on their f
 Equal sets are one class before anything is compared. In a band every member is compared with one pivot, the member that
 shares bands with most others, then with the most central member outside the pivot's component where the band still holds
 several. Members that no pivot joined are strays. A shingle that only one stray has cannot be common to two of them, so a
-stray with more than a quarter of such shingles links to no other and goes. The rest meet in cells of some hundred members,
-where the same bound, the registers and 1024 finer ones rule pairs out; only hopeful pairs leave a cell, from the first band
-that the two share. Components come from written edge tables, contracted until nothing changes.
+stray with more than a quarter of such shingles links to no other and goes; larger sets are judged by those shingles whose
+hash ends in two zero bits, with the same margin as an estimate. The rest meet in cells of some hundred members,
+where the same bound, the registers and 512 finer ones rule pairs out; only hopeful pairs leave a cell, from the first band
+that the two share. A pair's sets are made from the texts where they are read, and meet once, dealt by pivot. Components come
+from written edge tables, contracted until they are stars.
 
 Results in odd cases: NULL or blank text has an empty set, links to nothing and is kept under its own id. Texts with
 fewer than five words are one shingle. Repeated rows are copies of each other; all rows with the smallest id are kept.
@@ -35,13 +37,18 @@ PERCENT = 75
 REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA_BITS = 10
-#: For strays, 1024 registers more.
-FINE_BITS = 10
+#: For strays, 512 registers more.
+FINE_BITS = 9
 BAND = 4
 #: A candidate is compared in full unless its estimate is this many standard errors below the threshold.
 MARGIN = 5.0
 #: Members of a band in one part; two parts are compared at a time.
 CELL = 512
+#: Pairs of one pivot that are compared in one part.
+PART = 1024
+#: Sets up to this size are judged by all their shingles when strays are ruled out, larger ones by one in four.
+WHOLE = 64
+ONE_IN = 4
 #: Chance that two large sets without common elements agree in a register, times 2 to the mantissa bits (published).
 COLLISION = 0.169919487159739093975315012348
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -110,14 +117,34 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_shingles", "digest", "registers"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of wanted classes, from their representatives' texts; rows of the same id but another text fall out."""
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and set of each text that has the wanted set; rows of the same id but another text fall out."""
+    last, elements, digest = object(), None, None
+    for row in range(batch.num_rows):
+        if (text := batch.column("text")[row].as_py()) != last:
+            last, elements = text, shingle_set(text)
+            digest = xxhash.xxh3_128_digest(elements.tobytes())
+        if digest == batch.column("digest")[row].as_py():
+            yield row, elements
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pair (a, b) and its part, with the sorted set of b."""
+
+    def made(batch: pa.RecordBatch, rows: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        names = ["a", "b", "part"]
+        taken = [batch.column(x).take(pa.array(rows, pa.int64())) for x in names]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(sets, pa.binary())], [*names, "elements"])
+
     for batch in batches:
-        for row in range(batch.num_rows):
-            elements = shingle_set(batch.column("text")[row].as_py())
-            if xxhash.xxh3_128_digest(elements.tobytes()) == batch.column("digest")[row].as_py():
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("cid").slice(row, 1), pa.array([elements.tobytes()], pa.binary())], ["cid", "elements"])
+        rows, sets, held = [], [], 0
+        for row, elements in _asked(batch):
+            rows.append(row), sets.append(elements.tobytes())
+            held += elements.nbytes
+            if held >= 1 << 23:
+                yield made(batch, rows, sets)
+                rows, sets, held = [], [], 0
+        yield made(batch, rows, sets)
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -136,20 +163,26 @@ def _rows(column: pa.Array, bits: int = REGISTER_BITS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 1 << bits)
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of a set."""
+def _judging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles by which sets are judged, with their number in the set. Links join sizes up to a third apart, so sets a third above
+    WHOLE still show all shingles, for the smaller sets to meet, but are judged (number above 0) by one in four."""
     for batch in batches:
-        for cid, elements in zip(batch.column("cid"), batch.column("elements"), strict=True):
-            found = np.frombuffer(elements.as_buffer(), np.int64)
-            for start in range(0, len(found), 1 << 16):
-                part = found[start : start + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), cid.as_py())), pa.array(part)], ["cid", "shingle"])
+        for row, elements in _asked(batch):
+            size, lot = len(elements), elements % ONE_IN == 0
+            shown = np.full(size, size) if size <= WHOLE else np.where(lot, lot.sum(), 0)
+            if 100 * WHOLE < PERCENT * size:
+                elements, shown = elements[lot], shown[lot]
+            for start in range(0, len(elements), 1 << 16):
+                part = elements[start : start + (1 << 16)].view(np.int64)
+                cid = np.full(len(part), batch.column("cid")[row].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid, shown[start : start + (1 << 16)].astype(np.int64), part)], ["cid", "judged", "shingle"])
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fine = [registers(np.frombuffer(x.as_buffer(), np.uint64), FINE_BITS).tobytes() for x in batch.column("elements")]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(fine, pa.binary())], ["cid", "fine"])
+        found = [(row, registers(elements, FINE_BITS).tobytes()) for row, elements in _asked(batch)]
+        cid = batch.column("cid").take(pa.array([row for row, _ in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([cid, pa.array([fine for _, fine in found], pa.binary())], ["cid", "fine"])
 
 
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +233,21 @@ def _hopeful_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among rows sorted by pivot and part. Each part begins with the pivot's own set, as the pair of it with itself."""
+    pivot, left = None, None
     for batch in batches:
-        keep, last, left = [], None, None
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        keep = np.zeros(batch.num_rows, bool)
         for row in range(batch.num_rows):
-            if (a := batch.column("a")[row].as_py()) != last:
-                last, left = a, np.frombuffer(batch.column("elements_a")[row].as_buffer(), np.uint64)
-            right = np.frombuffer(batch.column("elements_b")[row].as_buffer(), np.uint64)
+            right = np.frombuffer(batch.column("elements")[row].as_buffer(), np.uint64)
+            if a[row] == b[row]:
+                pivot, left = a[row], right.copy()
+                continue
+            if a[row] != pivot:
+                raise ValueError(f"the set of {a[row]} is missing")
             common = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * common >= PERCENT * (len(left) + len(right) - common))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            keep[row] = 100 * common >= PERCENT * (len(left) + len(right) - common)
+        yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
 def _bands() -> Column:
@@ -224,15 +263,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots; root is the smallest node of a component.
 
     Every node's neighbours are tied to their smallest one, first the larger neighbours, then the smaller, until the
-    edges are stars. Each round is a written table, so the lineage stays short.
+    edges are stars: no node has two roots, and no root has one. Each round is a written table, so the lineage stays short.
     """
-    stars, before = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), None
+    stars = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
+    ends = F.array(F.struct(F.col("node").alias("id"), F.lit(1).alias("under")), F.struct(F.col("root").alias("id"), F.lit(0).alias("under")))
     while True:
         stars = stored(stars, "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        seen = stars.select(F.inline(ends)).groupBy("id").agg(F.sum("under").alias("under"), F.count("*").alias("n"))
+        if not seen.agg(F.count_if(F.expr("under > 0 and n > 1"))).first()[0]:
             return stars
-        before = now
         both = stars.unionByName(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least("node", F.min("root")).alias("least"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root")).distinct()
@@ -249,18 +288,22 @@ class _Pairs:
     def __init__(self, documents: DataFrame, classes: DataFrame):
         self.documents, self.classes, self.done = documents, classes, None
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """cid and elements, the sorted shingles as bytes, of the classes with these cids; made from the texts again."""
-        wanted = stored(self.classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("rep").alias("doc_id")), "wanted")
-        texts = self.documents.join(few(wanted), self.documents["doc_id"].eqNullSafe(wanted["doc_id"])).select("cid", "digest", "text")
-        return stored(texts.mapInArrow(_sets, "cid long, elements binary").dropDuplicates(["cid"]), "sets")
+    def texts(self, rows: DataFrame, cid: str) -> DataFrame:
+        """The rows, with the text and set digest of the class that `cid` names."""
+        known = self.classes.select(F.col("cid").alias(cid), "digest", F.col("rep").alias("doc_id"))
+        wanted = stored(rows.join(known, cid), "wanted")
+        return self.documents.join(few(wanted), self.documents["doc_id"].eqNullSafe(wanted["doc_id"])).select(*rows.columns, "digest", "text")
 
     def links(self, pairs: DataFrame, hopeful: bool = False) -> DataFrame:
-        """Of candidate pairs (a, b), those not compared before that link on their full sets. hopeful: already estimated."""
-        pairs = pairs.distinct()
+        """Of candidate pairs (a, b), those not compared before that link on their full sets. hopeful: already estimated.
+
+        `a` is the side that many pairs have in common. Its pairs are dealt into parts, and its set goes to each of them.
+        """
+        ends = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+        pairs = pairs.groupBy(*ends).agg(F.max("a").alias("a"))
         if self.done is not None:
-            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+            pairs = pairs.join(self.done.select(*ends), ["low", "high"], "left_anti")
+        pairs = stored(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")), "pairs")
         if not pairs.take(1):
             return pairs
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
@@ -268,10 +311,12 @@ class _Pairs:
         if not hopeful:
             both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
             pairs = stored(both.mapInArrow(_hopeful, "a long, b long"), "hopeful")
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-        both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("elements_b")), "b").join(
-            sets.select(F.col("cid").alias("a"), F.col("elements").alias("elements_a")), "a")
-        return stored(both.select("a", "b", "elements_a", "elements_b").mapInArrow(_linked, "a long, b long"), "links")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        members = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+        pivots = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        sets = self.texts(members.unionByName(pivots), "b").mapInArrow(_elements, "a long, b long, part int, elements binary")
+        dealt = sets.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
+        return stored(dealt.mapInArrow(_linked, "a long, b long"), "links")
 
 
 def _labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
@@ -279,9 +324,9 @@ def _labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.join(named, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def _joined(links: DataFrame, stars: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links and their components, after more links."""
-    return (links.unionByName(more), components(links.unionByName(more))) if more.take(1) else (links, stars)
+def _joined(stars: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else stars
 
 
 def _open(shared: DataFrame, stars: DataFrame) -> DataFrame:
@@ -296,13 +341,17 @@ def _open(shared: DataFrame, stars: DataFrame) -> DataFrame:
 
 def _strays(members: DataFrame, compare: _Pairs) -> DataFrame:
     """Members that may link to another member: those with enough shingles that some other member has as well."""
-    sets = compare.sets(members.select("cid").distinct())
-    seen = sets.mapInArrow(_shingles, "cid long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
-    alone = seen.where("n = 1").groupBy("cid").agg(F.count("*").alias("alone"))
-    known = compare.classes.join(sets.select("cid"), "cid").select("cid", "registers", "n_shingles").join(alone, "cid", "left")
-    known = known.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    ids = stored(members.select("cid").distinct(), "ids")
+    shown = compare.texts(ids, "cid").mapInArrow(_judging, "cid long, judged long, shingle long")
+    seen = shown.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min("judged").alias("judged"))
+    alone = seen.where("n = 1 and judged > 0").groupBy("cid").agg(F.count("*").alias("alone"), F.max("judged").alias("judged"))
+    known = compare.classes.join(few(ids), "cid").select("cid", "registers", "n_shingles").join(alone, "cid", "left")
+    n, alone = F.col("n_shingles"), F.coalesce("alone", F.lit(0))
+    likely = n * (1 - alone / F.col("judged") + MARGIN / 2 / F.sqrt("judged"))
+    common = F.when(n <= WHOLE, n - alone).otherwise(F.coalesce(F.least(n, F.ceil(likely)), n))
+    known = known.withColumn("common", common).drop("alone", "judged")
     known = stored(known.where(F.col("common") * 100 >= F.col("n_shingles") * PERCENT), "known")
-    fine = sets.join(known.select("cid"), "cid").mapInArrow(_refined, "cid long, fine binary")
+    fine = compare.texts(known.select("cid"), "cid").mapInArrow(_refined, "cid long, fine binary").dropDuplicates(["cid"])
     return members.join(stored(known.join(fine, "cid"), "strays"), "cid")
 
 
@@ -341,16 +390,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pivots = shared.groupBy("band").agg((-F.max("central")["minus"]).alias("pivot"))
     shared = stored(shared.join(pivots, "band"), "pivots")
     compare = _Pairs(documents, classes)
-    pair = lambda x: [F.least("cid", x).alias("a"), F.greatest("cid", x).alias("b")]
-    links = compare.links(shared.where("cid <> pivot").select(*pair("pivot")))
-    stars = components(links)
+    stars = components(compare.links(shared.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))))
     # A second pivot where a band still holds several components, then all that no pivot has joined.
     members = _open(shared, stars)
-    more = compare.links(members.where("cid <> second and cid <> pivot").select(*pair("second")))
-    links, stars = _joined(links, stars, more)
+    more = compare.links(members.where("cid <> second and cid <> pivot").select(F.col("second").alias("a"), F.col("cid").alias("b")))
+    stars = _joined(stars, more)
     members = stored(_open(shared, stars).where("cid <> pivot").select("band", "place", "cid", "root"), "rest")
-    more = compare.links(_across(_strays(members, compare)), hopeful=True)
-    links, stars = _joined(links, stars, more)
+    stars = _joined(stars, compare.links(_across(_strays(members, compare)), hopeful=True))
     # Only classes with copies or links need a name other than the document's own id.
     rooted = _labelled(classes.select("cid", "digest", "rep", "copies"), stars)
     named = rooted.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("linked"), F.sum("copies").alias("n"))

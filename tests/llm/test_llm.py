@@ -60,17 +60,19 @@ def test_groups_that_no_pivot_joins(spark):
     assert all(got[i] == 0 for i in range(16)) and all(got[100 + i] == 100 + i for i in range(40))
 
 
-def test_edited_copies_in_cells(spark, monkeypatch):
-    """Copies of one text, edited at random: pairs on both sides of the threshold, in several cells, against brute force."""
+@pytest.mark.parametrize(("size", "least", "most"), [(150, 2, 9), (900, 8, 45)])
+def test_edited_copies_in_cells(spark, monkeypatch, size, least, most):
+    """Copies of one text, edited at random: pairs on both sides of the threshold, in several cells, against brute force.
+    The longer ones are judged by a part of their shingles where strays are ruled out."""
     import random
 
     monkeypatch.setattr(neardup, "CELL", 16)
-    chance, base = random.Random(5), [f"b{i}" for i in range(150)]
+    chance, base = random.Random(5), [f"b{i}" for i in range(size)]
     rows = []
     for i in range(90):
         copy = list(base)
-        for _ in range(chance.randint(2, 9)):
-            copy[chance.randrange(150)] = f"e{chance.randrange(12)}"
+        for _ in range(chance.randint(least, most)):
+            copy[chance.randrange(size)] = f"e{chance.randrange(12)}"
         rows.append((i, " ".join(copy)))
     sets, name = [shingles(x) for _, x in rows], list(range(90))
     for i, j in itertools.combinations(range(90), 2):
