@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.llm.shared import few, memo, pieces, stored
+from changeflow.llm.shared import memo, pieces, stored
 
 WINDOW = 10
 SHINGLE = 3
@@ -126,23 +126,37 @@ def _block(rows: list, documents: DataFrame) -> tuple[dict, dict]:
     return dict(index), {width: {x for w, x in index if w == width} for width in by_width}
 
 
+def _lookups(by_width: dict[int, set[int]]) -> dict[int, _Lookup]:
+    return {width: _Lookup(hashes) for width, hashes in by_width.items() if hashes}
+
+
+def _hits(text: str | None, index: dict, lookups: dict[int, _Lookup]) -> Iterator[tuple[int, tuple[int, int] | None, list]]:
+    """Number of words up to here, and each window found: its first word and the one after its last, with the window's item ids.
+
+    Each part of the text ends with its size and no window.
+    """
+    for start, found in _overlapping(text, WINDOW - 1):
+        for width, lookup in lookups.items():
+            hashes = _shingles(found, width)
+            for place in lookup.places(hashes).tolist():
+                for offset, window, ids in index[width, int(hashes[place])]:
+                    first = place - offset
+                    if first >= 0 and first + len(window) <= len(found) and found[first : first + len(window)] == window:
+                        yield start + len(found), (start + first, start + first + len(window)), ids
+        yield start + len(found), None, []
+
+
 def _search(index: dict, by_width: dict[int, set[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = {width: _Lookup(hashes) for width, hashes in by_width.items() if hashes}
+        lookups = _lookups(by_width)
         for batch in batches:
             counts, hits, items = [], [], []
             for text, before, listed in zip(batch.column("text"), batch.column("hit"), batch.column("items"), strict=True):
                 spans, named, size = [], set(listed.as_py()), 0
-                for start, found in _overlapping(text.as_py(), WINDOW - 1):
-                    size = start + len(found)
-                    for width, lookup in lookups.items():
-                        hashes = _shingles(found, width)
-                        for place in lookup.places(hashes).tolist():
-                            for offset, window, ids in index[width, int(hashes[place])]:
-                                first = place - offset
-                                if first >= 0 and first + len(window) <= len(found) and found[first : first + len(window)] == window:
-                                    spans.append((start + first, start + first + len(window)))
-                                    named.update(ids)
+                for size, span, ids in _hits(text.as_py(), index, lookups):  # noqa: B007
+                    if span:
+                        spans.append(span)
+                        named.update(ids)
                 mask = before.as_py()
                 if spans:
                     bits = np.unpackbits(np.frombuffer(mask, np.uint8), count=size).copy() if mask else np.zeros(size, np.uint8)
@@ -159,6 +173,18 @@ def _search(index: dict, by_width: dict[int, set[int]]):
     return run
 
 
+def _unhit(index: dict, by_width: dict[int, set[int]]):
+    """Rows whose text holds no window of the block, unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookups = _lookups(by_width)
+        for batch in batches:
+            clean = [all(span is None for _, span, _ in _hits(text.as_py(), index, lookups)) for text in batch.column("text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit = [int(np.unpackbits(np.frombuffer(x.as_py(), np.uint8)).sum()) if x.as_py() else 0 for x in batch.column("hit")]
@@ -169,20 +195,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def marked(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, text, n_words, hit (a bit for each word of the text, NULL if none is hit) and items (sorted ids found)."""
+def _blocks(documents: DataFrame, benchmark: DataFrame, block: int) -> Iterator[tuple[bool, dict, dict]]:
+    """For each block of windows whether it is the last, and its index."""
     cut = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_windows, "window string, item_id string")
     windows = stored(cut.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.min(F.xxhash64("window")).alias("order")), "windows")
     number = windows.count()
     blocks = max(1, -(-number // block))
     # Blocks of about equal size; their number follows the benchmark, each one's size does not.
     windows = windows.withColumn("block", F.pmod("order", F.lit(blocks)))
+    for i in range(blocks):
+        yield i + 1 == blocks, *_block(windows.where(F.col("block") == i).select("window", "items").collect(), documents)
+
+
+def marked(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, text, n_words, hit (a bit for each word of the text, NULL if none is hit) and items (sorted ids found)."""
     rows = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
     schema = rows.schema
-    for i in range(blocks):
-        index, by_width = _block(windows.where(F.col("block") == i).select("window", "items").collect(), documents)
+    for last, index, by_width in _blocks(documents, benchmark, block):
         rows = rows.mapInArrow(_search(index, by_width), schema)
-        if i + 1 < blocks:
+        if not last:
             rows = stored(rows, "marked")
     return rows
 
@@ -194,7 +225,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK)
         _digest, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit word; rows that share an id with a contaminated one go as well."""
-    found = stored(contaminated(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
-    return documents.join(few(found), documents["doc_id"].eqNullSafe(found["gone"]), "left_anti")
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The documents without any hit word. Each row is judged by its own text, whatever its id."""
+    rows = documents
+    for last, index, by_width in _blocks(documents, benchmark, block):
+        rows = rows.mapInArrow(_unhit(index, by_width), documents.schema)
+        if not last:
+            rows = stored(rows, "clean")
+    return rows

@@ -111,8 +111,8 @@ def _copies(cells: pd.DataFrame) -> pd.DataFrame:
     return cells[["place", "size"]].assign(copies=out)
 
 
-def _counts(sized: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """Rows with source_size, target and `taken_times`. Input: `doc_id`, `source`, `size`; all its columns stay."""
+def _counts(sized: DataFrame, weights: tuple[int, ...], key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows with source_size, target and `taken_times`. Input: `source`, `size` and what tells rows apart; all its columns stay."""
     cells = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     aims = stored(targets(cells, weights), "targets")
     placed = cells.join(aims, cells["source"].eqNullSafe(aims["source"])).select(cells["source"], "place", "size", "n", "source_size", "target")
@@ -123,15 +123,15 @@ def _counts(sized: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     chosen = chosen.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "place", "n", "source_size", "target", "copies")
     columns = sized.columns
     joined = sized.join(few(chosen, 200_000), sized["source"].eqNullSafe(F.col("_source")) & (sized["size"] == F.col("_size")))
-    joined = joined.withColumns({"each": F.expr("copies div n"), "extra": F.expr("copies % n"), "mark": F.xxhash64("doc_id", F.lit("mix"))})
+    joined = joined.withColumns({"each": F.expr("copies div n"), "extra": F.expr("copies % n"), "mark": F.xxhash64(*key, F.lit("mix"))})
     # Only where some documents of a size get one copy more than others are they ranked, a small group at a time.
     even = joined.where("extra = 0").withColumn("taken_times", F.col("each"))
     parts = F.ceil(F.col("n") / GROUP)
-    split = joined.where("extra > 0").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), parts))
+    split = joined.where("extra > 0").withColumn("part", F.pmod(F.xxhash64(*key, F.lit("part")), parts))
     group = Window.partitionBy("place", "size", "part")
     chance = F.pmod(F.xxhash64("place", "size", "part"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.floor(F.count("*").over(group) * F.col("extra") / F.col("n") + F.when(parts > 1, chance).otherwise(0.0) + 1e-9)
-    split = split.withColumn("taken_times", F.col("each") + (F.row_number().over(group.orderBy("mark", "doc_id")) <= share).cast("long"))
+    split = split.withColumn("taken_times", F.col("each") + (F.row_number().over(group.orderBy("mark", *key)) <= share).cast("long"))
     wanted = [*columns, "source_size", "target", "taken_times"]
     return even.select(*wanted).unionByName(split.select(*wanted))
 
@@ -144,11 +144,13 @@ def mixing_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Dat
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: every document as often as the plan takes it, with `copy` counting from 1."""
-    plan = stored(mixing_plan(documents, weights).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "plan")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies", "_rows")
-    sized = documents.withColumn("_words", size_of(F.col("text")))
-    joined = sized.join(few(plan), sized["doc_id"].eqNullSafe(plan["_id"]) & (sized["_words"] == plan["_size"]))
-    # Rows that share id and size share the copies evenly; the division leaves less than one copy to each row.
-    times = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.floor(F.col("_copies") / F.col("_rows") + 0.5)).cast("int")
-    return joined.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*documents.columns, "copy")
+    """The mix itself: every row as often as the plan takes it, with `copy` counting from 1.
+
+    Rows are written with a number of their own, so that rows without an id or of one id each get their own copies;
+    a second run over the same files chooses the same.
+    """
+    numbered = stored(documents.withColumns({"_row": F.monotonically_increasing_id(), "_words": size_of(F.col("text"))}), "numbered")
+    sized = numbered.select("_row", F.col("doc_id").alias("_id"), "source", F.col("_words").alias("size"))
+    plan = _counts(sized, weights, ("_id", "_row")).where("taken_times > 0").select("_row", F.col("taken_times").cast("int").alias("_copies"))
+    joined = numbered.join(few(stored(plan, "plan")), "_row")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns, "copy")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.llm.shared import few, memo, pieces, stored
+from changeflow.llm.shared import few, memo, pieces, row_key, stored
 
 WORDS = 5
 PERCENT = 75
@@ -113,8 +113,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None)
             rows.append(registers(elements).tobytes() if len(elements) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "registers"])
+            [batch.column("doc_id"), batch.column("key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
+            ["doc_id", "key", "n_shingles", "digest", "registers"])
 
 
 def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -371,15 +371,20 @@ def _across(strays: DataFrame) -> DataFrame:
     return cells.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_hopeful_in_cells, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept."""
+def _grouped(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, key (of id and text), n_shingles, component_id and winner, the key that stays of its component.
+
+    winner is NULL where a row is alone in its component.
+    """
     documents = documents.select("doc_id", "text")
     id_type = documents.schema["doc_id"].dataType
-    schema = f"doc_id {id_type.simpleString()}, n_shingles long, digest binary, registers binary"
-    signed = stored(documents.mapInArrow(_signed, schema), "signed")
+    schema = f"doc_id {id_type.simpleString()}, key binary, n_shingles long, digest binary, registers binary"
+    signed = stored(documents.withColumn("key", row_key()).mapInArrow(_signed, schema), "signed")
+    # The first row of a class has its smallest id; rows without an id come last.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = signed.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = stored(classes.select("*", F.col("first.doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     bands = classes.select("cid", F.explode(_bands()).alias("at")).select("cid", "at.*")
     sizes = stored(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stored(bands.join(sizes, "band"), "shared")
@@ -398,25 +403,34 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = stored(_open(shared, stars).where("cid <> pivot").select("band", "place", "cid", "root"), "rest")
     stars = _joined(stars, compare.links(_across(_strays(members, compare)), hopeful=True))
     # Only classes with copies or links need a name other than the document's own id.
-    rooted = _labelled(classes.select("cid", "digest", "rep", "copies"), stars)
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("linked"), F.sum("copies").alias("n"))
-    named = stored(rooted.join(stored(named.where("n > 1"), "groups"), "root").select("digest", "component"), "named")
+    rooted = _labelled(classes.select("cid", "digest", "first", "copies"), stars)
+    named = rooted.groupBy("root").agg(F.min("first").alias("of"), F.count("*").alias("linked"), F.sum("copies").alias("n"))
+    groups = stored(named.where("n > 1").select("root", F.col("of.doc_id").alias("component"), F.col("of.key").alias("winner")), "groups")
+    named = stored(rooted.join(groups, "root").select("digest", "component", "winner"), "named")
     # Rows without a set get a key of their own, so that they do not all meet in one task.
     key = F.coalesce("digest", F.encode(F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.uuid())), "utf-8"))
-    rows = signed.select("doc_id", "n_shingles", key.alias("digest")).join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id").alias("component_id")
-    return rows.select("doc_id", "n_shingles", component).withColumn(
+    rows = signed.select("doc_id", "key", "n_shingles", key.alias("digest")).join(named, "digest", "left")
+    return rows.select("doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "winner")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its component), kept."""
+    return _grouped(documents).select("doc_id", "n_shingles", "component_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that stay: one of each component; of repeated rows with the id that stays, one stays."""
-    found = stored(near_duplicates(documents).select("doc_id", "kept"), "verdicts")
-    gone = stored(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    stay = documents.join(few(gone), documents["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    often = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    """The documents that stay: one row of each component, the one with the smallest id, also where no row has an id or ids are shared.
+
+    Rows are judged one by one, by id and text. Rows without words are components of their own; repeats of one that has an id go.
+    """
+    found = stored(_grouped(documents).select("key", "winner", F.col("doc_id").isNotNull().alias("named")), "verdicts")
+    gone = stored(found.where("winner <> key").select("key").distinct(), "gone")
+    often = stored(found.where("winner = key or winner is null and named").groupBy("key").count().where("count > 1").select("key"), "often")
+    keyed = documents.withColumn("_key", row_key())
+    stay = keyed.join(few(gone), keyed["_key"] == gone["key"], "left_anti")
     if not often.take(1):
-        return stay
+        return stay.select(*documents.columns)
     repeated = few(often)
-    return stay.join(repeated, "doc_id", "left_anti").unionByName(
-        stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*stay.columns))
+    once = stay.join(repeated, stay["_key"] == often["key"], "left_anti")
+    return once.unionByName(stay.join(repeated, stay["_key"] == often["key"], "left_semi").dropDuplicates(["_key"])).select(*documents.columns)

@@ -29,6 +29,12 @@ def few(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A digest of id and text, NULLs included: rows that share it are copies in both."""
+    name = F.coalesce(F.concat(F.length(F.col(doc_id).cast("string")), F.lit(" "), F.col(doc_id).cast("string"), F.lit(" ")), F.lit("none "))
+    return F.unhex(F.md5(F.concat(name, F.coalesce(F.concat(F.lit("text "), F.col(text)), F.lit("none"))).cast("binary")))
+
+
 def words(text: Column) -> Column:
     """Words between white space, in order; none for NULL."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda word: word != "")

@@ -250,3 +250,28 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, sentence(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert not got & {1, 3, 5, 30, 101, 102} and 2 <= len(pipeline.STAGES) <= 5 and len(got) > 30
+
+
+ODD = "doc_id long, text string, lang string, source string"
+
+
+def test_filters_judge_rows_and_not_ids(spark):
+    """Rows without an id and different texts under one id: what goes is the row that is at fault, and no other."""
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (4, text(4)), (4, text(5)), (4, text(1)), (6, text(6)), (6, text(6)), (None, None), (7, None)]
+    frame = spark.createDataFrame([(*x, "en", "a") for x in rows], ODD)
+    left = neardup.without_near_duplicates(frame)
+    assert left.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, text(1)), (None, text(2)), (None, text(3)), (4, text(4)), (4, text(5)), (6, text(6)), (None, None), (7, None)])
+    bench = spark.createDataFrame([(1, text(2, 30)), (2, text(5, 30))], "item_id long, text string")
+    for block in (decontam.BLOCK, 5):
+        left = decontam.without_contaminated(frame, bench, block)
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(x for x in rows if x[1] not in (text(2), text(5)))
+
+
+def test_mix_copies_rows_of_one_id(spark):
+    """Rows without an id are taken as often in all as those with one: each row by its own number."""
+    frame = spark.createDataFrame([(None if i % 3 else i // 30, f"{'w ' * (3 + i % 2)}x{i}", "en", "abc"[i % 7 % 3]) for i in range(900)], ODD)
+    found = mixing.mixed(frame).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("taken")).collect()
+    aims = {r["source"]: r["target"] for r in mixing.mixing_plan(frame).select("source_size", "target").distinct().join(
+        frame.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("source_size")), "source_size").collect()}
+    assert set(aims) == set("abc") and all(abs(r["taken"] - aims[r["source"]]) < 0.02 * aims[r["source"]] for r in found)
