@@ -4,6 +4,7 @@ Letters of a text are cut into overlapping runs of four bytes. From labelled doc
 uses each run, in a table of fixed size. A text's runs are then explained as drawn from a mixture of languages;
 expectation-maximisation finds the proportions, and of the best one, two and three languages that set is chosen whose
 likelihood, less a penalty for each further language, is largest. The language with the largest part is the prediction.
+As a filter, the mixture has one part more, a background that uses all runs alike: it takes what no learned language explains.
 
 Results in odd cases: NULL and texts without a letter are `und` with score 0, as is every text where nothing was learned.
 Rows without an id or a label teach nothing; rows without an id are not held out. Very long texts are read in
@@ -28,6 +29,8 @@ UNKNOWN = "und"
 #: What each run that a language was never seen to use counts as.
 SMOOTHING = 0.5
 STEPS = 25
+#: The background is told from a language learned from little text only in more steps.
+BACKGROUND_STEPS = 400
 LARGEST_SET = 3
 _LETTER = regex.compile(r"\p{L}").search
 #: A-Z are lower-cased before; what is no letter among the first 128 characters separates words.
@@ -46,12 +49,12 @@ def runs(text: str) -> np.ndarray:
     return counts
 
 
-def _fitted(likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+def _fitted(likelihood: np.ndarray, counts: np.ndarray, steps: int = STEPS, near: float = 1e-3) -> tuple[np.ndarray, float]:
     """Proportions of the mixture, and the log-likelihood under them."""
     share, total = np.full(likelihood.shape[1], 1 / likelihood.shape[1]), counts.sum()
-    for _ in range(STEPS if likelihood.shape[1] > 1 else 0):
+    for _ in range(steps if likelihood.shape[1] > 1 else 0):
         new = share * ((counts / (likelihood @ share)) @ likelihood) / total
-        done = np.abs(new - share).max() < 1e-3
+        done = np.abs(new - share).max() < near
         share = new
         if done:
             break
@@ -100,16 +103,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Languages and, for every bucket, how likely each language is to use it."""
+    """Languages and, for every bucket, how likely each language is to use it.
 
-    def __init__(self, languages: list[str], likelihood: np.ndarray):
-        self.languages, self.likelihood = languages, likelihood
+    `novel` is the part of a language's own runs that its labelled text has not shown yet (Good-Turing: runs seen once over all runs);
+    `seen` are the relative counts without smoothing, as which the filter takes the rest.
+    """
+
+    def __init__(self, languages: list[str], counts: np.ndarray):
+        total = counts.sum(axis=0)
+        self.languages, self.novel, self.seen = languages, ((counts == 1).sum(axis=0) + 1) / (total + 1), counts / np.maximum(total, 1)
+        self.novel = np.minimum(1.0, self.novel)
+        self.likelihood = (counts + SMOOTHING) / np.maximum((counts + SMOOTHING).sum(axis=0), 1)
 
 
 def learned(documents: DataFrame, most: int = 256) -> Model:
     """Learns from all documents that are not held out and have a label, and so from no prediction's own label.
 
-    `most` bounds the model, at half a megabyte a language: the languages with most text are learned.
+    `most` bounds the model, at a megabyte a language: the languages with most text are learned.
     """
     rows = documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -117,11 +127,11 @@ def learned(documents: DataFrame, most: int = 256) -> Model:
     tables = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"), F.sum("n").alias("total"))
     found = tables.orderBy(F.desc("total"), "lang").limit(most).collect()
     found = sorted(found, key=lambda row: row["lang"])
-    likelihood = np.full((1 << BUCKET_BITS, len(found)), SMOOTHING)
+    used = np.zeros((1 << BUCKET_BITS, len(found)))
     for column, row in enumerate(found):
         cells = np.array([(c["bucket"], c["n"]) for c in row["cells"]], np.int64).reshape(-1, 2)
-        likelihood[cells[:, 0], column] += cells[:, 1]
-    return Model([row["lang"] for row in found], likelihood / np.maximum(likelihood.sum(axis=0), 1))
+        used[cells[:, 0], column] += cells[:, 1]
+    return Model([row["lang"] for row in found], used)
 
 
 def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], list[float], list[str]]:
@@ -155,13 +165,27 @@ def languages(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, lang_mix string")
 
 
+def learned_share(counts: np.ndarray, model: Model) -> float:
+    """Part of the text that learned languages, all together, explain better than a background that uses all buckets alike.
+
+    A language's smoothed table is partly background itself, so here it is what was seen, and as much background as is still new in it.
+    """
+    used, even = np.flatnonzero(counts), 1 / (1 << BUCKET_BITS)
+    parts = model.seen[used] * (1 - model.novel) + model.novel * even
+    share, _ = _fitted(np.hstack([parts, np.full((len(used), 1), even)]), counts[used].astype(np.float64), BACKGROUND_STEPS, 1e-4)
+    return 1.0 - float(share[-1])
+
+
 def in_some_language(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents, unchanged, of which one learned language makes up at least the share `least`."""
+    """The documents, unchanged, of which learned languages together make up at least the share `least`."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
+    def known(text: str | None) -> bool:
+        counts = runs(text) if text and sent.value.languages and _LETTER(text) else None
+        return counts is not None and bool(counts.any()) and learned_share(counts, sent.value) >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, score, _ = _predicted(batch.column("text"), sent.value)
-            yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(first, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([known(text.as_py()) for text in batch.column("text")], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

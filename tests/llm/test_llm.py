@@ -275,3 +275,21 @@ def test_mix_copies_rows_of_one_id(spark):
     aims = {r["source"]: r["target"] for r in mixing.mixing_plan(frame).select("source_size", "target").distinct().join(
         frame.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("source_size")), "source_size").collect()}
     assert set(aims) == set("abc") and all(abs(r["taken"] - aims[r["source"]]) < 0.02 * aims[r["source"]] for r in found)
+
+
+def test_language_filter_has_a_background(spark):
+    """Random letters and a language nobody labelled go, also with one learned language; mixtures of learned ones stay."""
+    import random
+
+    chance = random.Random(3)
+    word = lambda letters: "".join(chance.choice(letters) for _ in range(chance.randint(3, 8)))
+    words = {x: [word(letters) for _ in range(150)] for x, letters in (("aa", "abcdefgh"), ("bb", "ijklmnop"), ("cc", "qrstuvw"), ("none", "éèàùâêîôû"))}
+    some = lambda x, n: " ".join(chance.choice(words[x]) for _ in range(n))
+    taught = spark.createDataFrame([(i, some(x, 60), x) for i in range(240) for x in [("aa", "bb", "cc")[i % 3]]], "doc_id long, text string, lang string")
+    asked = [(1, some("aa", 40)), (2, some("none", 40)), (3, " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(60))), (4, some("bb", 80) + some("none", 20)),
+             (5, some("aa", 40) + " " + some("bb", 35) + " " + some("cc", 25)), (6, some("aa", 20) + " " + some("none", 80)), (7, "12 34"), (8, None)]
+    rows = spark.createDataFrame(asked, "doc_id long, text string")
+    kept = lambda known: {r["doc_id"] for r in langid.in_some_language(rows, langid.learned(known)).collect()}
+    assert kept(taught) == {1, 4, 5}
+    assert kept(taught.where("lang = 'aa'")) == {1}
+    assert kept(taught.limit(0)) == set()
