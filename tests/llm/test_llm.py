@@ -293,3 +293,28 @@ def test_language_filter_has_a_background(spark):
     assert kept(taught) == {1, 4, 5}
     assert kept(taught.where("lang = 'aa'")) == {1}
     assert kept(taught.limit(0)) == set()
+
+
+def test_licences_in_real_forms(spark):
+    """Named holders, wrapped comments, list numbers, further families and SPDX lines."""
+    said = licences.SENTENCES
+    wrap = lambda value, lead, n=9: "\n".join(f"{lead} {' '.join(value.split()[i : i + n])}" for i in range(0, len(value.split()), n))
+    named = "Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    start = [said["bsd-grant"] + ":", "1. " + said["bsd-source"] + ".", "2) " + said["bsd-binary"] + "."]
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    cases = [
+        ("\n".join([*start, named]), "BSD-3-Clause"),
+        ("\n".join([*start, wrap(named, "  ")]), "BSD-3-Clause"),
+        ("\n".join(start), "BSD-2-Clause"),
+        ("\n".join([*start, "3. " + said["bsd-advert"] + ":", "4. " + named]), "BSD-4-Clause"),
+        ("/*\n * Copyright (c) 2020 Foo\n *\n" + wrap(said["mit-grant"] + ":", " *") + "\n *\n" + wrap(said["mit-notice"] + ".", " *") + "\n */", "MIT"),
+        ("# Copyright 2020 Foo\n" + wrap(said["mit-grant"] + ":", "#") + "\n#\n" + wrap(said["mit-notice"] + ".", "#"), "MIT"),
+        ("// Copyright (c) 2019, Foo and\n// others\n" + wrap(" ".join([*start, named]), "//"), "BSD-3-Clause"),
+        (wrap(lesser, " *"), "LGPL-2.1"), (wrap(said["agpl3-free"] + ".", "#"), "AGPL-3.0"), (wrap(said["isc-and"] + ".", "//"), "ISC"),
+        (said["unlicense-free"] + ".", "Unlicense"), (said["cc0-extent"] + ".", "CC0-1.0"), (wrap(said["epl2-terms"], " *"), "EPL-2.0"),
+        ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), ("Some text.\nReleased under the ISC License.", "ISC"),
+        ("// SPDX-License-Identifier: (MIT OR GPL-2.0-or-later WITH Classpath-exception-2.0)\nint x;", "GPL-2.0,MIT"), ("/* SPDX-License-Identifier: LGPL-2.1+ */", "LGPL-2.1"),
+        ("must retain the above\ncopyright notice, which is no licence.", ""),
+    ]
+    got = licences.scanned(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(i, r["licences"]) for i, r in enumerate(got)] == [(i, x) for i, (_, x) in enumerate(cases)]
