@@ -2,8 +2,8 @@
 
 Rules that reject are found one after the other on labelled documents. A rule grows by the threshold on one statistic
 that gains most over the rows it still covers, then loses the conditions that do not help on rows it has not seen, and the
-rows it covers are set aside for the next rule. Each step is an aggregate over a written table of statistics; only counts
-by statistic and threshold reach the driver. The finished list is one `when ... when ... otherwise` expression, so documents
+rows it covers are set aside for the next rule. Thresholds are quantiles of the rows still covered and of the bad ones among them.
+Each step is an aggregate over a written table of statistics; only counts by statistic and threshold reach the driver. The finished list is one `when ... when ... otherwise` expression, so documents
 are judged in the scan that reads them, without a shuffle.
 
 Only DataFrame functions run here. Learning reads at most about `SAMPLE` labelled documents, chosen by a hash of their id.
@@ -81,50 +81,75 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def _cuts(covered: DataFrame, names: list[str]) -> dict[str, list[float]]:
+    """Cut points of each statistic: quantiles of the rows covered, and those of the bad ones among them, from just below each."""
+    places = [i / (CUTS + 1) for i in range(CUTS + 2)]
+    quantiles = covered.agg(*(F.percentile_approx(F.when(which, F.col(name)), places, 10_000).alias(f"{kind}_{name}")
+                              for name in names for kind, which in (("all", F.lit(True)), ("bad", F.col("bad"))))).first()
+    cuts = {}
+    for name in names:
+        bad = quantiles[f"bad_{name}"] or []
+        cuts[name] = sorted({*(quantiles[f"all_{name}"] or []), *bad, *(math.nextafter(x, -math.inf) for x in bad)})
+    return cuts
+
+
+def _candidates(covered: DataFrame, names: list[str]) -> list[Condition]:
+    """The best cut of each statistic and side that gains over the rows covered, best first."""
+    cuts = _cuts(covered, names)
+    if not cuts[names[0]]:
+        return []
+    # How many cut points of a statistic a row exceeds is its bin there.
+    below = lambda name: lambda cut: F.col(name) > cut
+    bins = [F.struct(F.lit(i).alias("which"), F.size(F.filter(F.array(*map(F.lit, cuts[name])), below(name))).alias("bin")) for i, name in enumerate(names)]
+    counts = covered.select("bad", F.explode(F.array(*bins)).alias("at")).groupBy("at.which", "at.bin").agg(
+        F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
+    p0, n0 = (sum(row[x] for row in counts if row["which"] == 0) for x in "pn")
+    if not p0 or not n0:
+        return []
+    best: dict[tuple[str, str], tuple[float, Condition]] = {}
+    for i, name in enumerate(names):
+        by_bin = {row["bin"]: (row["p"], row["n"]) for row in counts if row["which"] == i}
+        p = n = 0
+        for at, cut in enumerate(cuts[name]):
+            p, n = p + by_bin.get(at, (0, 0))[0], n + by_bin.get(at, (0, 0))[1]
+            for value, condition in ((_gain(p, n, p0, n0), (name, "<=", cut)), (_gain(p0 - p, n0 - n, p0, n0), (name, ">", cut))):
+                if value > best.get(condition[:2], (1.0,))[0]:
+                    best[condition[:2]] = value, condition
+    return [condition for _, condition in sorted(best.values(), key=lambda x: -x[0])]
+
+
+def _pruned(rule: list[Condition], left: DataFrame, columns: dict[str, Column]) -> list[Condition]:
+    """The rule's first conditions that serve rows it has not seen best; none where they are not precise enough there."""
+    held = left.where("not grow").agg(*(
+        F.count_if(_all(rule[: i + 1], columns) & (F.col("bad") if kind == "p" else ~F.col("bad"))).alias(f"{kind}{i}") for i in range(len(rule)) for kind in "pn")).first()
+    worth = [((held[f"p{i}"] - held[f"n{i}"]) / max(1, held[f"p{i}"] + held[f"n{i}"]), -i) for i in range(len(rule))]
+    keep = -max(worth)[1]
+    if held[f"p{keep}"] < PRECISION * (held[f"p{keep}"] + held[f"n{keep}"]) or not held[f"p{keep}"]:
+        return []
+    return rule[: keep + 1]
+
+
 def learned(rows: DataFrame) -> list[list[Condition]]:
-    """Rules in order; a row that meets all conditions of one is rejected."""
+    """Rules in order; a row that meets all conditions of one is rejected.
+
+    Where a rule fails, the next best statistic and side begins another one. Cut points are taken anew from the rows a rule
+    covers, so a tighter cut on the same statistic comes as a further condition.
+    """
     names = list(_shares())
     columns = {name: F.col(name) for name in names}
-    cuts = rows.agg(*(F.percentile_approx(name, [i / (CUTS + 1) for i in range(1, CUTS + 1)], 1000).alias(name) for name in names)).first()
-    if cuts is None or cuts[names[0]] is None:
-        return []
-    cuts = {name: sorted(set(cuts[name])) for name in names}
     left, rules = rows, []
     while len(rules) < RULES:
-        rule: list[Condition] = []
-        while len(rule) < CONDITIONS:
-            covered = left.where("grow").where(_all(rule, columns))
-            # How many cut points of a statistic a row exceeds is its bin there.
-            bins = [F.struct(F.lit(i).alias("which"), sum((F.col(name) > F.lit(c)).cast("int") for c in cuts[name]).alias("bin")) for i, name in enumerate(names)]
-            counts = covered.select("bad", F.explode(F.array(*bins)).alias("at")).groupBy("at.which", "at.bin").agg(
-                F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
-            if not counts:
+        grow = left.where("grow")
+        for first in _candidates(grow, names):
+            rule = [first]
+            while len(rule) < CONDITIONS and (more := _candidates(grow.where(_all(rule, columns)), names)):
+                rule.append(more[0])
+            if rule := _pruned(rule, left, columns):
                 break
-            p0, n0 = (sum(row[x] for row in counts if row["which"] == 0) for x in "pn")
-            if not p0 or not n0:
-                break
-            best: tuple[float, Condition] | None = None
-            for i, name in enumerate(names):
-                by_bin = {row["bin"]: (row["p"], row["n"]) for row in counts if row["which"] == i}
-                p = n = 0
-                for at, cut in enumerate(cuts[name]):
-                    p, n = p + by_bin.get(at, (0, 0))[0], n + by_bin.get(at, (0, 0))[1]
-                    for value, condition in ((_gain(p, n, p0, n0), (name, "<=", cut)), (_gain(p0 - p, n0 - n, p0, n0), (name, ">", cut))):
-                        if best is None or value > best[0]:
-                            best = value, condition
-            if best is None or best[0] <= 1.0:
-                break
-            rule.append(best[1])
-        if not rule:
-            break
-        held = left.where("not grow").agg(*(
-            F.count_if(_all(rule[: i + 1], columns) & (F.col("bad") if kind == "p" else ~F.col("bad"))).alias(f"{kind}{i}") for i in range(len(rule)) for kind in "pn")).first()
-        worth = [((held[f"p{i}"] - held[f"n{i}"]) / max(1, held[f"p{i}"] + held[f"n{i}"]), -i) for i in range(len(rule))]
-        keep = -max(worth)[1]
-        if held[f"p{keep}"] < PRECISION * (held[f"p{keep}"] + held[f"n{keep}"]) or not held[f"p{keep}"]:
+        else:
             break
-        rules.append(rule[: keep + 1])
-        left = left.where(~_all(rules[-1], columns))
+        rules.append(rule)
+        left = left.where(~_all(rule, columns))
     return rules
 
 

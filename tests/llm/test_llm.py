@@ -318,3 +318,19 @@ def test_licences_in_real_forms(spark):
     ]
     got = licences.scanned(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(i, r["licences"]) for i, r in enumerate(got)] == [(i, x) for i, (_, x) in enumerate(cases)]
+
+
+def test_rules_find_rare_faults_and_go_on_after_a_failure(spark):
+    """One bad row in a hundred above good rows that all have the statistic; a pattern that does not hold on unseen rows."""
+    names = list(rules._shares())
+
+    def frame(made):
+        return spark.createDataFrame([(*(float(values.get(name, 0.0)) for name in names), bad, grow) for values, bad, grow in made], ", ".join(f"{x} double" for x in names) + ", bad boolean, grow boolean")
+
+    rare = [({"symbols": 0.5 if i % 100 == 7 else 0.001 * (i % 200)}, i % 100 == 7, i // 100 % 3 < 2) for i in range(3000)]
+    found = rules.learned(frame(rare))
+    rejects = lambda known, value: any(all(value.get(n, 0.0) <= c if side == "<=" else value.get(n, 0.0) > c for n, side, c in rule) for rule in known)
+    assert all(rejects(found, values) == bad for values, bad, _ in rare)
+    misled = [({"digits": 0.9}, i % 2 == 0, i % 2 == 0) for i in range(400)] + [({"shouts": 0.9}, True, i % 3 < 2) for i in range(60)] + [({}, False, i % 3 < 2) for i in range(1000)]
+    found = rules.learned(frame(misled))
+    assert rejects(found, {"shouts": 0.9}) and not rejects(found, {"digits": 0.9}) and not rejects(found, {})
