@@ -118,7 +118,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and set of each text that has the wanted set; rows of the same id but another text fall out."""
+    """Row and set of each text that has the wanted set."""
     last, elements, digest = object(), None, None
     for row in range(batch.num_rows):
         if (text := batch.column("text")[row].as_py()) != last:
@@ -285,14 +285,23 @@ def components(edges: DataFrame) -> DataFrame:
 class _Pairs:
     """Compares candidate pairs of classes, once each."""
 
-    def __init__(self, documents: DataFrame, classes: DataFrame):
-        self.documents, self.classes, self.done = documents, classes, None
+    def __init__(self, documents: DataFrame, signed: DataFrame, classes: DataFrame):
+        self.classes, self.done = classes, None
+        # A class is read from the one row that its key names; of rows that repeat both id and text, from one of them.
+        self.documents = documents.withColumn("key", row_key())
+        many = classes.where("copies > 1").select(F.col("first.key").alias("key"))
+        again = signed.where("digest is not null").groupBy("key").count().where("count > 1").select("key")
+        again = stored(again.join(few(many), "key", "left_semi"), "again")
+        if again.take(1):
+            repeated = few(again)
+            once = stored(self.documents.join(repeated, "key", "left_semi").dropDuplicates(["key"]), "once")
+            self.documents = self.documents.join(repeated, "key", "left_anti").unionByName(once)
 
     def texts(self, rows: DataFrame, cid: str) -> DataFrame:
-        """The rows, with the text and set digest of the class that `cid` names."""
-        known = self.classes.select(F.col("cid").alias(cid), "digest", F.col("rep").alias("doc_id"))
+        """The rows, each with the text and set digest of the class that `cid` names."""
+        known = self.classes.select(F.col("cid").alias(cid), "digest", F.col("first.key").alias("key"))
         wanted = stored(rows.join(known, cid), "wanted")
-        return self.documents.join(few(wanted), self.documents["doc_id"].eqNullSafe(wanted["doc_id"])).select(*rows.columns, "digest", "text")
+        return self.documents.join(few(wanted), "key").select(*rows.columns, "digest", "text")
 
     def links(self, pairs: DataFrame, hopeful: bool = False) -> DataFrame:
         """Of candidate pairs (a, b), those not compared before that link on their full sets. hopeful: already estimated.
@@ -384,7 +393,7 @@ def _grouped(documents: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = signed.where("digest is not null").groupBy("digest").agg(
         F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = stored(classes.select("*", F.col("first.doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     bands = classes.select("cid", F.explode(_bands()).alias("at")).select("cid", "at.*")
     sizes = stored(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stored(bands.join(sizes, "band"), "shared")
@@ -394,7 +403,7 @@ def _grouped(documents: DataFrame) -> DataFrame:
     shared = stored(shared.join(company, "cid").select("cid", "place", "band", "size", central), "central")
     pivots = shared.groupBy("band").agg((-F.max("central")["minus"]).alias("pivot"))
     shared = stored(shared.join(pivots, "band"), "pivots")
-    compare = _Pairs(documents, classes)
+    compare = _Pairs(documents, signed, classes)
     stars = components(compare.links(shared.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))))
     # A second pivot where a band still holds several components, then all that no pivot has joined.
     members = _open(shared, stars)

@@ -334,3 +334,19 @@ def test_rules_find_rare_faults_and_go_on_after_a_failure(spark):
     misled = [({"digits": 0.9}, i % 2 == 0, i % 2 == 0) for i in range(400)] + [({"shouts": 0.9}, True, i % 3 < 2) for i in range(60)] + [({}, False, i % 3 < 2) for i in range(1000)]
     found = rules.learned(frame(misled))
     assert rejects(found, {"shouts": 0.9}) and not rejects(found, {"digits": 0.9}) and not rejects(found, {})
+
+
+def test_texts_of_rows_without_id_meet_once(spark, monkeypatch):
+    """A class is read from one row, however many rows have no id or share one: no product of classes and rows."""
+    met, texts = [], neardup._Pairs.texts
+
+    def counted(self, rows, cid):
+        found = texts(self, rows, cid)
+        met.append((rows.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(neardup._Pairs, "texts", counted)
+    near = lambda i, j: " ".join(x if k != 10 + 20 * j else f"new{i}x{j}" for k, x in enumerate(text(i).split()))
+    rows = [(None if i % 2 else 7, near(i, j)) for i in range(8) for j in range(3)] * 2
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 48 and met and met[0][0] > 8 and all(a == b for a, b in met)
