@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeflow.llm import decontam, langid, licences, mixing, neardup, pages, quality, rules, tokens, warc
+from changeflow.llm import decontam, langid, licences, mixing, neardup, pages, quality, rules, search, tokens, warc, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
@@ -72,3 +72,36 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ANSWERS["op13_search"] = r"""
+WITH item_terms AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) AS i GROUP BY ALL),
+doc_terms AS (
+  SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) AS d GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+marks AS (SELECT doc_id, 75 + ((25 * n * n_docs) // n_terms) AS m FROM sizes, totals),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM doc_terms GROUP BY term) AS t, totals),
+scores AS (
+  SELECT item_id, d.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM item_terms AS i JOIN doc_terms AS d USING (term) JOIN weights USING (term) JOIN marks AS k ON k.doc_id = d.doc_id GROUP BY ALL),
+places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM places WHERE place <= 20
+"""
