@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changeflow.llm import decontam, langid, licences, mixing, neardup, pages, quality, rules, search, tokens, warc, whiten
+from changeflow.llm import decontam, langid, licences, mixing, neardup, pages, quality, rules, search, suffixes, tokens, warc, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_repeats(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened(table(spark, sf_dir, "embeddings"))
