@@ -45,8 +45,9 @@ MODULUS = 57
 COVER = np.array([0, 1, 3, 13, 32, 36, 43, 52])
 #: Bytes that two equal windows have left at the cover position they share, at the least.
 SAMPLE = LENGTH - MODULUS + 1
-#: Bytes of text in a block (whole documents), of fingerprints in a bucket, of text hashed at once.
+#: Bytes of text in a block (whole documents) and in one whose every suffix is sorted, fingerprints in a bucket, bytes hashed at once.
 BLOCK_BYTES = 8 << 20
+LAYOUT_BYTES = 2 << 20
 BUCKET_ROWS = 4 << 20
 PIECE = 1 << 20
 LEAST_BUCKET_BITS = 6
@@ -161,8 +162,8 @@ def _samples(data: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray
 def _by_bucket(values: np.ndarray, bits: int, bucket_bits: int) -> Iterator[tuple[int, slice]]:
     """The bucket numbers of ascending values, with the place of each one's values."""
     bucket = (values >> np.uint64(bits - bucket_bits)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(values)], strict=True):
+    edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(values)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
         yield int(bucket[low]), slice(low, high)
 
 
@@ -247,7 +248,7 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places.append((row["block"], row["number"], row["start"], row["size"]))
             texts.append(row["bytes"])
             held += row["size"]
-            if held >= BLOCK_BYTES:
+            if held >= LAYOUT_BYTES:
                 yield block()
                 places, texts, held = [], [], 0
     if places:
