@@ -9,15 +9,16 @@ the end of their document. Sorting all of them at once would cost many times the
    time, and each learns whether it is tied with another.
 2. A suffix without a tied cover position among its first 57 bytes repeats nothing. The others form stretches of text. Equal
    stretches need no further order: all but the first of them are repeats as a whole.
-3. The suffixes of the first stretches are laid out in the order of documents and sorted to the full depth, one bucket at a
-   time. Blocks of text have ascending numbers, so within a run of equal suffixes the first block holds the earliest start,
-   and every other block learns that its own are repeats.
+3. Stretches are numbered in the order of their documents and starts. The suffixes of the first ones are sorted to the full
+   depth, one bucket at a time; of equal suffixes the one from the lowest number is kept. Stretches that are much alike lie in
+   one block (by their smallest hash of a short window), so most equal suffixes have met before anything is sent.
 
 Order among unequal suffixes does not matter here, so buckets are sorted by fingerprints instead of letters: those of cover
-positions have twelve bits more than it takes to number them (a false tie costs time only), those of whole windows have 96
-bits. What is sorted travels as sorted runs of fingerprints for a block and a bucket, about three bytes for a cover position, and what
-returns is one bit each. A task holds one block of text or one bucket. A block sends each fingerprint once however often it occurs, so
-no key is hot. Texts are packed once and read three times.
+positions have twelve bits more than it takes to number them (a false tie costs time only), those of whole windows enough
+that two different windows share one with a chance below one in a billion. What is sorted travels as sorted runs of fingerprints
+for a block and a bucket, about three bytes for a cover position, and what returns is one bit each. A task holds one block of
+text or one bucket. A block sends each fingerprint once however often it occurs, so no key is hot. Texts are packed once and
+read three times.
 
 Results in odd cases: a NULL text counts as empty. Texts below 100 bytes keep all. Documents come in the order of their ids,
 those without one last, those with equal ids by a digest of their text; of repeated rows the first stays and the rest are
@@ -51,8 +52,13 @@ LAYOUT_BYTES = 2 << 20
 BUCKET_ROWS = 4 << 20
 PIECE = 1 << 20
 LEAST_BUCKET_BITS = 6
-#: Bits of a cover position's fingerprint beyond those that number all of them.
+#: Bits of a cover position's fingerprint beyond those that number all of them; of a window's beyond those that number all pairs.
 SPARE_BITS = 12
+PAIR_BITS = 30
+#: Bits of a window's second fingerprint.
+MORE_BITS = 32
+#: Bytes of the short windows whose smallest hash says which stretches are alike.
+SHINGLE = 16
 #: Bytes that a broadcast may hold.
 BROADCAST_BYTES = 32 << 20
 
@@ -104,15 +110,22 @@ def _loosened(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as one plane for each of their bytes: planes that hardly change shrink to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_loosened(data), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
 def _run(values: np.ndarray) -> bytes:
-    """Ascending numbers as gaps, one plane for each byte of a gap: the upper planes shrink to nothing."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Ascending numbers by their gaps."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def _values(run: bytes) -> np.ndarray:
-    planes = np.frombuffer(_loosened(run), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+    return np.cumsum(_from_planes(run), dtype=np.uint64)
 
 
 def _spread(counts: np.ndarray) -> np.ndarray:
@@ -201,7 +214,15 @@ def _returned(answers: list[dict] | None, sizes: list[int]) -> np.ndarray:
 
 
 def _stretches(bits: int, bucket_bits: int):
-    """Text of suffixes with a tied cover position: unbroken runs of such suffixes, down to their full depth."""
+    """Text of suffixes with a tied cover position: unbroken runs of at most PIECE such suffixes, down to their full depth."""
+
+    def cut(low: int, high: int, document: int) -> Iterator[tuple[int, int, int]]:
+        for begin in range(low, high + 1, PIECE):
+            yield begin, min(begin + PIECE - 1, high) + LENGTH, document
+
+    def alike(text: bytes) -> int:
+        hashes = _second().at(np.frombuffer(text, np.uint8), np.arange(len(text) - SHINGLE + 1), SHINGLE)
+        return int(hashes.min() >> np.uint64(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,50 +243,47 @@ def _stretches(bits: int, bucket_bits: int):
                     continue
                 new = np.concatenate([[True], low[1:] > high[:-1] + 1])
                 first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(low) - 1]])
-                spans = list(zip(low[first].tolist(), (high[last] + LENGTH).tolist(), document[first].tolist(), strict=True))
+                spans = [x for run in zip(low[first].tolist(), high[last].tolist(), document[first].tolist(), strict=True) for x in cut(*run)]
                 texts, begins = [whole[a:b] for a, b, _ in spans], (ends - sizes).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]] * len(spans), pa.int64()), pa.array([i for *_, i in spans], pa.int32()), pa.array([a - begins[i] for a, _, i in spans], pa.int64()),
                      pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(x).digest()[:16] for x in texts], pa.binary()),
                      pa.array([row["ids"][i] for *_, i in spans], batch.column("ids").type.value_type),
-                     pa.array([row["digests"][i] for *_, i in spans], pa.binary()), pa.array(texts, pa.binary())],
-                    ["block", "number", "start", "size", "same", "doc_id", "digest", "bytes"])
+                     pa.array([row["digests"][i] for *_, i in spans], pa.binary()), pa.array([alike(x) for x in texts], pa.int64()), pa.array(texts, pa.binary())],
+                    ["block", "number", "start", "size", "same", "doc_id", "digest", "alike", "bytes"])
 
     return run
 
 
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches in blocks, in the order they come in."""
-    places, texts, held = [], [], 0
+    """Stretches in blocks, by their rank within each."""
+    names, held, size = ["rank", "block", "number", "start", "size"], [], 0
 
     def block() -> pa.RecordBatch:
-        columns = [pa.array([list(x)], pa.list_(pa.int64())) for x in zip(*places, strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([held - (LENGTH - 1) * len(places)], pa.int64()), pa.array([_squeezed(b"".join(texts))], pa.binary())],
-                                          ["blocks", "numbers", "starts", "sizes", "windows", "blob"])
+        rows = sorted(held, key=lambda row: row["rank"])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([[row[name] for row in rows]], pa.list_(pa.int64())) for name in names), pa.array([size - (LENGTH - 1) * len(rows)], pa.int64()),
+             pa.array([_squeezed(b"".join(row["bytes"] for row in rows))], pa.binary())], ["ranks", "blocks", "numbers", "starts", "sizes", "windows", "blob"])
 
     for batch in batches:
         for row in batch.to_pylist():
-            places.append((row["block"], row["number"], row["start"], row["size"]))
-            texts.append(row["bytes"])
-            held += row["size"]
-            if held >= LAYOUT_BYTES:
+            held.append(row)
+            size += row["size"]
+            if size >= LAYOUT_BYTES:
                 yield block()
-                places, texts, held = [], [], 0
-    if places:
+                held, size = [], 0
+    if held:
         yield block()
 
 
-def _sorted_windows(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_windows(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of a block's windows by fingerprint (equal ones by place), both fingerprints in that order, whether each is the
     first of its kind here, and the number of windows of each stretch."""
     data, sizes = np.frombuffer(_loosened(row["blob"]), np.uint8), np.array(row["sizes"], np.int64)
     counts = sizes - LENGTH + 1
     starts = np.repeat(np.cumsum(sizes) - sizes, counts) + _spread(counts)
-    one, two = _first().at(data, starts, LENGTH), (_second().at(data, starts, LENGTH) >> np.uint64(32)).astype(np.uint32)
-    return *_in_order(one, two), counts
-
-
-def _in_order(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    one = _first().at(data, starts, LENGTH) >> np.uint64(64 - bits)
+    two = (_second().at(data, starts, LENGTH) >> np.uint64(64 - MORE_BITS)).astype(np.uint32)
     order = np.argsort(one, kind="stable")
     a, b = one[order], two[order]
     if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
@@ -273,43 +291,54 @@ def _in_order(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         a, b = one[order], two[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, a, b, fresh
+    return order, a, b, fresh, counts
 
 
-def _sent_windows(bucket_bits: int):
+def _sent_windows(bits: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, a, b, fresh, _ = _sorted_windows(row)
+                order, a, b, fresh, counts = _sorted_windows(row, bits)
                 a, b = a[fresh], b[fresh]
-                cut = [(bucket, _run(a[part]), b[part].astype("<u4").tobytes()) for bucket, part in _by_bucket(a, 64, bucket_bits)]
+                owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[order[fresh]]
+                ranks = _run(np.array(row["ranks"], np.uint64))
+                cut = [(bucket, _run(a[part]), b[part].astype("<u4").tobytes(), _planes(owner[part])) for bucket, part in _by_bucket(a, bits, bucket_bits)]
+                bucket, runs, more, owners = zip(*cut, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, *_ in cut], pa.int32()), pa.array([row["block"]] * len(cut), pa.int64()),
-                     pa.array([x for _, x, _ in cut], pa.binary()), pa.array([x for *_, x in cut], pa.binary())], ["bucket", "block", "run", "more"])
+                    [pa.array(bucket, pa.int32()), pa.array([row["block"]] * len(cut), pa.int64()), pa.array(runs, pa.binary()), pa.array(more, pa.binary()),
+                     pa.array(owners, pa.binary()), pa.array([ranks] * len(cut), pa.binary())], ["bucket", "block", "run", "more", "owners", "ranks"])
 
     return run
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """One bucket: which windows of each block an earlier block has too."""
-    table = table.sort_by("block")
+    """One bucket: which windows of each block a stretch of lower rank in another block has too."""
     runs = [_values(x.as_py()) for x in table.column("run")]
-    more = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("more")])
-    order, _, _, fresh = _in_order(np.concatenate(runs), more)
-    later = np.empty(len(more), bool)
-    later[order] = ~fresh
+    one = np.concatenate(runs)
+    two = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("more")])
+    rank = np.concatenate([_values(x.as_py())[_from_planes(owners.as_py())] for x, owners in zip(table.column("ranks"), table.column("owners"), strict=True)])
+    order = np.argsort(one)
+    a = one[order]
+    again = np.zeros(len(a), bool)
+    again[1:] = a[1:] == a[:-1]
+    again[:-1] |= again[1:]
+    order = order[again]
+    order = order[np.lexsort((rank[order], two[order], one[order]))]
+    a, b = one[order], two[order]
+    later = np.zeros(len(one), bool)
+    later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     return _answers(table, np.split(later, np.cumsum([len(x) for x in runs])[:-1]))
 
 
-def _repeats(bucket_bits: int):
+def _repeats(bits: int, bucket_bits: int):
     """Bytes of each stretch that lie in a window that starts earlier too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                order, a, _, fresh, counts = _sorted_windows(row)
+                order, a, _, fresh, counts = _sorted_windows(row, bits)
                 kept = a[fresh]
-                later = _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(kept, 64, bucket_bits)])
+                later = _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(kept, bits, bucket_bits)])
                 repeated = np.empty(len(a), bool)
                 repeated[order] = ~fresh | later[np.cumsum(fresh) - 1]
                 out = []
@@ -387,22 +416,27 @@ def repeated_spans(blocks: DataFrame) -> DataFrame:
     texts = blocks.select("block", "sizes", "blob")
     answers, size = _sorted_by_bucket(texts.mapInArrow(_sent_samples(bits, bucket_bits), "bucket int, block long, run binary"), _tied, "ties")
     stretches = stored(_with(blocks, answers, size).mapInArrow(
-        _stretches(bits, bucket_bits), f"block long, number int, start long, size long, same binary, doc_id {kind}, digest binary, bytes binary"), "stretches")
+        _stretches(bits, bucket_bits), f"block long, number int, start long, size long, same binary, doc_id {kind}, digest binary, alike long, bytes binary"), "stretches")
 
     place = ["block", "number", "start"]
-    order = [F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest", *place]
-    firsts = stretches.groupBy("same").agg(F.min(F.struct(*order)).alias("first")).select(*(F.col(f"first.{x}").alias(x) for x in place))
-    firsts = stored(firsts, "firsts")
-    copies = stretches.select(*place, "size").join(firsts, place, "left_anti").select(
+    order = [F.col("doc_id").isNull(), "doc_id", "digest", *place]
+    ranked = stretches.drop("bytes").repartitionByRange(*order).sortWithinPartitions(*order).select(
+        *place, "size", "same", F.monotonically_increasing_id().alias("rank"))
+    ranked = stored(ranked, "ranks")
+    firsts = stored(ranked.groupBy("same").agg(F.min(F.struct("rank", *place)).alias("first")).select("first.*"), "firsts")
+    copies = ranked.join(firsts.select("rank"), "rank", "left_anti").select(
         "block", "number", F.array("start").alias("begins"), F.array(F.col("start") + F.col("size")).alias("ends"))
-    ordered = stretches.join(firsts, place).repartitionByRange(*order).sortWithinPartitions(*order)
-    layout = ordered.select(*place, "size", "bytes").mapInArrow(
-        _laid_out, "blocks array<long>, numbers array<long>, starts array<long>, sizes array<long>, windows long, blob binary")
+    few = F.broadcast(firsts) if firsts.count() * 32 <= BROADCAST_BYTES else firsts
+    near = stretches.select(*place, "size", "alike", "bytes").join(few, place).repartitionByRange("alike", "rank").sortWithinPartitions("alike", "rank")
+    lists = ", ".join(f"{x} array<long>" for x in ("ranks", "blocks", "numbers", "starts", "sizes"))
+    layout = near.mapInArrow(_laid_out, f"{lists}, windows long, blob binary")
     layout = stored(layout.withColumn("block", F.monotonically_increasing_id()), "layout")
-    bucket_bits = _bucket_bits(layout.agg(F.sum("windows")).first()[0] or 0)
-    windows = layout.select("block", "sizes", "blob").mapInArrow(_sent_windows(bucket_bits), "bucket int, block long, run binary, more binary")
+    total = layout.agg(F.sum("windows")).first()[0] or 0
+    bits, bucket_bits = min(64, max(24, 2 * total.bit_length() + PAIR_BITS - MORE_BITS)), _bucket_bits(total)
+    windows = layout.select("block", "ranks", "sizes", "blob").mapInArrow(
+        _sent_windows(bits, bucket_bits), "bucket int, block long, run binary, more binary, owners binary, ranks binary")
     answers, size = _sorted_by_bucket(windows, _later, "repeats")
-    repeats = _with(layout, answers, size).mapInArrow(_repeats(bucket_bits), "block long, number int, begins array<long>, ends array<long>")
+    repeats = _with(layout, answers, size).mapInArrow(_repeats(bits, bucket_bits), "block long, number int, begins array<long>, ends array<long>")
     return repeats.unionByName(copies)
 
 

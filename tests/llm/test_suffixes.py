@@ -84,8 +84,10 @@ def test_cover_and_runs():
 
 
 def test_windows_that_share_one_fingerprint():
-    """Equal first fingerprints with different second ones stay apart, in either order."""
-    run = suffixes._run(np.array([5, 9], np.uint64))
-    table = pa.table({"bucket": [0, 0], "block": [2, 1], "run": [run, run], "more": [np.array([1, 7], "<u4").tobytes(), np.array([2, 7], "<u4").tobytes()]})
+    """Equal first fingerprints with different second ones stay apart; of equal windows the lowest rank keeps."""
+    run, owners = suffixes._run(np.array([5, 9, 12], np.uint64)), suffixes._planes(np.array([0, 1, 0], np.uint32))
+    ranks = [suffixes._run(np.array(x, np.uint64)) for x in ([10, 30], [20, 21])]
+    more = [np.array(x, "<u4").tobytes() for x in ([1, 7, 4], [2, 7, 4])]
+    table = pa.table({"bucket": [0, 0], "block": [2, 1], "run": [run, run], "more": more, "owners": [owners, owners], "ranks": ranks})
     out = suffixes._later(table).to_pylist()
-    assert [(x["block"], np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2).tolist()) for x in out] == [(1, [0, 0]), (2, [0, 1])]
+    assert [(x["block"], np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=3).tolist()) for x in out] == [(2, [0, 1, 0]), (1, [0, 0, 1])]
