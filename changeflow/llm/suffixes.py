@@ -7,8 +7,9 @@ the end of their document. Sorting all of them at once would cost many times the
    suffixes have an offset below 57 at which both are cover positions, so if they agree in 100 bytes, two cover positions
    in these agree in the 44 bytes left at the least. The cover positions are sorted first, one bucket of fingerprints at a
    time, and each learns whether it is tied with another.
-2. A suffix without a tied cover position among its first 57 bytes repeats nothing. The others form stretches of text. Equal
-   stretches need no further order: all but the first of them are repeats as a whole.
+2. A suffix without a tied cover position among its first 57 bytes repeats nothing. The others form stretches of text, cut
+   where a hash of the next bytes says so and thus alike in equal texts. Equal stretches need no further order: all but the
+   first of them are repeats as a whole.
 3. Stretches are numbered in the order of their documents and starts. The suffixes of the first ones are sorted to the full
    depth, one bucket at a time; of equal suffixes the one from the lowest number is kept. Stretches that are much alike lie in
    one block (by their smallest hash of a short window), so most equal suffixes have met before anything is sent.
@@ -18,7 +19,7 @@ positions have twelve bits more than it takes to number them (a false tie costs
 that two different windows share one with a chance below one in a billion. What is sorted travels as sorted runs of fingerprints
 for a block and a bucket, about three bytes for a cover position, and what returns is one bit each. A task holds one block of
 text or one bucket. A block sends each fingerprint once however often it occurs, so no key is hot. Texts are packed once and
-read three times.
+read four times.
 
 Results in odd cases: a NULL text counts as empty. Texts below 100 bytes keep all. Documents come in the order of their ids,
 those without one last, those with equal ids by a digest of their text; of repeated rows the first stays and the rest are
@@ -36,6 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from changeflow.llm.shared import stored
 
@@ -47,7 +49,7 @@ COVER = np.array([0, 1, 3, 13, 32, 36, 43, 52])
 #: Bytes that two equal windows have left at the cover position they share, at the least.
 SAMPLE = LENGTH - MODULUS + 1
 #: Bytes of text in a block (whole documents) and in one whose every suffix is sorted, fingerprints in a bucket, bytes hashed at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LAYOUT_BYTES = 2 << 20
 BUCKET_ROWS = 4 << 20
 PIECE = 1 << 20
@@ -59,6 +61,8 @@ PAIR_BITS = 30
 MORE_BITS = 32
 #: Bytes of the short windows whose smallest hash says which stretches are alike.
 SHINGLE = 16
+#: Windows in a stretch, on average.
+STRETCH = 512
 #: Bytes that a broadcast may hold.
 BROADCAST_BYTES = 32 << 20
 
@@ -134,6 +138,13 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a batch of blocks is never unpacked as a whole."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield batch.slice(row, 1).to_pylist()[0]
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole documents in blocks: ids, sizes and digests beside the squeezed texts."""
     ids, texts, held, kind = [], [], 0, None
@@ -182,13 +193,12 @@ def _by_bucket(values: np.ndarray, bits: int, bucket_bits: int) -> Iterator[tupl
 
 def _sent_samples(bits: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, sizes = np.frombuffer(_loosened(row["blob"]), np.uint8), np.array(row["sizes"], np.int64)
-                values = np.unique(_samples(data, sizes, bits)[2])
-                cut = [(bucket, _run(values[part])) for bucket, part in _by_bucket(values, bits, bucket_bits)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in cut], pa.int32()), pa.array([row["block"]] * len(cut), pa.int64()), pa.array([x for _, x in cut], pa.binary())], ["bucket", "block", "run"])
+        for row in _rows(batches):
+            data, sizes = np.frombuffer(_loosened(row["blob"]), np.uint8), np.array(row["sizes"], np.int64)
+            values = np.unique(_samples(data, sizes, bits)[2])
+            cut = [(bucket, _run(values[part])) for bucket, part in _by_bucket(values, bits, bucket_bits)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in cut], pa.int32()), pa.array([row["block"]] * len(cut), pa.int64()), pa.array([x for _, x in cut], pa.binary())], ["bucket", "block", "run"])
 
     return run
 
@@ -213,48 +223,56 @@ def _returned(answers: list[dict] | None, sizes: list[int]) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *parts])
 
 
-def _stretches(bits: int, bucket_bits: int):
-    """Text of suffixes with a tied cover position: unbroken runs of at most PIECE such suffixes, down to their full depth."""
-
-    def cut(low: int, high: int, document: int) -> Iterator[tuple[int, int, int]]:
-        for begin in range(low, high + 1, PIECE):
-            yield begin, min(begin + PIECE - 1, high) + LENGTH, document
-
-    def alike(text: bytes) -> int:
-        hashes = _second().at(np.frombuffer(text, np.uint8), np.arange(len(text) - SHINGLE + 1), SHINGLE)
-        return int(hashes.min() >> np.uint64(1))
+def _stretches(bits: int, bucket_bits: int, kind: pa.DataType):
+    """Places of suffixes with a tied cover position, in stretches that reach down to their full depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                whole, sizes = _loosened(row["blob"]), np.array(row["sizes"], np.int64)
-                at, document, hashes = _samples(np.frombuffer(whole, np.uint8), sizes, bits)
-                values, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-                tied = counts > 1
-                tied |= _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(values, bits, bucket_bits)])
-                chosen = tied[place]
-                at, document = at[chosen], document[chosen]
-                ends = np.cumsum(sizes)
-                low = np.maximum(at - MODULUS + 1, (ends - sizes)[document])
-                high = np.minimum(at, ends[document] - LENGTH)
-                some = low <= high
-                low, high, document = low[some], high[some], document[some]
-                if not len(low):
-                    continue
-                new = np.concatenate([[True], low[1:] > high[:-1] + 1])
-                first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(low) - 1]])
-                spans = [x for run in zip(low[first].tolist(), high[last].tolist(), document[first].tolist(), strict=True) for x in cut(*run)]
-                texts, begins = [whole[a:b] for a, b, _ in spans], (ends - sizes).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(spans), pa.int64()), pa.array([i for *_, i in spans], pa.int32()), pa.array([a - begins[i] for a, _, i in spans], pa.int64()),
-                     pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(x).digest()[:16] for x in texts], pa.binary()),
-                     pa.array([row["ids"][i] for *_, i in spans], batch.column("ids").type.value_type),
-                     pa.array([row["digests"][i] for *_, i in spans], pa.binary()), pa.array([alike(x) for x in texts], pa.int64()), pa.array(texts, pa.binary())],
-                    ["block", "number", "start", "size", "same", "doc_id", "digest", "alike", "bytes"])
+        for row in _rows(batches):
+            whole, sizes = _loosened(row["blob"]), np.array(row["sizes"], np.int64)
+            data = np.frombuffer(whole, np.uint8)
+            at, document, hashes = _samples(data, sizes, bits)
+            values, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            tied = counts > 1
+            tied |= _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(values, bits, bucket_bits)])
+            chosen = tied[place]
+            at, document = at[chosen], document[chosen]
+            ends = np.cumsum(sizes)
+            low = np.maximum(at - MODULUS + 1, (ends - sizes)[document])
+            high = np.minimum(at, ends[document] - LENGTH)
+            low, high = low[low <= high], high[low <= high]
+            if not len(low):
+                continue
+            new = np.concatenate([[True], low[1:] > high[:-1] + 1])
+            low, high = low[new], high[np.concatenate([new[1:], [True]])]
+            starts = np.repeat(low, high - low + 1) + _spread(high - low + 1)
+            short = _second().at(data, np.minimum(starts, len(data) - SHINGLE), SHINGLE)
+            fresh = np.ones(len(starts), bool)
+            fresh[1:] = (np.diff(starts) > 1) | (short[1:] % np.uint64(STRETCH) == 0)
+            first = np.flatnonzero(fresh)
+            first = np.unique(np.concatenate([first, *(np.arange(a, b, PIECE) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(starts)], strict=True) if b - a > PIECE)]))
+            begin, end = starts[first], starts[np.concatenate([first[1:], [len(starts)]]) - 1] + LENGTH
+            number = np.searchsorted(ends, begin, side="right")
+            same = [hashlib.sha256(whole[a:b]).digest()[:16] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(begin), row["block"])), pa.array(number, pa.int32()), pa.array(begin - (ends - sizes)[number]), pa.array(end - begin), pa.array(same, pa.binary()),
+                 pa.array([row["ids"][i] for i in number.tolist()], kind), pa.array([row["digests"][i] for i in number.tolist()], pa.binary()),
+                 pa.array((np.minimum.reduceat(short, first) >> np.uint64(1)).astype(np.int64))],
+                ["block", "number", "start", "size", "same", "doc_id", "digest", "alike"])
 
     return run
 
 
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of the stretches that were first of their kind."""
+    for row in _rows(batches):
+        whole, begins = _loosened(row["blob"]), np.cumsum([0, *row["sizes"]]).tolist()
+        columns = {name: [x[name] for x in row["firsts"]] for name in ("rank", "number", "start", "size", "alike")}
+        texts = [whole[begins[i] + start : begins[i] + start + size] for i, start, size in zip(columns["number"], columns["start"], columns["size"], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns["rank"], pa.int64()), pa.array([row["block"]] * len(texts), pa.int64()), *(pa.array(columns[x], pa.int64()) for x in ("number", "start", "size", "alike")),
+             pa.array(texts, pa.binary())], ["rank", "block", "number", "start", "size", "alike", "bytes"])
+
+
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches in blocks, by their rank within each."""
     names, held, size = ["rank", "block", "number", "start", "size"], [], 0
@@ -296,17 +314,16 @@ def _sorted_windows(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _sent_windows(bits: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                order, a, b, fresh, counts = _sorted_windows(row, bits)
-                a, b = a[fresh], b[fresh]
-                owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[order[fresh]]
-                ranks = _run(np.array(row["ranks"], np.uint64))
-                cut = [(bucket, _run(a[part]), b[part].astype("<u4").tobytes(), _planes(owner[part])) for bucket, part in _by_bucket(a, bits, bucket_bits)]
-                bucket, runs, more, owners = zip(*cut, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), pa.array([row["block"]] * len(cut), pa.int64()), pa.array(runs, pa.binary()), pa.array(more, pa.binary()),
-                     pa.array(owners, pa.binary()), pa.array([ranks] * len(cut), pa.binary())], ["bucket", "block", "run", "more", "owners", "ranks"])
+        for row in _rows(batches):
+            order, a, b, fresh, counts = _sorted_windows(row, bits)
+            a, b = a[fresh], b[fresh]
+            owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[order[fresh]]
+            ranks = _run(np.array(row["ranks"], np.uint64))
+            cut = [(bucket, _run(a[part]), b[part].astype("<u4").tobytes(), _planes(owner[part])) for bucket, part in _by_bucket(a, bits, bucket_bits)]
+            bucket, runs, more, owners = zip(*cut, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int32()), pa.array([row["block"]] * len(cut), pa.int64()), pa.array(runs, pa.binary()), pa.array(more, pa.binary()),
+                 pa.array(owners, pa.binary()), pa.array([ranks] * len(cut), pa.binary())], ["bucket", "block", "run", "more", "owners", "ranks"])
 
     return run
 
@@ -334,23 +351,22 @@ def _repeats(bits: int, bucket_bits: int):
     """Bytes of each stretch that lie in a window that starts earlier too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                order, a, _, fresh, counts = _sorted_windows(row, bits)
-                kept = a[fresh]
-                later = _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(kept, bits, bucket_bits)])
-                repeated = np.empty(len(a), bool)
-                repeated[order] = ~fresh | later[np.cumsum(fresh) - 1]
-                out = []
-                for block, number, start, part in zip(row["blocks"], row["numbers"], row["starts"], np.split(repeated, np.cumsum(counts)[:-1]), strict=True):
-                    if part.any():
-                        edges = np.flatnonzero(np.diff(part.astype(np.int8), prepend=0, append=0)) + start
-                        out.append((block, number, edges[::2], edges[1::2] + LENGTH - 1))
-                if out:
-                    block, number, begin, end = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block, pa.int64()), pa.array(number, pa.int32()), pa.array(begin, pa.list_(pa.int64())), pa.array(end, pa.list_(pa.int64()))],
-                        ["block", "number", "begins", "ends"])
+        for row in _rows(batches):
+            order, a, _, fresh, counts = _sorted_windows(row, bits)
+            kept = a[fresh]
+            later = _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(kept, bits, bucket_bits)])
+            repeated = np.empty(len(a), bool)
+            repeated[order] = ~fresh | later[np.cumsum(fresh) - 1]
+            out = []
+            for block, number, start, part in zip(row["blocks"], row["numbers"], row["starts"], np.split(repeated, np.cumsum(counts)[:-1]), strict=True):
+                if part.any():
+                    edges = np.flatnonzero(np.diff(part.astype(np.int8), prepend=0, append=0)) + start
+                    out.append((block, number, edges[::2], edges[1::2] + LENGTH - 1))
+            if out:
+                block, number, begin, end = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block, pa.int64()), pa.array(number, pa.int32()), pa.array(begin, pa.list_(pa.int64())), pa.array(end, pa.list_(pa.int64()))],
+                    ["block", "number", "begins", "ends"])
 
     return run
 
@@ -367,9 +383,9 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, runs, b"".join([*parts, text[at:]])
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
+def _cleaned(kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
             whole, spans, at, out = _loosened(row["blob"]), {}, 0, []
             for x in row["spans"] or []:
                 spans.setdefault(x["number"], []).extend(zip(x["begins"], x["ends"], strict=True))
@@ -379,18 +395,20 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += size
             sizes, removed, runs, rest = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"], batch.column("ids").type.value_type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
+                [pa.array(row["ids"], kind), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
                  pa.array([hashlib.sha256(x).hexdigest() for x in rest]), pa.array(rest, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    return run
+
 
 def _bucket_bits(rows: int) -> int:
     return max(LEAST_BUCKET_BITS, (rows // BUCKET_ROWS).bit_length())
 
 
-def _with(blocks: DataFrame, extra: DataFrame, size: int) -> DataFrame:
+def _with(blocks: DataFrame, extra: DataFrame, size: int, how: str = "left") -> DataFrame:
     """Blocks with what belongs to them, which is broadcast only if its stored bytes are few."""
-    return blocks.join(F.broadcast(extra) if size <= BROADCAST_BYTES else extra, "block", "left")
+    return blocks.join(F.broadcast(extra) if size <= BROADCAST_BYTES else extra, "block", how)
 
 
 def _sorted_by_bucket(sent: DataFrame, sort, label: str) -> tuple[DataFrame, int]:
@@ -416,18 +434,20 @@ def repeated_spans(blocks: DataFrame) -> DataFrame:
     texts = blocks.select("block", "sizes", "blob")
     answers, size = _sorted_by_bucket(texts.mapInArrow(_sent_samples(bits, bucket_bits), "bucket int, block long, run binary"), _tied, "ties")
     stretches = stored(_with(blocks, answers, size).mapInArrow(
-        _stretches(bits, bucket_bits), f"block long, number int, start long, size long, same binary, doc_id {kind}, digest binary, alike long, bytes binary"), "stretches")
+        _stretches(bits, bucket_bits, to_arrow_type(blocks.schema["ids"].dataType.elementType)),
+        f"block long, number int, start long, size long, same binary, doc_id {kind}, digest binary, alike long"), "stretches")
 
     place = ["block", "number", "start"]
     order = [F.col("doc_id").isNull(), "doc_id", "digest", *place]
-    ranked = stretches.drop("bytes").repartitionByRange(*order).sortWithinPartitions(*order).select(
-        *place, "size", "same", F.monotonically_increasing_id().alias("rank"))
+    ranked = stretches.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        *place, "size", "same", "alike", F.monotonically_increasing_id().alias("rank"))
     ranked = stored(ranked, "ranks")
-    firsts = stored(ranked.groupBy("same").agg(F.min(F.struct("rank", *place)).alias("first")).select("first.*"), "firsts")
+    firsts = stored(ranked.groupBy("same").agg(F.min(F.struct("rank", *place, "size", "alike")).alias("first")).select("first.*"), "firsts")
     copies = ranked.join(firsts.select("rank"), "rank", "left_anti").select(
         "block", "number", F.array("start").alias("begins"), F.array(F.col("start") + F.col("size")).alias("ends"))
-    few = F.broadcast(firsts) if firsts.count() * 32 <= BROADCAST_BYTES else firsts
-    near = stretches.select(*place, "size", "alike", "bytes").join(few, place).repartitionByRange("alike", "rank").sortWithinPartitions("alike", "rank")
+    by_block = firsts.groupBy("block").agg(F.collect_list(F.struct("rank", "number", "start", "size", "alike")).alias("firsts"))
+    near = _with(texts, by_block, 40 * firsts.count(), "inner").mapInArrow(_cut_out, "rank long, block long, number long, start long, size long, alike long, bytes binary")
+    near = near.repartitionByRange("alike", "rank").sortWithinPartitions("alike", "rank")
     lists = ", ".join(f"{x} array<long>" for x in ("ranks", "blocks", "numbers", "starts", "sizes"))
     layout = near.mapInArrow(_laid_out, f"{lists}, windows long, blob binary")
     layout = stored(layout.withColumn("block", F.monotonically_increasing_id()), "layout")
@@ -448,7 +468,7 @@ def cleaned(documents: DataFrame) -> DataFrame:
     spans = spans.groupBy("block").agg(F.collect_list(F.struct("number", "begins", "ends")).alias("spans"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     return _with(blocks.drop("digests"), spans, size).mapInArrow(
-        _cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _cleaned(to_arrow_type(documents.schema["doc_id"].dataType)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def removed_repeats(documents: DataFrame) -> DataFrame:
