@@ -16,8 +16,8 @@ the end of their document. Sorting all of them at once would cost many times the
 
 Order among unequal suffixes does not matter here, so buckets are sorted by fingerprints instead of letters: those of cover
 positions have twelve bits more than it takes to number them (a false tie costs time only), those of whole windows enough
-that two different windows share one with a chance below one in a billion. What is sorted travels as sorted runs of fingerprints
-for a block and a bucket, about three bytes for a cover position, and what returns is one bit each. A task holds one block of
+that any two different windows share one with a chance below one in 100000 for the whole corpus. What is sorted travels as sorted runs of fingerprints
+for a block and a bucket, about three bytes for a cover position and eight for a window, and what returns is one bit each. A task holds one block of
 text or one bucket. A block sends each fingerprint once however often it occurs, so no key is hot. Texts are packed once and
 read four times.
 
@@ -50,13 +50,13 @@ COVER = np.array([0, 1, 3, 13, 32, 36, 43, 52])
 SAMPLE = LENGTH - MODULUS + 1
 #: Bytes of text in a block (whole documents) and in one whose every suffix is sorted, fingerprints in a bucket, bytes hashed at once.
 BLOCK_BYTES = 4 << 20
-LAYOUT_BYTES = 2 << 20
+LAYOUT_BYTES = 1 << 20
 BUCKET_ROWS = 4 << 20
 PIECE = 1 << 20
 LEAST_BUCKET_BITS = 6
 #: Bits of a cover position's fingerprint beyond those that number all of them; of a window's beyond those that number all pairs.
 SPARE_BITS = 12
-PAIR_BITS = 30
+PAIR_BITS = 16
 #: Bits of a window's second fingerprint.
 MORE_BITS = 32
 #: Bytes of the short windows whose smallest hash says which stretches are alike.
