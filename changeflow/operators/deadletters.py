@@ -10,7 +10,8 @@ from changeflow.functions import text as T
 from changeflow.functions.payload import operation_or_type
 from changeflow.operators.ledger import KEY
 from changeflow.operators.route import by_destination, enabled
-from changeflow.schemas import WORK
+from changeflow.operators.redact import STAMP
+from changeflow.schemas import TOUCHED, WORK
 
 # The three states of a dead letter, the listing limit and the default replay filter.
 STATUSES = ("pending", "resolved", "ignored")
@@ -24,16 +25,41 @@ class DeadLetterError(ValueError):
 
 def dead_letter_id() -> Column:
     """Deterministic, so that writing a batch again gives the same rows."""
-    return F.concat(F.lit("dl_"), F.sha2(
-        T.identity_text(F.col("destination"), F.col("event_id"), F.unix_micros("failed_at"), F.col("payload_json")), 256
-    ))
+    body = F.coalesce("payload_json", "body_digest")
+    return F.concat(F.lit("dl_"), F.sha2(T.identity_text(F.col("destination"), F.col("event_id"), F.unix_micros("failed_at"), body), 256))
+
+
+def body_facts(body: Column) -> dict[str, Column]:
+    """What a letter says about a body that is at hand in one piece."""
+    child = "struct<namespace:string,entity:string,operation:string>"
+    stored = F.from_json(body, f"namespace string, entity string, operation string, events array<{child}>")
+    own = F.array(F.struct(stored["namespace"].alias("namespace"), stored["entity"].alias("entity"), stored["operation"].alias("operation")))
+    return {
+        "parts": F.lit(1).cast("bigint"),
+        "touched": F.array_distinct(F.coalesce(stored["events"], F.when(stored.isNotNull(), own))).cast(TOUCHED),
+        "policy_fingerprint": F.get_json_object(body, f"$.metadata.{STAMP}.fingerprint"),
+        "body_digest": F.sha2(body, 256),
+    }
+
+
+def part_facts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per body its number of parts, its text if it has only one, and a digest: of the text, or of its parts' digests in order."""
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("part", F.sha2("body", 256).alias("digest")))), lambda x: x["digest"])
+    facts = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("parts"), F.max(F.when(F.col("part") == 0, F.col("body"))).alias("_first"), digests.alias("_digests"))
+    single = F.col("parts") == 1
+    return facts.select(
+        *keys, "parts", F.when(single, F.col("_first")).alias("body"),
+        F.when(single, F.element_at("_digests", 1)).otherwise(F.sha2(F.array_join("_digests", "|"), 256)).alias("body_digest"))
 
 
 def build_dead_letters(failed: DataFrame) -> DataFrame:
     """Exhausted deliveries as pending rows that hold the exact prepared payload.
 
-    Expects the payload columns, `body`, and the resolved `error`, `attempts` and `finished_at`.
+    Expects the payload columns, `body`, and the resolved `error`, `attempts` and `finished_at`. A body in several parts
+    comes as NULL, with the columns of `body_facts` beside it.
     """
+    if "body_digest" not in failed.columns:
+        failed = failed.withColumns(body_facts(F.col("body")))
     operation = operation_or_type() if "type" in failed.columns else F.col("operation")
     work = F.col("work") if "work" in failed.columns else F.lit(None).cast(WORK)
     rows = failed.select(
@@ -43,7 +69,7 @@ def build_dead_letters(failed: DataFrame) -> DataFrame:
         F.col("attempts").cast("int").alias("retry_count"),
         F.lit(DEFAULT_STATUS).alias("status"),
         F.col("finished_at").alias("failed_at"), F.col("finished_at").alias("updated_at"),
-        work.alias("work"), F.col("body").alias("payload_json"),
+        work.alias("work"), F.col("body").alias("payload_json"), "parts", "touched", "policy_fingerprint", "body_digest",
     )
     return rows.select(dead_letter_id().alias("dead_letter_id"), "*")
 
@@ -62,9 +88,9 @@ def status_change(dead_letters: DataFrame, status: str, at: Column) -> DataFrame
 def current(dead_letters: DataFrame, log: DataFrame) -> DataFrame:
     """Dead letters with their latest status. Changes fold per letter before the join.
 
-    Of changes at one time, that of the later batch counts, where the log tells its batches.
+    Of changes at one time, that of the batch which had seen more counts, then that of the later batch, where the log tells them.
     """
-    order = [c for c in ("updated_at", "batch_id") if c in log.columns]
+    order = [c for c in ("updated_at", "seen", "batch_id") if c in log.columns]
     latest = log.groupBy("dead_letter_id").agg(F.max(F.struct(*order, "status")).alias("_latest"))
     joined = dead_letters.join(latest, "dead_letter_id", "left")
     return joined.withColumns({
@@ -119,9 +145,14 @@ def select_replay(
     return chosen
 
 
-def show_dead_letter(dead_letters: DataFrame, letter: str) -> DataFrame:
-    """One letter with its payload parsed to a variant."""
-    return dead_letters.where(F.col("dead_letter_id") == letter).withColumn("payload", F.parse_json("payload_json"))
+def show_dead_letter(dead_letters: DataFrame, letter: str, parts: DataFrame | None = None) -> DataFrame:
+    """One letter with its payload parsed to a variant; a body in several parts is put together for it."""
+    one = dead_letters.where(F.col("dead_letter_id") == letter)
+    if parts is not None:
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]), "")
+        whole = parts.where(F.col("dead_letter_id") == letter).groupBy("dead_letter_id").agg(text.alias("_whole"))
+        one = one.join(whole, "dead_letter_id", "left").withColumn("payload_json", F.coalesce("payload_json", "_whole")).drop("_whole")
+    return one.withColumn("payload", F.parse_json("payload_json"))
 
 
 def with_payload(dead_letters: DataFrame) -> DataFrame:
@@ -141,32 +172,29 @@ def letter_bodies(dead_letters: DataFrame, parts: DataFrame | None = None) -> Da
 
 
 def _stored_match(route) -> Column:
-    """Whether a stored event or transaction payload still fits a route."""
+    """Whether any of the events that a stored body holds still fits a route. A body of unknown content fits an open route only."""
 
-    def fits(namespace: Column, entity: Column, operation: Column) -> Column:
+    def fits(event: Column) -> Column:
         match = F.lit(True)
-        for values, actual in ((route.schemas, namespace), (route.tables, entity), (route.operations, operation)):
+        for values, name in ((route.schemas, "namespace"), (route.tables, "entity"), (route.operations, "operation")):
             if values:
-                match = match & F.lower(F.coalesce(actual, F.lit(""))).isin(*values)
+                match = match & F.lower(F.coalesce(event[name], F.lit(""))).isin(*values)
         return match
 
-    any_child = F.exists("_stored.events", lambda e: fits(e["namespace"], e["entity"], e["operation"]))
-    own = fits(F.col("_stored.namespace"), F.col("_stored.entity"), F.col("_stored.operation"))
-    return F.coalesce(F.when(F.col("_stored.events").isNotNull(), any_child).otherwise(own), F.lit(False))
+    return F.coalesce(F.exists("touched", fits), F.lit(False))
 
 
 def replay_plan(dead_letters: DataFrame, destinations: list[Destination], ledger: DataFrame) -> DataFrame:
     """Letters with `skip_reason`: unknown destinations raise; then disabled, route_mismatch, duplicate.
 
-    Letters in several parts are matched on their letter's own fields, which the parts do not repeat.
+    The route is held against what the letter's body touches, which is the same for bodies of one part and of many.
     """
     names = [d.name for d in destinations]
     known = F.when(F.col("destination").isin(*names), F.col("destination")).otherwise(
         F.raise_error(F.concat(F.lit("unknown destination: "), F.col("destination")))
     )
-    child = "struct<namespace:string,entity:string,operation:string>"
-    stored = F.from_json("payload_json", f"namespace string, entity string, operation string, events array<{child}>")
-    matched = F.col("payload_json").isNull() | by_destination(destinations, lambda d: _stored_match(d.route))
+    touched = F.coalesce("touched", body_facts(F.col("payload_json"))["touched"])
+    matched = by_destination(destinations, lambda d: _stored_match(d.route))
     delivered = ledger.select(KEY).distinct().withColumn("_delivered", F.lit(True))
     reason = (
         F.when(~enabled(destinations), "disabled")
@@ -174,10 +202,9 @@ def replay_plan(dead_letters: DataFrame, destinations: list[Destination], ledger
         .when(F.col("_delivered").isNotNull(), "duplicate")
     )
     return (
-        dead_letters.withColumn("destination", known)
-        .withColumn("_stored", stored).withColumn("_matched", matched)
+        dead_letters.withColumns({"destination": known, "touched": touched}).withColumn("_matched", matched)
         .join(delivered, KEY, "left")
-        .withColumn("skip_reason", reason).drop("_stored", "_matched", "_delivered")
+        .withColumn("skip_reason", reason).drop("_matched", "_delivered")
     )
 
 

@@ -169,5 +169,7 @@ def wrap_as_transactions(events: DataFrame) -> DataFrame:
 
 
 def restore_prepared(stored: DataFrame, stamp: str) -> DataFrame:
-    """Stored body as it is, with the policy fingerprint read back from its metadata."""
-    return stored.withColumn("policy_fingerprint", F.get_json_object("payload_json", f"$.metadata.{stamp}.fingerprint"))
+    """Stored body as it is, with the policy fingerprint of its metadata; a letter of several parts carries it beside the body."""
+    found = F.get_json_object("payload_json", f"$.metadata.{stamp}.fingerprint")
+    kept = F.col("policy_fingerprint") if "policy_fingerprint" in stored.columns else F.lit(None).cast("string")
+    return stored.withColumn("policy_fingerprint", F.coalesce(found, kept))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.functions.lsn import lsn_to_number
+from changeflow.functions.lsn import lsn_to_number, number_to_lsn
 from changeflow.operators import attempts as A
 from changeflow.operators import consume as C
 from changeflow.operators import deadletters as DL
@@ -240,24 +240,41 @@ def l5_select_replay(spark: SparkSession, sf: str) -> DataFrame:
     return DL.select_replay(current_letters(spark, sf)).select("dead_letter_id", "destination")
 
 
-@query("l6_replay", """, plan AS (
-  SELECT *, CASE WHEN destination = 'disabled' THEN 'disabled'
+@query("l6_replay_plan", """
+SELECT dead_letter_id, CASE WHEN destination = 'disabled' THEN 'disabled'
       WHEN destination = 'payments_only' OR destination = 'audit_deletes' THEN 'route_mismatch'
-      WHEN seq % 3 = 0 THEN 'duplicate' END AS skip_reason FROM current_letters WHERE status = 'pending'
-)
-SELECT dead_letter_id, skip_reason, CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN seq % 2 = 0 THEN 'delivered' ELSE 'dead_lettered' END AS outcome,
-  CASE WHEN skip_reason = 'duplicate' OR (skip_reason IS NULL AND seq % 2 = 0) THEN 'resolved' ELSE 'pending' END AS new_status FROM plan""")
-def l6_replay(spark: SparkSession, sf: str) -> DataFrame:
+      WHEN seq % 3 = 0 THEN 'duplicate' END AS skip_reason FROM current_letters WHERE status = 'pending'""")
+def l6_replay_plan(spark: SparkSession, sf: str) -> DataFrame:
     """All pending letters. Their short bodies name no table, so routed destinations refuse them."""
     letters = current_letters(spark, sf).where("status = 'pending'")
     number = F.regexp_extract("payload_json", "sha256:([0-9]+)", 1).cast("bigint")
     ledger = letters.where(number % 3 == 0).select(L.KEY)
-    plan = DL.replay_plan(letters, FD.DESTINATIONS, ledger).withColumn("seq", number)
-    outcome = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("seq") % 2 == 0, "delivered").otherwise("dead_lettered")
-    settled = DL.replay_resolved(F.col("outcome"), F.col("skip_reason").eqNullSafe(F.lit("duplicate")))
-    return plan.withColumn("outcome", outcome).select(
-        "dead_letter_id", "skip_reason", "outcome", F.when(settled, "resolved").otherwise("pending").alias("new_status")
-    )
+    return DL.replay_plan(letters, FD.DESTINATIONS, ledger).select("dead_letter_id", "skip_reason")
+
+
+@query("l6_replay", """, failing AS (
+  SELECT *, n % 10 = 2 AS mended, n > (SELECT max(n) // 2 FROM feed) AS later FROM pairs WHERE enabled AND n % 5 = 2
+)
+SELECT transaction_id, destination, mended AND NOT later AS resolved, CASE WHEN mended AND NOT later THEN 'replay' END AS ledger_writer, later AS in_second_batch,
+  CAST(CASE WHEN mended OR later THEN 1 ELSE 2 END AS BIGINT) AS letters FROM failing""")
+def l6_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """A replay between two batches of a relay, with a number that the relay uses too. Half of what failed is accepted then:
+    its letters are resolved and the ledger has it; the other half has a second letter. The letters of the second batch wait."""
+    relay = _relay(spark, sf)
+    rows = _raw_rows(FD.table(spark, sf, "events"))
+    half = rows.agg(F.max(F.col("transaction_id").cast("bigint"))).first()[0] // 2
+    early = F.col("transaction_id").cast("bigint") <= half
+    relay.process(rows.where(early), 0)
+    relay.transport = answering((200, 200, 200, 200, 200, 200, 200, 500, 200, 200))
+    relay.replay(relay.letters().where("status = 'pending'"), 1)
+    relay.transport = answering((200, 200, 500, 200, 200))
+    relay.process(rows.where(~early), 1)
+    letters = relay.letters().select(
+        L.KEY, "work.transaction_id", "destination", "status").groupBy(L.KEY, "transaction_id", "destination").agg(
+        F.bool_and(F.col("status") == "resolved").alias("resolved"), F.count(F.lit(1)).alias("letters"))
+    ledger = relay.state.read("ledger").select(L.KEY, F.col("writer").alias("ledger_writer"))
+    return letters.join(ledger, L.KEY, "left").select(
+        "transaction_id", "destination", "resolved", "ledger_writer", (F.col("transaction_id").cast("bigint") > half).alias("in_second_batch"), "letters")
 
 
 @query("l7_readiness_report", """
@@ -294,63 +311,93 @@ def l8_slot_gauges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _raw_rows(events: DataFrame) -> DataFrame:
-    """Change rows with a commit row after the last change of each transaction."""
-    changes = FD.feed_columns(events).withColumn("seq", F.col("seq") * 2)
+    """Change rows with a commit row after the last change of each transaction. Numbers leave room for more rows between."""
+    changes = FD.feed_columns(events).withColumn("seq", F.col("seq") * 4)
     commits = FD.feed_columns(events.where("event_id % 4 = 3")).select(
-        "source_name", "slot_name", (F.col("seq") * 2 + 1).alias("seq"), "transport_lsn", "transaction_id",
+        "source_name", "slot_name", (F.col("seq") * 4 + 1).alias("seq"), "transport_lsn", "transaction_id",
         F.lit("commit").alias("operation"),
     )
     return changes.withColumn("sequence_number", F.lit(None).cast("int")).unionByName(commits, allowMissingColumns=True)
 
 
+def _sent_again(rows: DataFrame) -> DataFrame:
+    """Some changes and commits, as a source sends them again after a restart."""
+    return rows.where("seq % 7 = 0 OR seq % 5 = 1")
+
+
+def _empty_commits(rows: DataFrame) -> DataFrame:
+    """A commit of a transaction without changes after every eighth transaction."""
+    after = rows.where("operation = 'commit' AND CAST(transaction_id AS BIGINT) % 8 = 7")
+    return after.withColumns({
+        "transaction_id": F.concat(F.lit("empty-"), "transaction_id"), "seq": F.col("seq") + 1,
+        "transport_lsn": number_to_lsn(lsn_to_number(F.col("transport_lsn")) + 1), "commit_lsn": number_to_lsn(lsn_to_number(F.col("transport_lsn")) + 1),
+    })
+
+
 def _relay(spark: SparkSession, sf: str) -> Relay:
     """A new relay whose receiver refuses every fifth transaction."""
     return Relay(spark, run_folder(spark, "relay"), FD.DESTINATIONS, answering((200, 200, 500, 200, 200)))
 
 
-def _run_in_pieces(spark: SparkSession, sf: str, pieces: int, run) -> None:
+def _run_in_pieces(spark: SparkSession, sf: str, pieces: int, run, more=None) -> None:
     """The feed as a growing folder: each piece is written, then the stream runs again and takes what is new.
-    The pieces cut transactions apart."""
+    The pieces cut transactions apart. `more` gives further rows of a piece, and those that come again with the next one."""
     folder = run_folder(spark, "rows")
     rows = _raw_rows(FD.table(spark, sf, "events"))
     width = rows.agg(F.max("seq")).first()[0] // pieces + 1
     for number in range(pieces):
-        rows.where(F.expr(f"seq div {width}") == number).write.mode("append").parquet(folder)
+        piece = rows.where(F.expr(f"seq div {width}") == number)
+        if more:
+            piece = more(piece, rows.where(F.expr(f"seq div {width}") == number - 1))
+        piece.write.mode("append").parquet(folder)
         run(stream_change_feed(spark, folder, CHANGE_EVENT, names="*.parquet"))
 
 
-@query("k1_assemble_transactions", "SELECT CAST(seq * 2 AS BIGINT) AS seq, transaction_id, CAST(sn AS INTEGER) AS sequence_number FROM feed")
+@query("k1_assemble_transactions", """
+SELECT CAST(seq * 4 AS BIGINT) AS seq, transaction_id, CAST(sn AS INTEGER) AS sequence_number, CAST(4 AS BIGINT) AS changes FROM feed
+UNION ALL SELECT NULL, 'empty-' || n, NULL, 0 FROM feed WHERE sn = 3 AND n % 8 = 7""")
 def k1_assemble_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    """Transactions that are cut apart by the batches come out whole and numbered from zero."""
+    """Transactions that are cut apart by the batches come out whole and numbered from zero, each change once, though changes
+    and commits come twice in a batch and again in the next one; transactions without changes come out too."""
     relay = _relay(spark, sf)
 
-    def step(rows: DataFrame, batch: int) -> None:
+    def step(rows: DataFrame, number: int) -> None:
+        batch = relay.state.begin(number)
         relay.assemble(rows, batch)
+        batch.commit()
+
+    def more(piece: DataFrame, before: DataFrame) -> DataFrame:
+        whole = piece.unionByName(_empty_commits(piece))
+        return whole.unionByName(_sent_again(whole)).unionByName(_sent_again(before))
 
-    _run_in_pieces(spark, sf, 3, lambda stream: run_finite(stream, step, f"{relay.root}/offsets"))
-    return relay.state.read("assembled").select("seq", "transaction_id", "sequence_number")
+    _run_in_pieces(spark, sf, 3, lambda stream: run_finite(stream, step, f"{relay.root}/offsets"), more)
+    events = relay.state.read("assembled").select("seq", "transaction_id", "sequence_number")
+    sizes = events.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("changes"))
+    groups = relay.state.read("groups").select("transaction_id").join(sizes, "transaction_id", "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    return groups.join(events, "transaction_id", "left").select("seq", "transaction_id", "sequence_number", "changes")
 
 
 @query("k2_stream_dedupe", """
 SELECT CASE WHEN n % 5 <> 2 THEN 'first' ELSE 'never' END AS delivered_by, count(*) AS pairs FROM pairs WHERE enabled GROUP BY 1""")
 def k2_stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """The same work again in a second batch adds no ledger rows for what the first one delivered."""
+    """The same work again in a second batch, under new numbers, adds no ledger rows for what the first one delivered."""
     relay = _relay(spark, sf)
     rows = _raw_rows(FD.table(spark, sf, "events"))
     relay.process(rows, 0)
-    relay.process(rows, 1)
+    relay.process(rows.withColumn("seq", F.col("seq") + (rows.agg(F.max("seq")).first()[0] + 1)), 1)
     ledger = relay.state.read("ledger").groupBy(L.KEY).agg(F.count(F.lit(1)).alias("n"), F.min("batch_id").alias("batch"))
     tried = relay.state.read("pairs", before=1).where("skip_reason IS NULL").select(L.KEY)
     verdict = F.when(F.col("n").isNull(), "never").when((F.col("n") == 1) & (F.col("batch") == 0), "first").otherwise("again")
     return tried.join(ledger, L.KEY, "left").groupBy(verdict.alias("delivered_by")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("k3_stream_progress", """
-SELECT slot_name, arg_max(transport, seq) AS last_lsn FROM feed GROUP BY slot_name""")
+@query("k3_stream_progress", """, ends AS (
+  SELECT slot_name, n, '0/' || printf('%X', 16777216 + n * 64 + 48 + CASE WHEN n % 8 = 7 THEN 1 ELSE 0 END) AS lsn FROM feed WHERE sn = 3)
+SELECT slot_name, arg_max(lsn, n) AS last_lsn FROM ends GROUP BY slot_name""")
 def k3_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest checkpoint per slot after the stream has taken everything."""
+    """The latest checkpoint per slot after the stream has taken everything; where an empty transaction comes last, it is passed."""
     relay = _relay(spark, sf)
-    _run_in_pieces(spark, sf, 2, lambda stream: run_relay(stream, relay))
+    _run_in_pieces(spark, sf, 2, lambda stream: run_relay(stream, relay), lambda piece, before: piece.unionByName(_empty_commits(piece)))
     newest = relay.state.read("checkpoints")
     return PG.latest_checkpoints(newest, "batch_id").select("slot_name", "last_lsn")
 

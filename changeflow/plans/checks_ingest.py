@@ -201,14 +201,17 @@ def a8_deliver_batch(spark: SparkSession, sf: str) -> DataFrame:
 SELECT 'ledger' AS name, CAST(CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END AS BIGINT) AS batch_id, count(*) AS n FROM ledger GROUP BY ALL
 UNION ALL SELECT 'dead_letters', CAST(0 AS BIGINT), count(*) FROM letters""")
 def a9_state_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ledger batches, the second written twice, and one batch of dead letters."""
+    """Two batches, each run twice: once it breaks off before its commit, and once it comes again after it. Another writer's
+    batch of the same number stays beside them, and compaction between keeps all rows."""
     state = StateTables(spark, run_folder(spark, "state"))
     ledger = FD.earlier_ledger(FD.transaction_pairs(spark, sf))
     first = F.col("transaction_id").cast("bigint") % 4 == 0
-    state.write("ledger", ledger.where(first), 0)
-    for _again in range(2):
-        state.write("ledger", ledger.where(~first), 1)
-    state.write("dead_letters", FD.dead_letters(spark, sf), 0)
+    state.begin(0).write("ledger", ledger)  # never committed
+    for number, rows in enumerate((first, ~first)):
+        for _again in range(2):
+            state.write("ledger", ledger.where(rows), number)
+        state.compact("ledger")
+    state.write("dead_letters", FD.dead_letters(spark, sf), 0, writer="replay")
     counts = [
         state.read(name).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "batch_id", "n")
         for name in ("ledger", "dead_letters")

@@ -49,10 +49,14 @@ ATTEMPTS = """
 # What a delivery's ledger row says beside its key, kept with the dead letter for a later replay.
 WORK = "struct<source_name:string,slot_name:string,delivery_unit:string,transaction_id:string>"
 
+# What a body's events are about, each once: enough to hold a stored body of any size against a route.
+TOUCHED = "array<struct<namespace:string,entity:string,operation:string>>"
+
 DEAD_LETTERS = f"""
     dead_letter_id string, idempotency_key string, event_id string, source_name string, destination string, operation string,
     namespace string, entity string, source_position string, error_class string, error_message string,
-    retry_count int, status string, failed_at timestamp, updated_at timestamp, work {WORK}, payload_json string
+    retry_count int, status string, failed_at timestamp, updated_at timestamp, work {WORK}, payload_json string,
+    parts bigint, touched {TOUCHED}, policy_fingerprint string, body_digest string
 """
 
 # Bodies of letters whose payload has more than one part; their payload_json is NULL.
