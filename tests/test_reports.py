@@ -122,10 +122,11 @@ def test_identity_is_picked_from_the_row_with_and_without_broadcast(spark, event
 # --- ordered operators ---
 
 
-@pytest.mark.parametrize("width", [1, 3, 7, 1000])
-def test_sliced_operators_equal_plain_loops(spark, width):
+@pytest.mark.parametrize("width, step", [(1, 1), (3, 1), (7, 10**12), (1000, 1)])
+def test_sliced_operators_equal_plain_loops(spark, width, step):
     rng = random.Random(width)
-    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), order, rng.choice([None, *range(20)])) for order in rng.sample(range(200), 90)]
+    keys = ["hot", "hot", "hot", "b", None] if width < 1000 else ["hot"] * 9 + [None]
+    rows = [(rng.choice(keys), order * step, rng.choice([None, *range(20)])) for order in rng.sample(range(200), 90)]
     df = spark.createDataFrame(rows, "k string, o long, v long").repartition(5)
     expected = {}
     seen = {}
@@ -141,6 +142,17 @@ def test_sliced_operators_equal_plain_loops(spark, width):
     assert {r["o"]: (r["n"], r["before"], r["upto"], r["prev"]) for r in result.collect()} == expected
 
 
+@pytest.mark.parametrize("step", [1, 10**12, -(10**9)])
+def test_slices_are_small_however_far_apart_the_orders_lie(spark, step):
+    df = spark.range(20000).select(F.when(F.col("id") % 10 > 0, "hot").alias("k"), (F.col("id") * step).alias("o"))
+    slices = sliced.cut(df, ["k"], "o", 100).groupBy("k", "_slice").agg(F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).collect()
+    assert sum(r["n"] for r in slices) == 20000 and max(r["n"] for r in slices) < 1200 and 100 < len(slices) < 320
+    hot = sorted((r["low"], r["high"], r["_slice"]) for r in slices if r["k"] == "hot")
+    assert all(a[1] < b[0] and a[2] < b[2] for a, b in zip(hot, hot[1:]))
+    counted = sliced.running_count(df, ["k"], "o", "n", 100).groupBy("k").agg(F.max("n").alias("most"), F.countDistinct("n").alias("different")).collect()
+    assert sorted((r["k"] or "", r["most"], r["different"]) for r in counted) == [("", 2000, 2000), ("hot", 18000, 18000)]
+
+
 def test_batches_may_end_short(spark):
     df = spark.range(7).select(F.lit("s").alias("s"), F.col("id").alias("seq"))
     got = [r["batch_number"] for r in C.batch_number(df, ["s"], "seq", 3).orderBy("seq").collect()]
