@@ -11,6 +11,7 @@ from typing import Any
 ACTIONS = ("remove", "mask")
 DEFAULT_MASK = "[REDACTED]"
 DELIVERY_UNITS = ("event", "transaction")
+SIGNING_ALGORITHM = "hmac_sha256"
 
 
 class ConfigError(ValueError):
@@ -73,6 +74,25 @@ def fingerprint(raw: dict) -> str:
     return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Signing:
+    """How requests are signed. The secret itself is read where they are sent, under this name."""
+
+    secret_env: str
+    signature_header: str = "X-Signature"
+    timestamp_header: str = "X-Timestamp"
+
+    @classmethod
+    def parse(cls, raw: dict | None, label: str) -> Signing | None:
+        if not raw:
+            return None
+        if raw.get("algorithm", SIGNING_ALGORITHM) != SIGNING_ALGORITHM:
+            raise ConfigError(f"destination {label}: the signing algorithm must be {SIGNING_ALGORITHM}")
+        if not raw.get("secret_env"):
+            raise ConfigError(f"destination {label}: signing needs secret_env")
+        return cls(raw["secret_env"], raw.get("signature_header", cls.signature_header), raw.get("timestamp_header", cls.timestamp_header))
+
+
 @dataclass(frozen=True)
 class Destination:
     name: str
@@ -82,6 +102,9 @@ class Destination:
     max_attempts: int = 3
     schedule_seconds: tuple[int, ...] = (1, 5, 30)
     headers: dict = field(default_factory=dict, hash=False, compare=False)
+    header_env: dict = field(default_factory=dict, hash=False, compare=False)
+    signing: Signing | None = None
+    timeout_seconds: int = 5
 
 
 def destinations(config: dict) -> list[Destination]:
@@ -93,7 +116,7 @@ def destinations(config: dict) -> list[Destination]:
         if not webhook:
             raise ConfigError("no destinations configured")
         # The shorthand means: every event, the global retry settings, enabled.
-        listed = [{"name": webhook.get("name")}]
+        listed = [{key: webhook[key] for key in ("name", "headers", "header_env", "signing", "timeout_seconds") if key in webhook}]
     result = [_destination(entry, retry) for entry in listed]
     names = [item.name for item in result]
     repeated = sorted({name for name in names if names.count(name) > 1})
@@ -112,6 +135,9 @@ def _destination(entry: dict, retry: dict) -> Destination:
     schedule = tuple(int(wait) for wait in own.get("schedule_seconds", Destination.schedule_seconds))
     if attempts < 1 or not schedule:
         raise ConfigError(f"destination {entry['name']}: needs max_attempts >= 1 and a retry schedule")
+    timeout = int(entry.get("timeout_seconds", Destination.timeout_seconds))
+    if timeout < 1:
+        raise ConfigError(f"destination {entry['name']}: timeout_seconds must be at least 1")
     return Destination(
         name=entry["name"],
         enabled=bool(entry.get("enabled", True)),
@@ -120,6 +146,9 @@ def _destination(entry: dict, retry: dict) -> Destination:
         max_attempts=attempts,
         schedule_seconds=schedule,
         headers=dict(entry.get("headers") or {}),
+        header_env=dict(entry.get("header_env") or {}),
+        signing=Signing.parse(entry.get("signing"), entry["name"]),
+        timeout_seconds=timeout,
     )
 
 

@@ -85,6 +85,15 @@ def status_change(dead_letters: DataFrame, status: str, at: Column) -> DataFrame
     return dead_letters.select("dead_letter_id", F.lit(check_status(status)).alias("status"), at.alias("updated_at"))
 
 
+def set_status(dead_letters: DataFrame, ids: DataFrame, status: str, at: Column) -> DataFrame:
+    """Rows to append to the status log for named letters, all of which must exist."""
+    check_status(status)
+    missing = unknown_ids(dead_letters, ids).take(1)
+    if missing:
+        raise DeadLetterError(f"dead letter not found: {missing[0][0]}")
+    return status_change(by_ids(dead_letters, ids), status, at)
+
+
 def current(dead_letters: DataFrame, log: DataFrame) -> DataFrame:
     """Dead letters with their latest status. Changes fold per letter before the join.
 
@@ -145,14 +154,19 @@ def select_replay(
     return chosen
 
 
-def show_dead_letter(dead_letters: DataFrame, letter: str, parts: DataFrame | None = None) -> DataFrame:
-    """One letter with its payload parsed to a variant; a body in several parts is put together for it."""
-    one = dead_letters.where(F.col("dead_letter_id") == letter)
+def show_dead_letters(dead_letters: DataFrame, ids: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """The named letters with their payload parsed to a variant; a body in several parts is put together."""
+    shown = by_ids(dead_letters, ids)
     if parts is not None:
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]), "")
-        whole = parts.where(F.col("dead_letter_id") == letter).groupBy("dead_letter_id").agg(text.alias("_whole"))
-        one = one.join(whole, "dead_letter_id", "left").withColumn("payload_json", F.coalesce("payload_json", "_whole")).drop("_whole")
-    return one.withColumn("payload", F.parse_json("payload_json"))
+        whole = by_ids(parts, ids).groupBy("dead_letter_id").agg(text.alias("_whole"))
+        shown = shown.join(whole, "dead_letter_id", "left").withColumn("payload_json", F.coalesce("payload_json", "_whole")).drop("_whole")
+    return shown.withColumn("payload", F.parse_json("payload_json"))
+
+
+def show_dead_letter(dead_letters: DataFrame, letter: str, parts: DataFrame | None = None) -> DataFrame:
+    one = dead_letters.sparkSession.range(1).select(F.lit(letter).alias("dead_letter_id"))
+    return show_dead_letters(dead_letters, one, parts)
 
 
 def with_payload(dead_letters: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from changeflow.operators.route import by_destination, enabled
 
 KEY = "idempotency_key"
 KEY_MODES = ("safe", "reference")
+# 2^14 cells: a standard error of 0.8 per cent.
+SKETCH_BITS = 14
 
 
 def idempotency_key(unit: str, mode: str = "safe") -> Column:
@@ -80,6 +82,23 @@ def delivered_by_destination(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("destination").agg(F.count(F.lit(1)).alias("delivered"))
 
 
+def list_ledger(ledger: DataFrame) -> DataFrame:
+    """Rows in the order they were recorded: by the batches' place in the log where they come from one, then by time."""
+    return ledger.orderBy(*[c for c in ("seen", "batch_id", "delivered_at") if c in ledger.columns], KEY)
+
+
+def ledger_sketches(ledger: DataFrame) -> DataFrame:
+    """Per destination the rows, and a sketch of the transactions that any batch's sketch can be united with."""
+    return ledger.groupBy("destination").agg(
+        F.count(F.lit(1)).alias("ledger_rows"), F.hll_sketch_agg("transaction_id", SKETCH_BITS).alias("sketch"))
+
+
+def growth_from_sketches(sketches: DataFrame) -> DataFrame:
+    """Rows, and distinct transactions within about two per cent, from the sketches of any number of batches."""
+    return sketches.groupBy("destination").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("transactions"), F.sum("ledger_rows").alias("ledger_rows"))
+
+
 def ledger_growth(ledger: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct transactions per destination; two-step exact count, or a sketch."""
     if approximate:

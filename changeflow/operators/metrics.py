@@ -36,17 +36,33 @@ def delivery_gauges(dead_letters: DataFrame, ledger: DataFrame, destinations: li
     Both tables fold to one row per destination and status before they meet, and the configured
     destinations are a literal list.
     """
-    folded = (
-        dead_letters.groupBy("destination", "status").agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(
-            ledger.groupBy("destination").agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("delivered"))
-        )
-    )
+    folded = letter_tally(dead_letters).unionByName(ledger_tally(ledger))
+    return gauges_from_tallies(folded, destinations)
+
+
+def letter_tally(dead_letters: DataFrame) -> DataFrame:
+    return dead_letters.groupBy("destination", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ledger_tally(ledger: DataFrame) -> DataFrame:
+    return ledger.groupBy("destination").agg(F.count(F.lit(1)).alias("n")).select("destination", F.lit("delivered").alias("status"), "n")
+
+
+def status_tally(letters: DataFrame, status: str) -> DataFrame:
+    """What moving these letters from their present status to another adds and takes away."""
+    moved = letters.where(F.col("status") != status)
+    there = moved.groupBy("destination").agg(F.count(F.lit(1)).alias("n")).select("destination", F.lit(status).alias("status"), "n")
+    return there.unionByName(letter_tally(moved).withColumn("n", -F.col("n")))
+
+
+def gauges_from_tallies(tallies: DataFrame, destinations: list[Destination]) -> DataFrame:
+    """The delivery gauges from (destination, status, n) rows of any number of batches: their cost does not grow with the ledger."""
+    folded = tallies.groupBy("destination", "status").agg(F.sum("n").alias("n"))
     sums = {"dead_letters_total": F.sum(F.when(F.col("status") != "delivered", F.col("n")))}
     for status in STATUSES:
         sums[f"dead_letters_{status}_total"] = F.sum(F.when(F.col("status") == status, F.col("n")))
     sums["delivered_envelopes_total"] = F.sum(F.when(F.col("status") == "delivered", F.col("n")))
-    spark = dead_letters.sparkSession
+    spark = tallies.sparkSession
     configured = spark.range(1).select(F.explode(F.array(*[F.lit(d.name) for d in destinations])).alias("destination"))
     totals = [total.alias(name) for name, total in sums.items()]
     overall = folded.agg(*totals).withColumn("destination", F.lit(None).cast("string"))
@@ -159,15 +175,19 @@ def readiness_report(state: DataFrame, health: DataFrame) -> DataFrame:
 
 
 def slot_gauges(health: DataFrame) -> DataFrame:
-    """(slot_name, name, wal_status, value): two gauges for a missing slot, up to eleven for a present one."""
-    present = F.coalesce("present", F.lit(False))
+    """(slot_name, name, wal_status, value): two gauges for a missing slot, up to eleven for a present one.
+
+    Where `inspected` is given and false, the inspection itself failed, and that is all there is to report.
+    """
+    inspected = F.coalesce("inspected", F.lit(False)) if "inspected" in health.columns else F.lit(True)
+    present = F.coalesce("present", F.lit(False)) & inspected
 
     def flag(value: Column) -> Column:
         return F.when(present, F.coalesce(value, F.lit(False)).cast("bigint"))
 
     gauges = {
-        "slot_inspection_up": F.lit(1).cast("bigint"),
-        "slot_present": present.cast("bigint"),
+        "slot_inspection_up": inspected.cast("bigint"),
+        "slot_present": F.when(inspected, present.cast("bigint")),
         "slot_ready": flag(F.col("ready")),
         "slot_active": flag(F.col("active")),
         "slot_wal_status": F.when(present, F.lit(1).cast("bigint")),

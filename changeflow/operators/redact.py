@@ -4,6 +4,7 @@ so redaction can never change who receives what and skipped work is never redact
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +107,44 @@ def policy_fingerprint(destinations: list[Destination]) -> Column:
     return by_destination(destinations, lambda d: F.lit(d.policy.fingerprint))
 
 
+def _open(rule: Rule, number: int, rules: tuple[Rule, ...]) -> Column:
+    """Whether a payload that this rule applies to still shows what the rule is there to take away."""
+    listed = F.array(*[F.lit(c) for c in rule.columns])
+    if rule.action == "remove":
+        shown = [F.exists(F.map_keys(field), lambda k: _listed(k, rule.columns)) for field in ("data", "identity")]
+        shown.append(F.exists("changes", lambda c: _listed(c["name"], rule.columns)))
+    else:
+        # A later rule may mask the same column once more.
+        masks = [json.dumps(r.replacement, ensure_ascii=False) for r in rules[number:] if r.action == "mask"]
+
+        def unmasked(field: str) -> Column:
+            return F.exists(listed, lambda k: ~F.try_element_at(field, k).isin(*masks))
+
+        shown = [unmasked("data"), unmasked("identity")]
+        shown.append(F.exists("changes", lambda c: _listed(c["name"], rule.columns) & (
+            F.coalesce(~c["old_value"].isin(*masks), F.lit(False)) | F.coalesce(~c["new_value"].isin(*masks), F.lit(False)))))
+    return reduce(Column.__or__, (F.coalesce(x, F.lit(False)) for x in shown))
+
+
+def policy_audit(payloads: DataFrame, destinations: list[Destination]) -> DataFrame:
+    """Per destination and rule: the payloads that the rule applies to, and those that are open all the same.
+
+    A removed column must be absent, a masked one absent, NULL or its mask, in the row, the identity and the changes.
+    """
+    rules = [(d, n, rule) for d in destinations for n, rule in enumerate(d.policy.rules)]
+    if not rules:
+        return payloads.sparkSession.createDataFrame([], "destination string, rule int, action string, payloads bigint, open_rows bigint")
+    sums = []
+    for place, (d, n, rule) in enumerate(rules):
+        applies = (F.col("destination") == d.name) & route_matches(rule.selector)
+        sums += [F.count_if(applies).alias(f"_n{place}"), F.count_if(applies & _open(rule, n, d.policy.rules)).alias(f"_open{place}")]
+    lines = [F.struct(
+        F.lit(d.name).alias("destination"), F.lit(n).alias("rule"), F.lit(rule.action).alias("action"),
+        F.col(f"_n{place}").alias("payloads"), F.col(f"_open{place}").alias("open_rows"),
+    ) for place, (d, n, rule) in enumerate(rules)]
+    return payloads.agg(*sums).select(F.inline(F.array(*lines)))
+
+
 def redaction_audit(payloads: DataFrame, protected: tuple[str, ...]) -> DataFrame:
     """Rows per destination in which a protected column still has an open value."""
     opened = F.lit(False)

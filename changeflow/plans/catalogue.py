@@ -14,6 +14,6 @@ __all__ = ["ANSWERS", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Project, route, redact and audit the whole feed per destination."""
+    """Project, route, redact and audit the whole feed per destination and rule."""
     routed = R.route_events(FD.projected(spark, sf), FD.DESTINATIONS)
-    return RD.redaction_audit(RD.redact_for_destinations(routed, FD.DESTINATIONS), FD.PROTECTED)
+    return RD.policy_audit(RD.redact_for_destinations(routed, FD.DESTINATIONS), FD.DESTINATIONS)

@@ -24,6 +24,7 @@ from changeflow.plans.relay import Relay
 from changeflow.schemas import CHANGE_EVENT
 from changeflow.session import run_folder
 from changeflow.sources.feeds import stream_change_feed
+from changeflow.sources.state import StateTables
 from changeflow.streaming.stream import run_finite, run_relay
 
 # --- E: joins ---------------------------------------------------------------------------------
@@ -260,6 +261,17 @@ SELECT transaction_id, destination, mended AND NOT later AS resolved, CASE WHEN
 def l6_replay(spark: SparkSession, sf: str) -> DataFrame:
     """A replay between two batches of a relay, with a number that the relay uses too. Half of what failed is accepted then:
     its letters are resolved and the ledger has it; the other half has a second letter. The letters of the second batch wait."""
+    relay, half = _replayed(spark, sf)
+    letters = relay.letters().select(
+        L.KEY, "work.transaction_id", "destination", "status").groupBy(L.KEY, "transaction_id", "destination").agg(
+        F.bool_and(F.col("status") == "resolved").alias("resolved"), F.count(F.lit(1)).alias("letters"))
+    ledger = relay.state.read("ledger").select(L.KEY, F.col("writer").alias("ledger_writer"))
+    return letters.join(ledger, L.KEY, "left").select(
+        "transaction_id", "destination", "resolved", "ledger_writer", (F.col("transaction_id").cast("bigint") > half).alias("in_second_batch"), "letters")
+
+
+def _replayed(spark: SparkSession, sf: str) -> tuple[Relay, int]:
+    """A relay after two batches with a replay between them, and the last transaction of the first batch."""
     relay = _relay(spark, sf)
     rows = _raw_rows(FD.table(spark, sf, "events"))
     half = rows.agg(F.max(F.col("transaction_id").cast("bigint"))).first()[0] // 2
@@ -269,21 +281,46 @@ def l6_replay(spark: SparkSession, sf: str) -> DataFrame:
     relay.replay(relay.letters().where("status = 'pending'"), 1)
     relay.transport = answering((200, 200, 500, 200, 200))
     relay.process(rows.where(~early), 1)
-    letters = relay.letters().select(
-        L.KEY, "work.transaction_id", "destination", "status").groupBy(L.KEY, "transaction_id", "destination").agg(
-        F.bool_and(F.col("status") == "resolved").alias("resolved"), F.count(F.lit(1)).alias("letters"))
-    ledger = relay.state.read("ledger").select(L.KEY, F.col("writer").alias("ledger_writer"))
-    return letters.join(ledger, L.KEY, "left").select(
-        "transaction_id", "destination", "resolved", "ledger_writer", (F.col("transaction_id").cast("bigint") > half).alias("in_second_batch"), "letters")
+    return relay, half
+
+
+@query("f4_gauges_from_tallies", """, letters_of AS (
+  SELECT destination, n, n % 10 = 2 AND n <= (SELECT max(n) // 2 FROM feed) AS mended, n % 10 = 7 AND n <= (SELECT max(n) // 2 FROM feed) AS again
+  FROM pairs WHERE enabled AND n % 5 = 2
+), sums AS (
+  SELECT t.destination,
+    (SELECT count(*) + count(*) FILTER (again) FROM letters_of l WHERE l.destination = t.destination) AS dead_letters_total,
+    (SELECT count(*) FILTER (NOT mended) + count(*) FILTER (again) FROM letters_of l WHERE l.destination = t.destination) AS dead_letters_pending_total,
+    (SELECT count(*) FILTER (mended) FROM letters_of l WHERE l.destination = t.destination) AS dead_letters_resolved_total,
+    CAST(0 AS BIGINT) AS dead_letters_ignored_total,
+    (SELECT count(*) FROM pairs p WHERE p.destination = t.destination AND enabled AND n % 5 <> 2)
+      + (SELECT count(*) FILTER (mended) FROM letters_of l WHERE l.destination = t.destination) AS delivered_envelopes_total
+  FROM targets t
+), lines AS (UNPIVOT sums ON dead_letters_total, dead_letters_pending_total, dead_letters_resolved_total, dead_letters_ignored_total, delivered_envelopes_total
+  INTO NAME name VALUE value)
+SELECT name, destination, CAST(value AS BIGINT) AS value, true AS as_counted FROM lines
+UNION ALL SELECT name, NULL, CAST(sum(value) AS BIGINT), true FROM lines GROUP BY name""")
+def f4_gauges_from_tallies(spark: SparkSession, sf: str) -> DataFrame:
+    """The gauges from what each batch has tallied, held against the gauges counted from ledger and letters."""
+    relay, _ = _replayed(spark, sf)
+    tallied = M.gauges_from_tallies(relay.state.read("tallies").select("destination", "status", "n"), FD.DESTINATIONS)
+    counted = M.delivery_gauges(relay.letters(), relay.state.read("ledger"), FD.DESTINATIONS).withColumnsRenamed({"name": "_name", "destination": "_for", "value": "_counted"})
+    same = (F.col("name") == F.col("_name")) & F.col("destination").eqNullSafe(F.col("_for"))
+    return tallied.join(counted, same, "left").select("name", "destination", "value", (F.col("value") == F.col("_counted")).alias("as_counted"))
 
 
 @query("l7_readiness_report", """
 SELECT sample, CASE WHEN sample % 6 = 5 OR reason IS NOT NULL THEN 'unready' ELSE 'ready' END AS status,
   CASE WHEN sample % 6 = 5 THEN 'operational state is unavailable' ELSE reason END AS reason FROM health""")
 def l7_readiness_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Each sample as its own service; the state tables of a sixth of them cannot be read."""
+    """Each sample as its own service. A sixth of them has state tables whose log names a file that is gone, which the probe finds."""
+    whole, broken = StateTables(spark, run_folder(spark, "state")), StateTables(spark, run_folder(spark, "state"))
+    for state in (whole, broken):
+        state.write("checkpoints", _checkpoints(spark, sf).withColumn("updated_at", F.current_timestamp()), 0)
+    broken.append(lambda _: {"writer": "main", "batch_id": 1, "adds": {"checkpoints": [{"file": "checkpoints/gone.parquet", "batch_ids": [1, 1], "writers": ["main"]}]}})
     samples = FD.slot_samples(spark, sf).withColumn("service_name", F.col("sample").cast("string"))
-    state = samples.where("sample % 6 <> 5").select("service_name", F.lit(True).alias("state_ok"))
+    ok = F.when(F.col("sample") % 6 == 5, broken.ready()).otherwise(whole.ready())
+    state = samples.select("service_name", ok.alias("state_ok"))
     return M.readiness_report(state, PR.slot_health(samples)).select("sample", "status", "reason")
 
 
@@ -307,6 +344,16 @@ def l8_slot_gauges(spark: SparkSession, sf: str) -> DataFrame:
     return M.slot_gauges(health).select(F.col("slot_name").cast("bigint").alias("sample"), "name", "wal_status", "value")
 
 
+@query("l8_failed_inspections", """
+SELECT sample, 'slot_inspection_up' AS name, CAST(CASE WHEN sample % 9 = 4 THEN 0 ELSE 1 END AS BIGINT) AS value FROM health
+UNION ALL SELECT sample, 'slot_present', CAST(present AS BIGINT) FROM health WHERE sample % 9 <> 4""")
+def l8_failed_inspections(spark: SparkSession, sf: str) -> DataFrame:
+    """A slot that could not be inspected reports just that, also where old facts about it are at hand."""
+    health = PR.slot_health(FD.slot_samples(spark, sf)).withColumns({"slot_name": F.col("sample").cast("string"), "inspected": F.col("sample") % 9 != 4})
+    gauges = M.slot_gauges(health).where("name IN ('slot_inspection_up', 'slot_present') OR CAST(slot_name AS BIGINT) % 9 = 4")
+    return gauges.select(F.col("slot_name").cast("bigint").alias("sample"), "name", "value")
+
+
 # --- K: streaming -----------------------------------------------------------------------------
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeflow import config
 from changeflow.functions import lsn as N
 from changeflow.functions import payload as PF
 from changeflow.functions import signing
@@ -176,7 +179,7 @@ def a7_write_payload_json(spark: SparkSession, sf: str) -> DataFrame:
 def answering(codes: tuple[int, ...]) -> Transport:
     """In-process receiver that reads the whole body and answers by transaction number."""
 
-    def receive(destination: str, key: str, chunks) -> int:
+    def receive(destination: str, key: str, chunks, headers: dict | None = None, timeout: int | None = None) -> int:
         if sum(len(chunk) for chunk in chunks) == 0:
             raise ConnectionError("empty body")
         return codes[int(key.split(":")[4]) % len(codes)]
@@ -197,6 +200,42 @@ def a8_deliver_batch(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).drop("error_message")
 
 
+def _checking(codes: tuple[int, ...], secret: str) -> Transport:
+    """Receiver that answers 401 unless the headers are those of its destination and the signature fits the body it gets."""
+    answer = answering(codes)
+
+    def receive(destination: str, key: str, chunks, headers: dict, timeout: int) -> int:
+        body = b"".join(chunks)
+        wanted = "sha256=" + hmac.new(secret.encode(), headers.get("X-Sent-At", "").encode() + b"." + body, "sha256").hexdigest()
+        if (headers.get("X-Body-Signature"), headers.get("X-For"), headers.get("Authorization"), timeout) != (wanted, destination, f"Bearer {secret}", len(destination)):
+            return 401
+        return answer(destination, key, iter([body]))
+
+    return receive
+
+
+@query("a8_signed_delivery", """
+SELECT idempotency_key, destination,
+  CAST(list_extract([200, 204, 500, 503, 429], CAST(n % 5 + 1 AS INTEGER)) AS INTEGER) AS status_code FROM pairs""")
+def a8_signed_delivery(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies in three parts, each request with its destination's headers, timeout and a signature over the whole body.
+    The receiver works the signature out anew from what arrives and refuses any other."""
+    targets = config.destinations({"destinations": [{
+        "name": d.name, "timeout_seconds": len(d.name), "headers": {"X-For": d.name}, "header_env": {"Authorization": "TOKEN"},
+        "signing": {"secret_env": "SECRET", "signature_header": "X-Body-Signature", "timestamp_header": "X-Sent-At"},
+    } for d in FD.DESTINATIONS]})
+    events = FD.projected(spark, sf)
+    bodies = P.transaction_bodies(P.project_transactions(events, FD.headers(spark, sf)), P.event_parts(events))
+    routed = bodies.join(FD.transaction_pairs(spark, sf).select(*TXN_KEYS, "destination", L.KEY), TXN_KEYS)
+    third = F.ceil(F.length("body") / 3).cast("int")
+    pieces = F.array(*[F.struct(F.lit(n).cast("bigint").alias("part"), F.substring(F.col("body"), F.lit(1) + third * n, third).alias("body")) for n in range(3)])
+    cut = routed.select(L.KEY, "destination", F.inline(pieces))
+    path = run_folder(spark, "sent")
+    secrets = {"SECRET": "a secret", "TOKEN": "Bearer a secret"}.__getitem__
+    deliver_batch(cut, _checking((200, 204, 500, 503, 429), "a secret"), spark.sparkContext.defaultParallelism, 1, targets, secrets).write.parquet(path)
+    return spark.read.parquet(path).select(L.KEY, "destination", "status_code")
+
+
 @query("a9_state_tables", """
 SELECT 'ledger' AS name, CAST(CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END AS BIGINT) AS batch_id, count(*) AS n FROM ledger GROUP BY ALL
 UNION ALL SELECT 'dead_letters', CAST(0 AS BIGINT), count(*) FROM letters""")

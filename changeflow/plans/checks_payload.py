@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeflow import config
 from changeflow.functions import payload as PF
+from changeflow.functions import text as T
 from changeflow.operators import deadletters as DL
 from changeflow.operators import ledger as L
 from changeflow.operators import preflight as PR
@@ -444,3 +445,16 @@ def d9_redaction_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Masked text still counts as a value: the audit finds columns that are present and not null."""
     routed = R.route_events(FD.projected(spark, sf), FD.DESTINATIONS)
     return RD.redaction_audit(RD.redact_for_destinations(routed, FD.DESTINATIONS), FD.PROTECTED)
+
+
+@query("d9_policy_audit", """, audited AS (SELECT destination, entity, namespace, seq % 50 = 0 AS planted FROM matched)
+SELECT 'payments_only' AS destination, CAST(0 AS INTEGER) AS rule, 'mask' AS action, count(*) AS payloads, count(*) FILTER (planted) AS open_rows
+FROM audited WHERE destination = 'payments_only'
+UNION ALL SELECT 'audit_deletes', 0, 'remove', count(*), count(*) FILTER (planted) FROM audited WHERE destination = 'audit_deletes' AND entity = 'orders'
+UNION ALL SELECT 'audit_deletes', 1, 'mask', count(*), 0 FROM audited WHERE destination = 'audit_deletes' AND namespace = 'audit'""")
+def d9_policy_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks are no leak. An address that is put back into some payloads is one, under every rule that was to take it away."""
+    routed = R.route_events(FD.projected(spark, sf), FD.DESTINATIONS)
+    redacted = RD.redact_for_destinations(routed, FD.DESTINATIONS)
+    planted = T.put(F.col("data"), "customer_email", F.lit('"open@example.com"'))
+    return RD.policy_audit(redacted.withColumn("data", F.when(F.col("seq") % 50 == 0, planted).otherwise(F.col("data"))), FD.DESTINATIONS)

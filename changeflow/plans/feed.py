@@ -14,7 +14,7 @@ from changeflow.functions.lsn import number_to_lsn
 from changeflow.operators import ledger as L
 from changeflow.operators import project as P
 from changeflow.operators import route as R
-from changeflow.operators.deadletters import build_dead_letters
+from changeflow.operators.deadletters import build_dead_letters, status_change
 from changeflow.schemas import CHANGES
 from changeflow.sources.catalog import read_slot_status
 
@@ -215,13 +215,11 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
 def dead_letter_log(letters: DataFrame) -> DataFrame:
     """Status changes: every third letter was resolved, every sixth of them ignored a minute later."""
     minute = F.unix_timestamp("failed_at") / 60
-    changes = F.when(minute % 6 == 0, F.array(
-        F.struct(F.lit("resolved").alias("status"), F.lit(60).alias("wait")),
-        F.struct(F.lit("ignored").alias("status"), F.lit(120).alias("wait")),
-    )).when(minute % 3 == 0, F.array(F.struct(F.lit("resolved").alias("status"), F.lit(60).alias("wait"))))
-    return letters.select("dead_letter_id", "failed_at", F.explode(changes).alias("c")).select(
-        "dead_letter_id", "c.status", F.timestamp_seconds(F.unix_timestamp("failed_at") + F.col("c.wait")).alias("updated_at"),
-    )
+
+    def after(seconds: int) -> Column:
+        return F.timestamp_seconds(F.unix_timestamp("failed_at") + seconds)
+
+    return status_change(letters.where(minute % 3 == 0), "resolved", after(60)).unionByName(status_change(letters.where(minute % 6 == 0), "ignored", after(120)))
 
 
 def slot_samples(spark: SparkSession, sf: str) -> DataFrame:

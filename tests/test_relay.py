@@ -38,7 +38,7 @@ class Receiver:
         self.folder, self.refuse = folder, refuse
         os.makedirs(folder, exist_ok=True)
 
-    def __call__(self, destination, key, chunks):
+    def __call__(self, destination, key, chunks, headers, timeout):
         body = b"".join(chunks).decode()
         number = json.loads(body)["transaction_id"]
         with open(os.path.join(self.folder, f"{os.urandom(8).hex()}"), "w") as out:

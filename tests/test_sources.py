@@ -1,13 +1,16 @@
 """Payload files, catalog snapshots, state tables and sending."""
 
+import hmac
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from changeflow import config
 from changeflow.operators import project as P
 from changeflow.session import run_folder
 from changeflow.sources import payload_files as PL
+from changeflow.sources import sinks
 from changeflow.sources.catalog import read_publication_tables, read_slot_status
 from changeflow.sources.sinks import deliver_batch
 from changeflow.sources.state import StateTables
@@ -156,3 +159,65 @@ def test_other_exceptions_stop_the_job(spark):
 
     with pytest.raises(Exception, match="a bug in the transport"):
         deliver_batch(prepared(spark), transport, 2).collect()
+
+
+def test_signed_requests_carry_headers_and_the_signature_of_the_whole_body(spark):
+    targets = config.destinations({"destinations": [
+        {"name": "d", "timeout_seconds": 7, "headers": {"X-Static": "s"}, "header_env": {"Authorization": "TOKEN"}, "signing": {"secret_env": "KEY"}}, {"name": "plain"}]})
+
+    def transport(destination, key, chunks, headers, timeout):
+        body = b"".join(chunks)
+        wanted = {"Content-Type": "application/json"}
+        if destination == "d":
+            digest = hmac.new(b"secret of KEY", headers["X-Timestamp"].encode() + b"." + body, "sha256").hexdigest()
+            wanted |= {"X-Static": "s", "Authorization": "secret of TOKEN", "X-Timestamp": headers["X-Timestamp"], "X-Signature": f"sha256={digest}"}
+        n = key[1:]
+        return 200 if headers == wanted and timeout == (7 if destination == "d" else 5) and body.decode() == f"{n}-0;{n}-1;{n}-2;" else 500
+
+    rows = prepared(spark).unionByName(prepared(spark).withColumn("destination", F.lit("plain")))
+    got = deliver_batch(rows, transport, 4, 1, targets, "secret of {}".format).collect()
+    assert len(got) == 100 and {r["status_code"] for r in got} == {200}
+
+
+def test_a_secret_that_is_missing_stops_the_job(spark):
+    targets = config.destinations({"destinations": [{"name": "d", "header_env": {"A": "NOT_SET_ANYWHERE"}}]})
+    with pytest.raises(Exception, match="missing environment variable NOT_SET_ANYWHERE"):
+        deliver_batch(prepared(spark), lambda *_: 200, 2, 1, targets).collect()
+    for broken in ({"algorithm": "md5", "secret_env": "S"}, {"signature_header": "X"}):
+        with pytest.raises(config.ConfigError):
+            config.destinations({"destinations": [{"name": "d", "signing": broken}]})
+    with pytest.raises(config.ConfigError, match="timeout"):
+        config.destinations({"destinations": [{"name": "d", "timeout_seconds": 0}]})
+
+
+def test_long_signed_bodies_wait_outside_memory():
+    chunks = [bytes([65 + n]) * (5 << 20) for n in range(4)]
+    signature, again = sinks.signed("k", "t", iter(chunks))
+    whole = b"".join(again)
+    assert whole == b"".join(chunks) and signature == "sha256=" + hmac.new(b"k", b"t." + whole, "sha256").hexdigest()
+
+
+def test_webhooks_post_in_chunks(monkeypatch):
+    sent = []
+
+    class Connection:
+        def __init__(self, host, port, timeout):
+            sent.append((host, port, timeout))
+
+        def request(self, method, target, body, headers, encode_chunked):
+            sent.append((method, target, list(body), headers, encode_chunked))
+
+        def getresponse(self):
+            if len(sent) > 3:
+                raise sinks.http.client.BadStatusLine("?")
+            return type("Answer", (), {"status": 204})
+
+        def close(self):
+            sent.append("closed")
+
+    monkeypatch.setattr(sinks.http.client, "HTTPSConnection", Connection)
+    hook = sinks.Webhooks({"d": "https://example.com:8443/in?x=1"})
+    assert hook("d", "k", iter([b"a", b"b"]), {"H": "1"}, 3) == 204
+    assert sent == [("example.com", 8443, 3), ("POST", "/in?x=1", [b"a", b"b"], {"H": "1", "Transfer-Encoding": "chunked"}, True), "closed"]
+    with pytest.raises(ConnectionError):
+        hook("d", "k", iter([]), {}, 3)
