@@ -260,3 +260,12 @@ def test_composite_identity_is_the_same_for_insert_update_delete(spark, events):
     df = events(*[{"operation": op, "identity": key} for op in ("insert", "update", "delete")], {"transaction_id": "2", "identity": key}, {"transaction_id": "2", "identity": {"tenant": "9"}})
     got = {r["transaction_id"]: (r["same_identity"], r["fewest_columns"], r["events"]) for r in C.check_identity(df, ["transaction_id"]).collect()}
     assert got == {"1": (True, 2, 3), "2": (False, 1, 2)}
+
+
+@pytest.mark.parametrize("heavy", [1, 7, 100000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_a_plain_one(spark, heavy, how):
+    many = spark.range(3000).select(F.when(F.col("id") % 10 > 1, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").alias("n"))
+    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k40", 3), ("gone", 4)], "k string, v int")
+    got, want = few.salted_join(many, small, ["k"], "n", how, heavy), many.join(small, ["k"], how)
+    assert sorted(got.select("k", "n", "v").collect()) == sorted(want.select("k", "n", "v").collect())
