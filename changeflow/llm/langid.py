@@ -1,9 +1,9 @@
 """Language of each document as a mixture: proportions by expectation-maximisation, the set of languages by penalty.
 
 Letters of a text are cut into overlapping runs of four bytes. From labelled documents each language learns how often it
-uses each run, in a table of fixed size. A text's runs are then explained as drawn from a mixture of languages;
-expectation-maximisation finds the proportions, and of the best one, two and three languages that set is chosen whose
-likelihood, less a penalty for each further language, is largest. The language with the largest part is the prediction.
+uses each run, in a table of fixed size; a single letter between spaces is a run too. A text's runs are then explained as drawn from a mixture of languages;
+expectation-maximisation finds the proportions, and of the sets of the best one, two, three and more languages that one is
+chosen whose likelihood, less a penalty for each further language, is largest. The language with the largest part is the prediction.
 As a filter, the mixture has one part more, a background that uses all runs alike: it takes what no learned language explains.
 
 Results in odd cases: NULL and texts without a letter are `und` with score 0, as is every text where nothing was learned.
@@ -31,7 +31,8 @@ SMOOTHING = 0.5
 STEPS = 25
 #: The background is told from a language learned from little text only in more steps.
 BACKGROUND_STEPS = 400
-LARGEST_SET = 3
+#: Sets of languages are enlarged until so many enlargements in a row have not paid.
+PATIENCE = 2
 _LETTER = regex.compile(r"\p{L}").search
 #: A-Z are lower-cased before; what is no letter among the first 128 characters separates words.
 _LETTERS = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
@@ -41,8 +42,10 @@ def runs(text: str) -> np.ndarray:
     """How often the text has each run of bytes, by bucket."""
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for piece in pieces(text.lower().encode().translate(_LETTERS)):
-        data = np.frombuffer(b" " + b" ".join(piece.split()) + b" ", np.uint8).astype(np.uint32)
-        if len(data) >= RUN:
+        found = piece.split()
+        # A single letter has a run too.
+        data = np.frombuffer((b" " + b" ".join(found) + b" ").ljust(RUN), np.uint8).astype(np.uint32)
+        if found:
             joined = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
             bucket = (joined * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
             counts += np.bincount(bucket, minlength=1 << BUCKET_BITS)
@@ -62,19 +65,23 @@ def _fitted(likelihood: np.ndarray, counts: np.ndarray, steps: int = STEPS, near
 
 
 def proportions(counts: np.ndarray, model: np.ndarray) -> list[tuple[int, float]]:
-    """The chosen languages with their proportions, largest first. model: buckets by languages."""
+    """The chosen languages with their proportions, largest first: as many as pay for the penalty. model: buckets by languages."""
     used = np.flatnonzero(counts)
-    likelihood, weight = model[used], counts[used].astype(np.float64)
+    likelihood, weight = model[used].astype(np.float64), counts[used].astype(np.float64)
     share, _ = _fitted(likelihood, weight)
-    order, best = np.argsort(-share, kind="stable"), None
+    order, best, idle = np.argsort(-share, kind="stable"), None, 0
     single = weight @ np.log(likelihood)
-    for k in range(1, min(LARGEST_SET, model.shape[1]) + 1):
+    for k in range(1, model.shape[1] + 1):
         chosen = order[:k] if k > 1 else np.array([int(np.argmax(single))])
         part, fit = _fitted(likelihood[:, chosen], weight)
         # Each letter is in RUN runs, so the likelihood counts everything that often.
         value = fit / RUN - k * np.log(weight.sum() + 1)
         if best is None or value > best[0]:
-            best = value, sorted(zip(chosen.tolist(), part.tolist(), strict=True), key=lambda x: -x[1])
+            best, idle = (value, sorted(zip(chosen.tolist(), part.tolist(), strict=True), key=lambda x: -x[1])), 0
+        else:
+            idle += 1
+            if idle == PATIENCE:
+                break
     return best[1]
 
 
@@ -105,33 +112,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Languages and, for every bucket, how likely each language is to use it.
 
-    `novel` is the part of a language's own runs that its labelled text has not shown yet (Good-Turing: runs seen once over all runs);
-    `seen` are the relative counts without smoothing, as which the filter takes the rest.
+    `novel` is the part of a language's own runs that its labelled text has not shown yet (Good-Turing: runs seen once over all runs).
+    A language takes a quarter of a megabyte, and all of them are learned.
     """
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        total = counts.sum(axis=0)
-        self.languages, self.novel, self.seen = languages, ((counts == 1).sum(axis=0) + 1) / (total + 1), counts / np.maximum(total, 1)
-        self.novel = np.minimum(1.0, self.novel)
-        self.likelihood = (counts + SMOOTHING) / np.maximum((counts + SMOOTHING).sum(axis=0), 1)
+    def __init__(self, languages: list[str]):
+        self.languages, self.total, self.novel = languages, np.zeros(len(languages)), np.ones(len(languages))
+        self.likelihood = np.zeros((1 << BUCKET_BITS, len(languages)), np.float32)
 
+    def learn(self, place: int, buckets: np.ndarray, counts: np.ndarray) -> None:
+        """The counts of one language, each bucket once."""
+        self.total[place] = counts.sum()
+        self.novel[place] = min(1.0, ((counts == 1).sum() + 1) / (self.total[place] + 1))
+        column = np.full(1 << BUCKET_BITS, SMOOTHING)
+        column[buckets] += counts
+        self.likelihood[:, place] = column / column.sum()
 
-def learned(documents: DataFrame, most: int = 256) -> Model:
-    """Learns from all documents that are not held out and have a label, and so from no prediction's own label.
+    def seen(self, buckets: np.ndarray) -> np.ndarray:
+        """Relative counts without smoothing, as which the filter takes what is not novel."""
+        smoothed = self.total + SMOOTHING * (1 << BUCKET_BITS)
+        return np.maximum(0, self.likelihood[buckets] * smoothed - SMOOTHING) / np.maximum(self.total, 1)
 
-    `most` bounds the model, at a megabyte a language: the languages with most text are learned.
-    """
+
+def learned(documents: DataFrame) -> Model:
+    """Learns from all documents that are not held out and have a label, and so from no prediction's own label."""
     rows = documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # One row per language: the buckets and their counts, 65 536 at most.
-    tables = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"), F.sum("n").alias("total"))
-    found = tables.orderBy(F.desc("total"), "lang").limit(most).collect()
-    found = sorted(found, key=lambda row: row["lang"])
-    used = np.zeros((1 << BUCKET_BITS, len(found)))
-    for column, row in enumerate(found):
-        cells = np.array([(c["bucket"], c["n"]) for c in row["cells"]], np.int64).reshape(-1, 2)
-        used[cells[:, 0], column] += cells[:, 1]
-    return Model([row["lang"] for row in found], used)
+    # At most 65 536 counts a language come to the driver, as columns.
+    tables = dict(list(counts.toPandas().groupby("lang")))
+    model = Model(sorted(tables))
+    for place, language in enumerate(model.languages):
+        model.learn(place, tables[language]["bucket"].to_numpy(), tables[language]["n"].to_numpy())
+    return model
 
 
 def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], list[float], list[str]]:
@@ -171,7 +183,7 @@ def learned_share(counts: np.ndarray, model: Model) -> float:
     A language's smoothed table is partly background itself, so here it is what was seen, and as much background as is still new in it.
     """
     used, even = np.flatnonzero(counts), 1 / (1 << BUCKET_BITS)
-    parts = model.seen[used] * (1 - model.novel) + model.novel * even
+    parts = model.seen(used) * (1 - model.novel) + model.novel * even
     share, _ = _fitted(np.hstack([parts, np.full((len(used), 1), even)]), counts[used].astype(np.float64), BACKGROUND_STEPS, 1e-4)
     return 1.0 - float(share[-1])
 

@@ -128,6 +128,25 @@ def test_languages(spark, docs, nothing):
     assert len(langid.languages(both, model).first()["lang_mix"].split()) == 2
 
 
+def test_many_languages_and_short_texts(spark):
+    """No label is left out, a text may be in any number of languages, and one letter is enough for a language."""
+    import random
+
+    chance = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{n:03}": ["".join(chance.choices(letters, k=7)) for _ in range(12)] for n in range(300)}
+    rows = [(4 * i, " ".join(found * 60), lang) for i, (lang, found) in enumerate(words.items())]
+    model = langid.learned(spark.createDataFrame([(i, t, x) for n, t, x in rows for i in (n, n + 1)], "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    asked = [(i, " ".join(found)) for i, found in enumerate(words.values())]
+    asked += [(1000, " ".join(w for x in ("l007", "l050", "l111", "l222", "l299") for w in words[x] * 4))] + [(1001 + i, x) for i, x in enumerate(["a 1", "a", "x!", "Z 9"])] + [(2000, "1 !")]
+    got = {row["doc_id"]: row for row in langid.languages(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(300)] == list(words)
+    mix = dict(x.split("=") for x in got[1000]["lang_mix"].split())
+    assert set(mix) == {"l007", "l050", "l111", "l222", "l299"} and all(abs(float(x) - 0.2) < 0.03 for x in mix.values()), mix
+    assert all(got[i]["lang_pred"] in words for i in range(1001, 1005)) and got[2000]["lang_pred"] == "und"
+
+
 def test_contamination_matches_brute_force(spark, docs, nothing):
     items = [(1, text(2, 14)), (2, "Two,words"), (3, None), (4, ""), (None, text(3, 12)), (5, text(2, 14)), (6, "never seen " * 8)]
     bench = spark.createDataFrame([(*x, "extra") for x in items], "item_id long, text string, doc_id string")
