@@ -5,8 +5,8 @@ A document is the set of its distinct five-word shingles. Each shingle has a 64-
 in a row are a band. Documents that agree in a band are candidates, an estimate from all registers (less the agreements
 that chance gives) drops the hopeless ones, and the rest are compared on their full sets.
 
-Equal sets are one class before anything is compared. In a band every member is compared with one pivot, the member that
-shares bands with most others, then with the most central member outside the pivot's component where the band still holds
+Equal sets are one class before anything is compared. The pivot of a band is the member that shares bands with most others.
+Every member is compared with the most central of its pivots, then with the pivots that this has left in other components, then with the most central member outside the pivot's component where the band still holds
 several. Members that no pivot joined are strays. A shingle that only one stray has cannot be common to two of them, so a
 stray with more than a quarter of such shingles links to no other and goes; larger sets are judged by those shingles whose
 hash ends in two zero bits, with the same margin as an estimate. The rest meet in cells of some hundred members,
@@ -31,8 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.llm.shared import few, memo, pieces, row_key, stored
+from changeflow.operators.few import salted_join
 
 WORDS = 5
+#: Pairs of one pivot from which on they are dealt under a salt.
+HEAVY = 1 << 14
 PERCENT = 75
 REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
@@ -318,7 +321,7 @@ class _Pairs:
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
         side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("registers").alias(f"registers_{x}"), F.col("n_shingles").alias(f"n_{x}"))
         if not hopeful:
-            both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
+            both = salted_join(pairs.join(side("b"), "b"), side("a"), ["a"], by="b", heavy=HEAVY).select("a", "b", "registers_a", "registers_b", "n_a", "n_b")
             pairs = stored(both.mapInArrow(_hopeful, "a long, b long"), "hopeful")
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
         members = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -401,10 +404,15 @@ def _grouped(documents: DataFrame) -> DataFrame:
     company = shared.groupBy("cid").agg(F.sum("size").alias("company"))
     central = F.struct("company", (-F.col("cid")).alias("minus")).alias("central")
     shared = stored(shared.join(company, "cid").select("cid", "place", "band", "size", central), "central")
-    pivots = shared.groupBy("band").agg((-F.max("central")["minus"]).alias("pivot"))
-    shared = stored(shared.join(pivots, "band"), "pivots")
+    pivots = stored(shared.groupBy("band").agg(F.max("central").alias("top")).withColumn("pivot", -F.col("top")["minus"]), "pivots")
+    shared = stored(shared.join(pivots, "band"), "members")
     compare = _Pairs(documents, signed, classes)
-    stars = components(compare.links(shared.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))))
+    # First every member with the most central of its bands' pivots, then with those that are in another component still.
+    best = shared.where("cid <> pivot").groupBy("cid").agg(F.max("top").alias("top"))
+    stars = components(compare.links(best.select((-F.col("top")["minus"]).alias("a"), F.col("cid").alias("b"))))
+    apart = _labelled(pivots.select("band", F.col("pivot").alias("cid")), stars).select("band", F.col("root").alias("pivot_root"))
+    left = _labelled(shared.where("cid <> pivot").select("band", "cid", "pivot"), stars).join(apart, "band").where("root <> pivot_root")
+    stars = _joined(stars, compare.links(left.select(F.col("pivot").alias("a"), F.col("cid").alias("b"))))
     # A second pivot where a band still holds several components, then all that no pivot has joined.
     members = _open(shared, stars)
     more = compare.links(members.where("cid <> second and cid <> pivot").select(F.col("second").alias("a"), F.col("cid").alias("b")))
