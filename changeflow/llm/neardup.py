@@ -2,7 +2,7 @@
 
 A document is the set of its distinct five-word shingles. Each shingle has a 64-bit hash; its first bits choose one of
 128 registers, and a register keeps its smallest hash as a count of leading zeros and ten mantissa bits. Four registers
-in a row are a band. Documents that agree in a band are candidates, an estimate from all registers (less the agreements
+in a row are a band, in which an empty register repeats a used one that its place decides. Documents that agree in a band are candidates, an estimate from all registers (less the agreements
 that chance gives) drops the hopeless ones, and the rest are compared on their full sets.
 
 Equal sets are one class before anything is compared. The pivot of a band is the member that shares bands with most others.
@@ -203,6 +203,7 @@ def _hopeful_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         rows = pa.Table.from_batches(cell).combine_chunks()
         cid, root, part, n, common = (rows[x].to_numpy() for x in ("cid", "root", "part", "n_shingles", "common"))
         mine, fine, place = _rows(rows["registers"]), _rows(rows["fine"], FINE_BITS), rows["place"][0].as_py()
+        filled = _filled(mine)
         one = rows["low"][0].as_py() == rows["high"][0].as_py()
         left, right = [], []
         for i in range(len(cid)):
@@ -211,7 +212,7 @@ def _hopeful_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             if place and len(at):
                 # Pairs that share an earlier band have met there.
                 before = slice(0, place * BAND)
-                met = (mine[at, before] == mine[i, before]).reshape(-1, place, BAND).all(axis=2) & mine[i, before].reshape(place, BAND).any(axis=1)
+                met = (filled[at, before] == filled[i, before]).reshape(-1, place, BAND).all(axis=2)
                 at = at[~met.any(axis=1)]
             for sketch in (mine, fine):
                 at = at[_may_link(sketch[i : i + 1], sketch[at], n[i : i + 1], n[at])] if len(at) else at
@@ -253,13 +254,32 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
-def _bands() -> Column:
-    """Place and hash of each band that has a register in use."""
-    width = 2 * BAND
-    cut = [F.substring("registers", i * width + 1, width) for i in range(REGISTERS // BAND)]
-    return F.filter(
-        F.array(*(F.when(x != F.lit(bytes(width)), F.struct(F.lit(i).alias("place"), F.xxhash64(F.lit(i), x).alias("band"))) for i, x in enumerate(cut))),
-        lambda x: x.isNotNull())
+#: For each register all of them in an order of its own, itself first.
+_OTHERS = np.concatenate([np.arange(REGISTERS)[:, None], np.array([
+    sorted(set(range(REGISTERS)) - {i}, key=lambda j: (i * 0x9E3779B1 + j * 0x85EBCA77) * 0xC2B2AE3D27D4EB4F % (1 << 64) >> 20) for i in range(REGISTERS)])], axis=1)
+
+
+def _filled(rows: np.ndarray) -> np.ndarray:
+    """Registers in which an empty one repeats the first used one of its own order. Else a band of a small set would rest on a
+    single shingle or two, and common shingles would make candidates of sets that have nothing else in common."""
+    out = rows.copy()
+    for start in range(0, len(rows), 256):
+        part = rows[start : start + 256]
+        source = np.take_along_axis(_OTHERS[None], (part > 0)[:, _OTHERS].argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+        out[start : start + 256] = np.take_along_axis(part, source, axis=1)
+    return out
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Place and hash of each band."""
+    count = REGISTERS // BAND
+    for batch in batches:
+        if batch.num_rows:
+            joined = np.ascontiguousarray(_filled(_rows(batch.column("registers")))).view(np.uint64).reshape(-1, count)
+            hashes = _mixed(joined + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.asarray(batch.column("cid")), count)), pa.array(np.tile(np.arange(count, dtype=np.int32), batch.num_rows)),
+                 pa.array(hashes.view(np.int64).reshape(-1))], ["cid", "place", "band"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -397,7 +417,7 @@ def _grouped(documents: DataFrame) -> DataFrame:
     classes = signed.where("digest is not null").groupBy("digest").agg(
         F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    bands = classes.select("cid", F.explode(_bands()).alias("at")).select("cid", "at.*")
+    bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, place int, band long")
     sizes = stored(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stored(bands.join(sizes, "band"), "shared")
     # The most central member: most company in all its bands, then the smallest cid.
