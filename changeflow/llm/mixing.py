@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.llm.shared import few, stored
+from changeflow.llm.shared import few, stored, unused
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -92,6 +92,8 @@ def _tilted(cells: DataFrame, most: float = MOST) -> DataFrame:
         state = stored(state, "state")
         if (state.agg(F.max("error")).first()[0] or 0) <= TOLERANCE:
             break
+    else:
+        raise ArithmeticError(f"a source has not come within {TOLERANCE} of its target in {ROUNDS * STEPS} steps")
     rate = F.when(F.col("target") >= most * F.col("whole"), F.lit(float(most))).otherwise(F.round(F.exp(tilt()), 9))
     return cells.join(state.select("place", "whole", F.round("tilt", 12).alias("tilt")), "place").withColumn("rate", rate)
 
@@ -144,13 +146,15 @@ def mixing_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Dat
 
 
 def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: every row as often as the plan takes it, with `copy` counting from 1.
+    """The mix itself: every row as often as the plan takes it, with `copy` counting from 1 (`copy_` where the input has a `copy`).
 
     Rows are written with a number of their own, so that rows without an id or of one id each get their own copies;
     a second run over the same files chooses the same.
     """
-    numbered = stored(documents.withColumns({"_row": F.monotonically_increasing_id(), "_words": size_of(F.col("text"))}), "numbered")
-    sized = numbered.select("_row", F.col("doc_id").alias("_id"), "source", F.col("_words").alias("size"))
-    plan = _counts(sized, weights, ("_id", "_row")).where("taken_times > 0").select("_row", F.col("taken_times").cast("int").alias("_copies"))
-    joined = numbered.join(few(stored(plan, "plan")), "_row")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns, "copy")
+    columns = documents.columns
+    row, words, times, copy = (unused(columns, x) for x in ("_row", "_words", "_copies", "copy"))
+    numbered = stored(documents.withColumns({row: F.monotonically_increasing_id(), words: size_of(F.col("text"))}), "numbered")
+    sized = numbered.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id"), "source", F.col(words).alias("size"))
+    plan = _counts(sized, weights, ("_id", "_row")).where("taken_times > 0").select(F.col("_row").alias(row), F.col("taken_times").cast("int").alias(times))
+    joined = numbered.join(few(stored(plan, "plan")), row)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns, copy)

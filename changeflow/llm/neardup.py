@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.llm.shared import few, memo, pieces, row_key, stored
+from changeflow.llm.shared import few, memo, pieces, row_key, stored, unused
 from changeflow.operators.few import salted_join
 
 WORDS = 5
@@ -464,10 +464,11 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
     found = stored(_grouped(documents).select("key", "winner", F.col("doc_id").isNotNull().alias("named")), "verdicts")
     gone = stored(found.where("winner <> key").select("key").distinct(), "gone")
     often = stored(found.where("winner = key or winner is null and named").groupBy("key").count().where("count > 1").select("key"), "often")
-    keyed = documents.withColumn("_key", row_key())
-    stay = keyed.join(few(gone), keyed["_key"] == gone["key"], "left_anti")
+    name = unused(documents.columns, "_key")
+    keyed = documents.withColumn(name, row_key())
+    stay = keyed.join(few(gone.withColumnRenamed("key", name)), name, "left_anti")
     if not often.take(1):
         return stay.select(*documents.columns)
-    repeated = few(often)
-    once = stay.join(repeated, stay["_key"] == often["key"], "left_anti")
-    return once.unionByName(stay.join(repeated, stay["_key"] == often["key"], "left_semi").dropDuplicates(["_key"])).select(*documents.columns)
+    repeated = few(often.withColumnRenamed("key", name))
+    once = stay.join(repeated, name, "left_anti")
+    return once.unionByName(stay.join(repeated, name, "left_semi").dropDuplicates([name])).select(*documents.columns)

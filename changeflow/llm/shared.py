@@ -29,6 +29,14 @@ def few(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it (in any case of letters)."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A digest of id and text, NULLs included: rows that share it are copies in both."""
     name = F.coalesce(F.concat(F.length(F.col(doc_id).cast("string")), F.lit(" "), F.col(doc_id).cast("string"), F.lit(" ")), F.lit("none "))

@@ -369,3 +369,22 @@ def test_texts_of_rows_without_id_meet_once(spark, monkeypatch):
     rows = [(None if i % 2 else 7, near(i, j)) for i in range(8) for j in range(3)] * 2
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 48 and met and met[0][0] > 8 and all(a == b for a, b in met)
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    names = ["copy", "_key", "_row", "_words", "_copies", "COPY_"]
+    rows = [(i, text(i % 5), "en", "ab"[i % 2], *[f"{n}{i}" for n in range(len(names))]) for i in range(12)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{x}` string" for x in names))
+    kept = neardup.without_near_duplicates(rows)
+    assert kept.columns == rows.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in rows.collect()} and kept.count() == 5
+    out = mixing.mixed(rows)
+    assert out.columns == [*rows.columns, "copy__"] and {tuple(r)[:-1] for r in out.collect()} <= {tuple(r) for r in rows.collect()}
+
+
+def test_pipeline_of_empty_tables(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
