@@ -14,7 +14,7 @@ BROADCAST_ROWS = 2_000_000
 #: White space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Words kept in a worker's memory of hashes before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 def stored(rows: DataFrame, label: str) -> DataFrame:
