@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -227,6 +228,40 @@ def test_main_text(spark):
     assert got[4]["n_chars"] == 200000 * 5 - 1 and pages.main_text(rows.limit(0)).count() == 0
 
 
+COMMENT = "A reader writes thirty words of a comment that goes on and on so that it looks like a paragraph of text, with a full stop at its end, signed Bob."
+PROSE = "<p>" + "A long sentence of the article here that goes on. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("name", "comment-list comment-body commentlist commentsSection user-comment-text sidebar-left ad-slot ad-container cookie-bar related-posts newsletter-box nav-links widget-area footer-content".split())
+def test_compound_names_mark_boilerplate(name):
+    page = f'<article><h1>Head</h1>{PROSE}%s</article>%s'
+    part = f'<div class="{name}"><p>{COMMENT}</p></div>'
+    assert [len(pages.main_blocks(page % x)[0]) for x in ((part, ""), ("", part))] == [2, 2]
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f'<article><div class="post-header"><h1>Head</h1></div>{PROSE}</article>', 2),
+    (f'<div class="post"><div class="post-header"><h1>Head</h1></div>{PROSE}{PROSE}</div>', 3),
+    (f'<article><h1>Head</h1><p class="byline">By Ann Other</p>{PROSE}</article>', 3),
+    (f'<article><h1>Head</h1><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>{PROSE}</article>', 3),
+    (f'<div id="wp-form">{PROSE}{PROSE}</div>', 2),
+    (f'<form id="page"><nav><a href=y>Home</a></nav><h1>Head</h1>{PROSE}{PROSE}<div class=footer>{COMMENT}</div></form>', 3),
+    (f'<article id="history-of-the-cookie"><h1>Head</h1>{PROSE}</article>', 2),
+    (f'<article class="post category-newsletter tag-cookies"><h1>Head</h1>{PROSE}</article>', 2),
+    (f'<div class="content-sidebar-wrap"><main><h1>Head</h1>{PROSE}</main><div class="sidebar"><p>{COMMENT}</p></div></div>', 2),
+    (f'<article><h1>Head</h1>{PROSE}</article><div class="comments">' + f'<article class="comment"><p>{COMMENT}</p></article>' * 30 + "</div>", 2)])
+def test_names_that_hold_the_article(html, want):
+    got = pages.main_blocks(html)[0]
+    assert len(got) == want and not any("reader" in x for x in got)
+
+
+@pytest.mark.parametrize("unit", ["<font>", "<div>", "<li>", "<ul><li>", "<p>", "<table><tr><td>", '<b class="ad-slot">'])
+def test_deep_pages_take_linear_time(unit):
+    start = time.process_time()
+    pages.main_blocks("<article>" + unit * 50_000 + "text")
+    assert time.process_time() - start < 6
+
+
 def test_warc_round_trip(spark):
     same, trap = "<p>same</p>" * 20, "x\r\n\r\n\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 5
     values = [(3, "http://b.example.com/p?q=1", same), (1, None, same), (2, "not a url\r\nX: y", same), (4, "http://a.example.com/é", None), (5, "u", "short"), (6, "u", "short"),
