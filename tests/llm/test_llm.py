@@ -276,7 +276,30 @@ def test_warc_round_trip(spark):
         again = len(data) >= 100 and page != smallest
         want[page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", smallest if again else None] += 1
     assert Counter(map(tuple, warc.archived(rows).collect())) == want
-    assert warc.archived(rows.limit(0)).count() == 0 and warc.url_key("https://u@WWW.Example.com:80/a?b#c") == "com,example,www:80)/a?b"
+    assert warc.archived(rows.limit(0)).count() == 0
+
+
+def test_url_keys(spark):
+    want = {"https://u@WWW.Example.com:80/a?b#c": "com,example,www:80)/a?b", "http://a.b": "b,a)/", "a.b?x=http://c": "b,a)?x=http://c", "": "", None: "", "/only/path": "", " http://x.y/ ": "y,x)/", "h:1": "h:1)/"}
+    rows = spark.createDataFrame([(x,) for x in want], "url string")
+    assert {r["url"]: r["key"] for r in rows.select("url", warc.url_key(F.col("url")).alias("key")).collect()} == want
+
+
+def test_warc_ids_and_uris_of_any_characters(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_BYTES", 300)
+    monkeypatch.setattr(warc, "BLOCK", 2)
+    same, large = "<p>same</p>" * 20, "<p>large</p>" * 50
+    values = [("none", "http://a.example.com/x?y=1&z=%20+é", same), ("a>b", "http://b.example.com/a b\r\nX: y", same), ("\r\n", None, same), (None, "u", same), ("é +%2B", "http://b/", large),
+              ("zz", " ", large), *((f"q{i:03}", "http://one.example.com/", large + str(i % 7)) for i in range(40))]
+    rows = spark.createDataFrame(values, "page_id string, url string, html string")
+    got = {r["page_id"]: r for r in warc.archived(rows).collect()}
+    assert set(got) == {x[0] for x in values}
+    for page, _, html in values:
+        smallest = min(x for x, _, other in values if other == html and x is not None)
+        assert got[page]["payload_digest"] == hashlib.sha256(html.encode()).hexdigest() and got[page]["payload_bytes"] == len(html.encode())
+        assert (got[page]["record_type"], got[page]["refers_to"]) == (("response", None) if page == smallest else ("revisit", smallest))
+    captures = {r["id"]: r["url"] for r in warc.read_archive(spark, warc.write_archive(warc.planned(rows))).collect()}
+    assert captures["none"] == values[0][1] and captures["a>b"] == "http://b.example.com/a%20b%0D%0AX:%20y" and captures["\r\n"] is None and captures["zz"] == "%20"
 
 
 def test_token_prefixes(spark, docs, nothing):
