@@ -468,12 +468,15 @@ def k4_trigger_policy(spark: SparkSession, sf: str) -> DataFrame:
 @query("k5_resume", """
 SELECT sample, resume, CASE WHEN resume IS NULL THEN 'start' WHEN resume < restart OR resume < confirmed THEN 'refuse' ELSE 'resume' END AS decision FROM slots""")
 def k5_resume(spark: SparkSession, sf: str) -> DataFrame:
-    """Resume position per slot from its checkpoint, refused when the slot no longer reaches back to it."""
+    """Resume position per slot from the relay's newest checkpoint, refused when the slot no longer reaches back to it."""
     samples = FD.slot_samples(spark, sf).withColumns({
         "source_name": F.lit(FD.SOURCE), "slot_name": F.col("sample").cast("string"), "configured_start": F.lit(""),
     })
-    checkpoints = samples.select("source_name", "slot_name", F.col("resume_lsn").alias("last_lsn"), F.col("sampled_at").alias("updated_at"))
-    points = PG.resume_points(samples.drop("resume_lsn"), checkpoints)
+    newest = samples.select("source_name", "slot_name", F.lit("all_tables").alias("publication_name"), F.col("resume_lsn").alias("last_lsn"), F.col("sampled_at").alias("updated_at"))
+    relay = _relay(spark, sf)
+    relay.state.write("checkpoints", newest.withColumn("last_lsn", F.lit("0/1")), 0)
+    relay.state.write("checkpoints", newest, 1)
+    points = relay.starts(samples.drop("resume_lsn"), "app")
     decision = F.when(F.col("resume_lsn").isNull(), "start").when(PR.position_reachable(F.col("resume_lsn")), "resume").otherwise("refuse")
     return points.select("sample", lsn_to_number(F.col("resume_lsn")).alias("resume"), decision.alias("decision"))
 

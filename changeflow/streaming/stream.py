@@ -27,13 +27,20 @@ def run_finite(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def run_relay(stream: DataFrame, relay: Relay, interval: str | None = None, verdicts: DataFrame | None = None) -> StreamingQuery:
-    """Start the relay. `verdicts` is the slot preflight: a slot that cannot resume safely stops the start.
+def run_relay(
+    stream: DataFrame, relay: Relay, interval: str | None = None, verdicts: DataFrame | None = None, slots: DataFrame | None = None, database: str | None = None,
+) -> StreamingQuery:
+    """Start the relay. With `slots`, their facts as they are now, each is held against where the relay's own checkpoints and the
+    configured starts resume; a slot that cannot resume safely stops the start. `verdicts` are those of further checks.
 
     Without an interval the run is finite; with one it goes on until stopped.
     """
     if verdicts is not None:
         require_ready(verdicts)
+    if slots is not None:
+        if database is None:
+            raise ValueError("slots are checked against the name of their database")
+        require_ready(relay.starts(slots, database))
     checkpoint = os.path.join(relay.root, "offsets")
     if interval is None:
         return run_finite(stream, relay.process, checkpoint)

@@ -215,6 +215,29 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, events, tmp_path):
     assert (len(r.transport.bodies()), r.state.read("ledger").count()) == (sent, ledger)
 
 
+def test_a_start_is_held_against_the_relays_own_checkpoint(spark, events, tmp_path):
+    r = relay(spark, tmp_path, "resume")
+    r.process(feed(events), 0)
+    newest = PG.latest_checkpoints(r.state.read("checkpoints"), "batch_id").first()
+    facts = {
+        "source_name": newest["source_name"], "slot_name": newest["slot_name"], "database": "app", "slot_type": "logical", "plugin": "pgoutput", "present": True,
+        "active": False, "temporary_slot": False, "auto_create_slot": False, "conflicting": False, "wal_status": "reserved", "invalidation_reason": "",
+        "restart_lsn": "0/1", "confirmed_flush_lsn": newest["last_lsn"], "configured_start": ""}
+    schema = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string'}" for k, v in facts.items())
+    slots = lambda **changed: spark.createDataFrame([tuple((facts | changed).values())], schema)
+    row = r.starts(slots(), "app").first()
+    assert (row["resume_lsn"], row["verdict"]) == (newest["last_lsn"], None)
+    assert r.starts(slots(configured_start="0/2"), "app").first()["verdict"] == "resume position is no longer retained"
+    for changed, why in (({"restart_lsn": "FF/0"}, "no longer retained"), ({"present": False, "auto_create_slot": True}, "missing slot must not"), ({"active": True}, "already active"),
+                         ({"temporary_slot": True}, "temporary slot"), ({"confirmed_flush_lsn": "x"}, "unreadable")):
+        with pytest.raises(PreflightError, match=why):
+            run_relay(None, r, slots=slots(**changed), database="app")
+    with pytest.raises(PreflightError, match="different database"):
+        run_relay(None, r, slots=slots(), database="other")
+    with pytest.raises(ValueError, match="database"):
+        run_relay(None, r, slots=slots())
+
+
 def test_unsafe_slot_stops_the_start(spark, tmp_path):
     verdicts = spark.createDataFrame([("s", "already active")], "slot_name string, verdict string")
     with pytest.raises(PreflightError, match="already active"):
