@@ -269,3 +269,30 @@ def test_salted_join_equals_a_plain_one(spark, heavy, how):
     small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k40", 3), ("gone", 4)], "k string, v int")
     got, want = few.salted_join(many, small, ["k"], "n", how, heavy), many.join(small, ["k"], how)
     assert sorted(got.select("k", "n", "v").collect()) == sorted(want.select("k", "n", "v").collect())
+
+
+def test_large_sides_are_neither_copied_nor_broadcast_by_their_file_size(spark, monkeypatch):
+    monkeypatch.setattr(few.spread_join, "__defaults__", ("inner", 0))
+    rows = spark.range(3000).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 != 0, F.col("id") % 7).alias("k"))
+    names = spark.range(20).select(F.col("id").alias("k"), F.concat(F.lit("name of "), F.col("id").cast("string")).alias("name"))
+    joined = few.spread_join(rows, names, ["k"], by="seq", how="left")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 3000
+    assert joined.where("name = concat('name of ', k)").count() == 2700
+    assert "rightHint=(strategy=merge)" in plan
+    stored = few.store(names, "names")
+    assert "BroadcastHashJoin" not in rows.join(stored.where("k > 1"), "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_facts_of_a_catalog_are_joined_by_shuffle(spark):
+    def table(text, *rows):
+        return spark.createDataFrame(list(rows), text)
+
+    facts = PR.publication_facts(
+        table("publication string, schema_name string, table_name string", ("p", "s", "t"), ("p", "s", "u")),
+        table("publication string, publishes_update boolean, publishes_delete boolean", ("p", True, False)),
+        table("relation_id long, schema_name string, table_name string, replica_identity string", (1, "s", "t", "d"), (2, "s", "u", "f"), (3, "s", "v", "f")),
+        table("relation_id long, ordinal int, attnum int, is_primary boolean, is_replident boolean, is_valid boolean, is_ready boolean, is_live boolean", (1, 2, 1, True, False, True, True, True), (1, 1, 2, True, False, True, True, True)),
+        table("relation_id long, attnum int, column_name string, dropped boolean", (1, 1, "a", False), (1, 2, "b", False), (2, 1, "c", False), (2, 2, "d", True), (3, 1, "e", False)))
+    assert {(r["relation_id"], tuple(r["replica_identity_columns"]), r["primary_key_usable"]) for r in facts.collect()} == {(1, ("b", "a"), True), (2, ("c",), False)}
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 4
