@@ -12,6 +12,7 @@ from changeflow.session import run_folder
 from changeflow.sources import payload_files as PL
 from changeflow.sources import sinks
 from changeflow.sources.catalog import read_publication_tables, read_slot_status
+from changeflow.sources import sinks
 from changeflow.sources.sinks import deliver_batch
 from changeflow.sources.state import StateTables
 
@@ -221,3 +222,19 @@ def test_webhooks_post_in_chunks(monkeypatch):
     assert sent == [("example.com", 8443, 3), ("POST", "/in?x=1", [b"a", b"b"], {"H": "1", "Transfer-Encoding": "chunked"}, True), "closed"]
     with pytest.raises(ConnectionError):
         hook("d", "k", iter([]), {}, 3)
+
+
+def test_a_connection_sorts_its_bodies_in_slices_and_sends_each_body_once(spark, tmp_path):
+    """Many bodies of three parts over two connections: at most two tasks, and each body comes whole, in order and once."""
+    rows = spark.range(300).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("idempotency_key"), F.lit("d").alias("destination"), F.explode(F.expr("sequence(2L, 0L, -1L)")).alias("part"))
+    rows = rows.withColumn("body", F.concat("idempotency_key", F.lit("."), F.col("part").cast("string"), F.lit(";")))
+
+    def transport(destination, key, chunks):
+        return 200 if b"".join(chunks).decode() == "".join(f"{key}.{n};" for n in range(3)) else 500
+
+    sent = deliver_batch(rows, transport, 2)
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and f", {2 * sinks.SLICES}" in plan
+    assert sent.rdd.getNumPartitions() == 2
+    got = sent.collect()
+    assert len(got) == 300 and {r["status_code"] for r in got} == {200}
