@@ -38,8 +38,8 @@ from changeflow.llm.shared import stored
 TOP = 20
 #: Different terms of items searched together.
 BLOCK_TERMS = 200_000
-#: Scores held at once in a task.
-CELLS = 4_000_000
+#: Scores, and uses of terms in items, held at once in a task.
+CELLS = 1_000_000
 #: Bytes of winning classes that a broadcast may hold.
 BROADCAST_BYTES = 32 << 20
 #: Longer terms are known by a digest.
@@ -109,6 +109,18 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def _cuts(bags: pa.Array, starts: np.ndarray, items: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose scores and uses of terms, which a common term has many of, are about CELLS together."""
+    if not len(bags):
+        return
+    term, _, lengths = _decoded(bags)
+    uses = np.concatenate([[0], np.cumsum(starts[term + 1] - starts[term])])
+    ends = np.cumsum(lengths)
+    place = np.cumsum(uses[ends] - uses[ends - lengths] + items) // CELLS
+    edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(bags)]
+    yield from zip(edges, edges[1:], strict=False)
+
+
 def _best(shipped, items: int, top: int):
     """The best classes of each item in this task, with their scores."""
 
@@ -119,11 +131,11 @@ def _best(shipped, items: int, top: int):
         weights, starts, holders, times = shipped.value
         kept: list[list] = [[] for _ in range(items)]
         least = np.ones(items, np.int64)
-        size, kind = max(top, CELLS // max(1, items)), None
+        kind = None
         for batch in batches:
             kind = batch.column("first").type
-            for cut in range(0, batch.num_rows, size):
-                part = batch.slice(cut, size)
+            for cut, end in _cuts(batch.column("bag"), starts, items):
+                part = batch.slice(cut, end - cut)
                 term, tf, lengths = _decoded(part.column("bag"))
                 m = np.repeat(np.asarray(part.column("m"), np.int64), lengths)
                 share = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m))

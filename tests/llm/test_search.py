@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from changeflow.llm import search
@@ -51,3 +53,15 @@ def test_search_of_nothing(spark, rows):
     docs, items = (spark.createDataFrame(x, f"{name} string, text string") for x, name in zip(rows, ("doc_id", "item_id"), strict=True))
     assert search.ranked(docs.where("false"), items).count() == search.ranked(docs, items.where("false")).count() == 0
     assert search.ranked(docs.where("text IS NULL"), items).count() == 0
+
+
+def test_rows_whose_terms_many_items_use_are_scored_few_at_a_time():
+    starts, items = np.array([0, 400, 401]), 400  # the first term is in all items, the second in one
+    common, rare = np.array([[0, 1]], "<u4").tobytes(), np.array([[1, 1]], "<u4").tobytes()
+    bags = pa.array([common] * 3000 + [rare] * 3000 + [b""])
+    cuts = list(search._cuts(bags, starts, items))
+    assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(bags)
+    for a, b in cuts:
+        uses = sum(400 if x.as_py() == common else 1 if x.as_py() else 0 for x in bags[a:b])
+        assert uses + (b - a) * items <= search.CELLS + 800
+    assert not list(search._cuts(pa.array([], pa.binary()), starts, items))
