@@ -163,22 +163,31 @@ class PrefixCounts:
             gap = ""
         return np.concatenate(out)
 
+    def room(self, found: list[str], counts: np.ndarray, limit: int) -> int:
+        """Characters of the first of these pieces, and of as much of the next one as fits, within `limit` tokens."""
+        total = np.cumsum(counts)
+        whole = int(np.searchsorted(total, limit, side="right"))
+        left, piece, characters = limit - (int(total[whole - 1]) if whole else 0), found[whole], 0
+        if piece not in self.special:
+            own = np.array(self.table(piece.encode()))[np.cumsum([len(x.encode()) for x in piece])]
+            characters = int(np.flatnonzero(own <= left)[-1] + 1) if (own <= left).any() else 0
+        return characters + sum(map(len, found[:whole]))
+
+    def measured(self, text: str, limit: int) -> tuple[int, int]:
+        """The text's tokens, and the characters of its longest prefix within `limit` tokens, from one walk over its pieces."""
+        used, before, characters = 0, [], None
+        for found, counts in self.steps(text):
+            total = int(counts.sum())
+            if characters is None and used + total > limit:
+                characters = sum(map(len, before)) + self.room(found, counts, limit - used)
+            elif characters is None:
+                before += found
+            used += total
+        return used, len(text) if characters is None else characters
+
     def longest_prefix(self, text: str, limit: int) -> int:
         """Characters of the longest prefix of whole pieces, and as much of the next piece as fits, within `limit` tokens."""
-        used = characters = 0
-        for found, counts in self.steps(text):
-            total = np.cumsum(counts)
-            if used + int(total[-1]) <= limit:
-                used, characters = used + int(total[-1]), characters + sum(map(len, found))
-                continue
-            whole = int(np.searchsorted(total, limit - used, side="right"))
-            room = limit - used - (int(total[whole - 1]) if whole else 0)
-            piece = found[whole]
-            if piece not in self.special:
-                own = np.array(self.table(piece.encode()))[np.cumsum([len(x.encode()) for x in piece])]
-                characters += int(np.flatnonzero(own <= room)[-1] + 1) if (own <= room).any() else 0
-            return characters + sum(map(len, found[:whole]))
-        return characters
+        return self.measured(text, limit)[1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -199,9 +208,9 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
         for batch in batches:
             counts, room = [], []
             for text in batch.column("text"):
-                text = text.as_py() or ""
-                counts.append(counter.count(text))
-                room.append(len(text) if counts[-1] <= limit else counter.longest_prefix(text, limit))
+                tokens, characters = counter.measured(text.as_py() or "", limit)
+                counts.append(tokens)
+                room.append(characters)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64()), pa.array([x > limit for x in counts], pa.bool_()), pa.array(room, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])

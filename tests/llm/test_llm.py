@@ -317,6 +317,22 @@ def test_token_prefixes(spark, docs, nothing):
     assert by_id[11]["n_tokens"] == count(LONG) and by_id[11]["over_limit"] and count(LONG[: by_id[11]["limit_chars"]]) <= 1024 and by_id[6]["n_bytes"] == by_id[6]["n_tokens"] == 0
 
 
+def test_a_text_over_the_limit_is_cut_into_pieces_once(monkeypatch):
+    library, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    known, counter = library.Tokenizer.from_file(path), tokens.PrefixCounts(open(path, encoding="utf-8").read())
+    walked = []
+    cut = counter.cut
+    monkeypatch.setattr(counter, "cut", lambda text: walked.append(len(text)) or cut(text))
+    for text in ("word after word " * 900, "aé漢 " * 700 + "<|endoftext|>" + "b c " * 800, "x" * 9000):
+        walked.clear()
+        tokens_, room = counter.measured(text, 1024)
+        assert tokens_ == len(known.encode(text, add_special_tokens=False).ids) > 1024
+        assert sum(walked) <= len(text)
+        fits = [counter.count(text[:i]) <= 1024 for i in (room, room + 1)]
+        assert fits == [True, False]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
