@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.session import run_folder
@@ -13,6 +13,8 @@ from changeflow.session import run_folder
 BROADCAST_ROWS = 2_000_000
 #: White space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
 #: Words kept in a worker's memory of hashes before it starts anew.
 MEMO_WORDS = 150_000
 
@@ -24,6 +26,12 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of bounded size from now on. By number alone, a batch of whole texts takes tens of
+    megabytes in the JVM and again in each worker, once as it comes and once as it goes back."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def few(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Stored narrow rows, marked for broadcast only if their count is within the limit."""
     return F.broadcast(rows) if rows.count() <= limit else rows

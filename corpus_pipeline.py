@@ -14,11 +14,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from changeflow.llm import decontam, langid, mixing, neardup, quality
-from changeflow.llm.shared import stored
+from changeflow.llm.shared import small_batches, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def small(stage: Stage) -> Stage:
+    """The stage, its rows handed to Python in small batches: executors keep their memory from stage to stage."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.in_some_language(docs, langid.learned(docs))
 
@@ -40,7 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language ID", language), ("quality classifier", good), ("near duplicates", distinct), ("benchmark decontamination", clean), ("source mixing", mix)]
+    (name, small(stage)) for name, stage in (
+        ("language ID", language), ("quality classifier", good), ("near duplicates", distinct), ("benchmark decontamination", clean), ("source mixing", mix))]
 
 #: Trained models and linked components have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL: str | None = None

@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +463,23 @@ def test_pipeline_of_empty_tables(spark, nothing, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_go_to_python_in_batches_of_bounded_size(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+    from changeflow.llm import shared
+
+    monkeypatch.setattr(shared, "BATCH_BYTES", 50_000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(2000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("x" * 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        assert pipeline.small(lambda spark, docs, sf_dir: docs)(spark, rows, "") is rows
+        got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 2000 and max(got) <= 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
