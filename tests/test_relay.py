@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -12,6 +13,7 @@ from changeflow import config
 from changeflow.operators import progress as PG
 from changeflow.operators import project as P
 from changeflow.operators.preflight import PreflightError
+from changeflow.plans import relay as plan
 from changeflow.plans.relay import Relay
 from changeflow.schemas import CHANGE_EVENT
 from changeflow.session import run_folder
@@ -197,6 +199,48 @@ def test_hot_transaction_arrives_whole(spark, events, tmp_path):
     assert r.letters().where("status = 'resolved'").count() == 2
 
 
+def test_a_batch_leaves_no_shuffle_files(spark, events, tmp_path):
+    """What is stored was shuffled for once: its shuffle files go with the write and not when the driver collects its garbage."""
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name.split("_")[1] for name in blocks.mkString(" ").split() if name.startswith("shuffle_")}
+
+    r = relay(spark, tmp_path, "files", refuse=("2",))
+    batch = r.state.begin(0)
+    groups, changes = r.assemble(feed(events), batch)
+    before = shuffles()
+    prepared = r.prepare(groups, changes, batch)
+    r.send(prepared, batch)
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert all(name["file"].endswith(".zstd.parquet") for files in batch.adds.values() for name in files)
+
+
+def test_bodies_are_shuffled_only_as_rows(spark, events, tmp_path):
+    """Events and envelopes meet by one shuffle each; the text made of them stays where it is."""
+    r = relay(spark, tmp_path, "shuffles")
+    r.process(feed(events), 0)
+    bodies = r._transaction_bodies(r.state.read("assembled"), r.state.read("pairs").where("skip_reason IS NULL"), F.lit(True))
+    assert bodies._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("unit", ["transaction", "event"])
+def test_slices_give_what_the_whole_gives(spark, events, tmp_path, monkeypatch, unit):
+    rows = feed(events).unionByName(events({"seq": 90, "operation": "commit", "transaction_id": "empty", "transport_lsn": "1/9", "commit_lsn": "0/9"}))
+    whole = relay(spark, tmp_path, "at_once", ("2",), unit)
+    whole.process(rows, 0)
+    monkeypatch.setattr(plan, "SLICE_EVENTS", 5)
+    monkeypatch.setattr(plan, "SLICE_BYTES", 4000)
+    cut = relay(spark, tmp_path, "in_slices", ("2",), unit)
+    cut.process(rows, 0)
+    assert len({x["file"].split("/")[1] for x in cut.state.snapshot().tables["prepared"]}) > 1
+    assert stored_bodies(cut) == stored_bodies(whole) and summary(cut) == summary(whole)
+    tries = [sorted(map(tuple, r.state.read("attempts").select("idempotency_key", "attempt", "status_code", "round").collect())) for r in (whole, cut)]
+    assert tries[0] == tries[1] and max(number for _, number, _, _ in tries[0]) == 2
+
+
 def test_stream_equals_batch_and_restart_adds_nothing(spark, events, tmp_path):
     df = feed(events)
     folder = run_folder(spark, "files")
