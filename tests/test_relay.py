@@ -1,5 +1,6 @@
 """The relay over state tables: batching, restarts, replays and hot transactions."""
 
+import glob
 import json
 import os
 import sys
@@ -16,7 +17,7 @@ from changeflow.operators.preflight import PreflightError
 from changeflow.plans import relay as plan
 from changeflow.plans.relay import Relay
 from changeflow.schemas import CHANGE_EVENT
-from changeflow.session import run_folder
+from changeflow.session import run_folder, shared_folder
 from changeflow.sources.feeds import stream_change_feed
 from changeflow.streaming.stream import run_relay
 
@@ -145,6 +146,20 @@ def test_replay_resolves_or_stays_pending_with_a_new_letter(spark, events, tmp_p
     assert r.state.read("ledger").groupBy("idempotency_key").count().where("count > 1").count() == 0
 
 
+def test_a_replay_copies_only_payloads_that_fail_again(spark, events, tmp_path):
+    r = relay(spark, tmp_path, "copies", refuse=("2", "3"))
+    r.process(feed(events), 0)
+    letters = {row["idempotency_key"]: row["payload_json"] for row in r.letters().collect()}
+    r.transport.refuse = ("3",)
+    known = set(glob.glob(f"{shared_folder(spark)}/replayed-*"))
+    r.replay(r.letters(), 1)
+    (folder,) = set(glob.glob(f"{shared_folder(spark)}/replayed-*")) - known
+    kept = {row["idempotency_key"]: row["payload_json"] for row in spark.read.parquet(folder).collect()}
+    assert {key: text for key, text in kept.items() if text} == {key: text for key, text in letters.items() if ":3:" in key} and len(kept) == 3
+    again = r.state.read("dead_letters", since=1).collect()
+    assert {row["idempotency_key"]: row["payload_json"] for row in again if row["writer"] == "replay"} == {key: text for key, text in letters.items() if ":3:" in key}
+
+
 def test_replay_sends_the_stored_body_unchanged(spark, events, tmp_path):
     r = relay(spark, tmp_path, "same", refuse=("2",))
     r.process(feed(events), 0)
