@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeflow.session import run_folder
+from changeflow.session import run_folder, write_parquet
 
 #: Rows of one or two numbers that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -22,7 +22,7 @@ MEMO_WORDS = 150_000
 def stored(rows: DataFrame, label: str) -> DataFrame:
     """Rows written to a new folder below spark.checkpoint.dir and read back: computed once, and safe from lost executors."""
     folder = run_folder(rows.sparkSession, label)
-    rows.write.parquet(folder)
+    write_parquet(rows, folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

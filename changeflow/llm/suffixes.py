@@ -54,6 +54,10 @@ LAYOUT_BYTES = 1 << 20
 BUCKET_ROWS = 4 << 20
 PIECE = 1 << 20
 LEAST_BUCKET_BITS = 6
+#: Times that windows are sent, each time those of some of the buckets, and the number of windows from which on they are not sent at once.
+#: What is sent is twice the text and the most that disks hold here; another time costs one more hash of each window.
+TIMES = 2
+ONCE = 16 << 20
 #: Bits of a cover position's fingerprint beyond those that number all of them; of a window's beyond those that number all pairs.
 SPARE_BITS = 12
 PAIR_BITS = 16
@@ -294,13 +298,18 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _sorted_windows(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_windows(row: dict, bits: int, bucket_bits: int = 0, buckets: range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of a block's windows by fingerprint (equal ones by place), both fingerprints in that order, whether each is the
-    first of its kind here, and the number of windows of each stretch."""
+    first of its kind here, and the stretch of each window; of the windows in these buckets only, if any are named."""
     data, sizes = np.frombuffer(_loosened(row["blob"]), np.uint8), np.array(row["sizes"], np.int64)
     counts = sizes - LENGTH + 1
-    starts = np.repeat(np.cumsum(sizes) - sizes, counts) + _spread(counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+    starts = (np.cumsum(sizes) - sizes)[owner] + _spread(counts)
     one = _first().at(data, starts, LENGTH) >> np.uint64(64 - bits)
+    if buckets is not None:
+        bucket = one >> np.uint64(bits - bucket_bits)
+        mine = (bucket >= buckets.start) & (bucket < buckets.stop)
+        owner, starts, one = owner[mine], starts[mine], one[mine]
     two = (_second().at(data, starts, LENGTH) >> np.uint64(64 - MORE_BITS)).astype(np.uint32)
     order = np.argsort(one, kind="stable")
     a, b = one[order], two[order]
@@ -309,15 +318,16 @@ def _sorted_windows(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
         a, b = one[order], two[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, a, b, fresh, counts
+    return order, a, b, fresh, owner
 
 
-def _sent_windows(bits: int, bucket_bits: int):
+def _sent_windows(bits: int, bucket_bits: int, buckets: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            order, a, b, fresh, counts = _sorted_windows(row, bits)
-            a, b = a[fresh], b[fresh]
-            owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[order[fresh]]
+            order, a, b, fresh, owner = _sorted_windows(row, bits, bucket_bits, buckets)
+            if not len(a):
+                continue
+            a, b, owner = a[fresh], b[fresh], owner[order[fresh]]
             ranks = _run(np.array(row["ranks"], np.uint64))
             cut = [(bucket, _run(a[part]), b[part].astype("<u4").tobytes(), _planes(owner[part])) for bucket, part in _by_bucket(a, bits, bucket_bits)]
             bucket, runs, more, owners = zip(*cut, strict=True)
@@ -352,7 +362,8 @@ def _repeats(bits: int, bucket_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            order, a, _, fresh, counts = _sorted_windows(row, bits)
+            order, a, _, fresh, _ = _sorted_windows(row, bits)
+            counts = np.array(row["sizes"], np.int64) - LENGTH + 1
             kept = a[fresh]
             later = _returned(row["answers"], [x.stop - x.start for _, x in _by_bucket(kept, bits, bucket_bits)])
             repeated = np.empty(len(a), bool)
@@ -411,9 +422,10 @@ def _with(blocks: DataFrame, extra: DataFrame, size: int, how: str = "left") ->
     return blocks.join(F.broadcast(extra) if size <= BROADCAST_BYTES else extra, "block", how)
 
 
-def _sorted_by_bucket(sent: DataFrame, sort, label: str) -> tuple[DataFrame, int]:
-    """One row per block with the answers of all buckets, and their bytes."""
-    answers = stored(sent.groupBy("bucket").applyInArrow(sort, "block long, bucket int, bits binary"), label)
+def _sorted_by_bucket(sent: list[DataFrame], sort, label: str) -> tuple[DataFrame, int]:
+    """One row per block with the answers of all buckets, and their bytes. What is sent is sorted one after the other."""
+    answers = functools.reduce(DataFrame.unionByName, [
+        stored(part.groupBy("bucket").applyInArrow(sort, "block long, bucket int, bits binary"), label) for part in sent])
     size = answers.agg(F.sum(F.octet_length("bits") + 16)).first()[0] or 0
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), size
 
@@ -432,7 +444,7 @@ def repeated_spans(blocks: DataFrame) -> DataFrame:
     samples = total * len(COVER) // MODULUS + 1
     bits, bucket_bits = min(63, max(24, samples.bit_length() + SPARE_BITS)), _bucket_bits(samples)
     texts = blocks.select("block", "sizes", "blob")
-    answers, size = _sorted_by_bucket(texts.mapInArrow(_sent_samples(bits, bucket_bits), "bucket int, block long, run binary"), _tied, "ties")
+    answers, size = _sorted_by_bucket([texts.mapInArrow(_sent_samples(bits, bucket_bits), "bucket int, block long, run binary")], _tied, "ties")
     stretches = stored(_with(blocks, answers, size).mapInArrow(
         _stretches(bits, bucket_bits, to_arrow_type(blocks.schema["ids"].dataType.elementType)),
         f"block long, number int, start long, size long, same binary, doc_id {kind}, digest binary, alike long"), "stretches")
@@ -453,8 +465,11 @@ def repeated_spans(blocks: DataFrame) -> DataFrame:
     layout = stored(layout.withColumn("block", F.monotonically_increasing_id()), "layout")
     total = layout.agg(F.sum("windows")).first()[0] or 0
     bits, bucket_bits = min(64, max(24, 2 * total.bit_length() + PAIR_BITS - MORE_BITS)), _bucket_bits(total)
-    windows = layout.select("block", "ranks", "sizes", "blob").mapInArrow(
-        _sent_windows(bits, bucket_bits), "bucket int, block long, run binary, more binary, owners binary, ranks binary")
+    cuts = [(1 << bucket_bits) * n // times for times in [TIMES if total > ONCE else 1] for n in range(times + 1)]
+    windows = [
+        layout.select("block", "ranks", "sizes", "blob").mapInArrow(
+            _sent_windows(bits, bucket_bits, range(low, high)), "bucket int, block long, run binary, more binary, owners binary, ranks binary")
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
     answers, size = _sorted_by_bucket(windows, _later, "repeats")
     repeats = _with(layout, answers, size).mapInArrow(_repeats(bits, bucket_bits), "block long, number int, begins array<long>, ends array<long>")
     return repeats.unionByName(copies)

@@ -1,11 +1,15 @@
+import glob
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from changeflow.llm import suffixes
+from changeflow.llm.shared import stored
+from changeflow.session import shared_folder
 
 DOCS = "doc_id long, text string, block long, number int, start long, size long, bytes binary, same string"
 
@@ -54,6 +58,29 @@ def test_repeats_match_brute_force(spark):
     assert want == Counter(map(tuple, suffixes.removed_repeats(shuffled).collect()))
 
 
+def test_windows_sent_in_several_times(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "ONCE", 0)
+    monkeypatch.setattr(suffixes, "TIMES", 3)
+    rows = cases()
+    known = set(glob.glob(f"{shared_folder(spark)}/repeats-*"))
+    frame = spark.createDataFrame([(*row, 1, 2, 3, 4, None, "x") for row in rows], DOCS)
+    assert brute(rows) == Counter(map(tuple, suffixes.removed_repeats(frame).collect()))
+    assert len(set(glob.glob(f"{shared_folder(spark)}/repeats-*")) - known) == 3
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name.split("_")[1] for name in blocks.mkString(" ").split() if name.startswith("shuffle_")}
+
+    before = shuffles()
+    assert stored(spark.range(1000).groupBy("id").count(), "counted").count() == 1000
+    end = time.time() + 10
+    while len(shuffles() - before) > 1 and time.time() < end:  # one is of the count here
+        time.sleep(0.2)
+    assert len(shuffles() - before) <= 1
+
+
 def test_long_texts_and_pieces(spark):
     """Texts above one piece, with repeats across its edge; ids that are text."""
     r = random.Random(4)
